@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import pre_tokenizers
 
 from weftline.llm.common import blocks, texts
 
@@ -42,10 +43,18 @@ def byte_symbols() -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def newer_letters() -> re.Pattern:
-    """Letters and digits of the ``regex`` tables that Python's own, older Unicode tables leave unassigned."""
+def newer_letters() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """Letters and digits of the ``regex`` tables that the ``tokenizers`` library's older Unicode tables lack.
+
+    As a class that finds a text that may hold one (one range: quick), the class of those
+    in the basic plane, and the class of those beyond it (long, so used only on texts with such characters).
+    """
     known = regex.findall(r"[\p{L}\p{N}\s]", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))
-    return re.compile("[" + "".join(re.escape(c) for c in known if unicodedata.category(c) == "Cn") + "]")
+    pieces = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+    lacking = lambda c: len(pieces(c + ("a" if regex.match(r"\p{L}", c) else "1"))) > 1
+    newer = [c for c in known if unicodedata.category(c) == "Cn" and lacking(c)] or ["\U0010ffff"]
+    near, far = [c for c in newer if c < "\U00010000"] or ["\uffff"], [c for c in newer if c >= "\U00010000"] or ["\U0010ffff"]
+    return re.compile(f"[{re.escape(min(newer))}-\U0010ffff]"), re.compile("[" + "".join(map(re.escape, near)) + "]"), re.compile("[" + "".join(map(re.escape, far)) + "]")
 
 
 class PairIndexBPE:
@@ -72,7 +81,7 @@ class PairIndexBPE:
         self._merged = [vocab[a + b] for a, b in merges]
         self._byte_id = np.array([vocab[c] for c in symbols], np.int64)
         self._find_known = regex.compile(WORDS).findall
-        self._newer = newer_letters().search
+        self._maybe, self._near, self._far = newer_letters()
         self._split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
         self._kept: dict[str, bytes] = {}
 
@@ -148,9 +157,14 @@ class PairIndexBPE:
 
     def _find(self, text: str) -> list[str]:
         """Words of a text. Letters that the format's Unicode version lacks count as symbols."""
-        if text.isascii() or not self._newer(text):
+        if text.isascii() or not self._maybe.search(text):
+            return self._find_known(text)
+        plain = self._near.sub("\ue000", text)
+        if max(text) > "\uffff":
+            plain = self._far.sub("\ue000", plain)
+        if plain == text:
             return self._find_known(text)
-        found = self._find_known(newer_letters().sub("\ue000", text))
+        found = self._find_known(plain)
         ends = list(accumulate(map(len, found)))
         return [text[e - len(w) : e] for w, e in zip(found, ends)]
 

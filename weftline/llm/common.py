@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_BYTES = 8 << 20
 
@@ -81,6 +82,11 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return pc.fill_null(batch.column(batch.schema.get_field_index(column)), "").to_pylist()
 
 
+def extended(df: DataFrame, name: str, kind: str) -> T.StructType:
+    """The schema of ``df`` with one more column, whose type is given as DDL."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(f"`{name}` {kind}").fields])
+
+
 def remainder(column: str, by: int):
     """crc32 of an id's decimal text, modulo ``by`` (null ids: as the empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % by

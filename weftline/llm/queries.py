@@ -4,14 +4,27 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import bpe, chat, media, packing
-from weftline.llm.common import table
+from weftline.llm import bpe, chat, fingerprints, html_text, media, packing, quality, secrets
+from weftline.llm.common import remainder, table
 
 #: Vocabulary used by the queries; operators take it as a parameter.
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digests(secrets.find(docs))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.inspect(media.store(table(spark, sf_dir, "documents"))))
 
@@ -24,6 +37,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 #: The conversation whose texts are control strings.
 MARKED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -34,5 +51,9 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows.unionByName(spark.createDataFrame(MARKED, kind))))
 
 
-QUERIES = {f.__name__: f for f in (op3_media_columns, op5_packing, op6_bpe, op8_chat)}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_media_columns, op5_packing, op6_bpe, op7_fingerprints, op8_chat, op10_html)}
 ORACLE_SQL: dict[str, str] = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, chat, fingerprints, html_text, media, packing, quality, secrets
+from weftline.llm import bpe, chat, fingerprints, html_text, language_model, media, packing, quality, secrets
 from weftline.llm.common import remainder, table
 
 #: Vocabulary used by the queries; operators take it as a parameter.
@@ -29,6 +29,10 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.inspect(media.store(table(spark, sf_dir, "documents"))))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
 
@@ -55,5 +59,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_media_columns, op5_packing, op6_bpe, op7_fingerprints, op8_chat, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_media_columns, op4_language_model, op5_packing, op6_bpe, op7_fingerprints, op8_chat, op10_html)}
 ORACLE_SQL: dict[str, str] = {}

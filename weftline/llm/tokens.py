@@ -70,7 +70,7 @@ def shingle_sets(texts: list[str], width: int = 5) -> list[np.ndarray]:
             own = words[at : at + c]
             weights = mix(np.arange(1, c + 1, dtype=np.uint64)) | np.uint64(1)
             short = mix(own * weights + np.arange(c, dtype=np.uint64)).sum(dtype=np.uint64, keepdims=True)
-            out.append(mix(short + np.uint64(c) * _BASE))
+            out.append(mix(short + np.array([c], np.uint64) * _BASE))
         else:
             out.append(np.empty(0, np.uint64))
         at += c

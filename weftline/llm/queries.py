@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, chat, fingerprints, html_text, language_model, media, packing, quality, secrets
+from weftline.llm import bpe, chat, fingerprints, html_text, jaccard_join, language_model, media, packing, quality, secrets
 from weftline.llm.common import remainder, table
 
 #: Vocabulary used by the queries; operators take it as a parameter.
@@ -55,9 +55,13 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows.unionByName(spark.createDataFrame(MARKED, kind))))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_media_columns, op4_language_model, op5_packing, op6_bpe, op7_fingerprints, op8_chat, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_media_columns, op4_language_model, op5_packing, op6_bpe, op7_fingerprints, op8_chat, op9_jaccard_join, op10_html)}
 ORACLE_SQL: dict[str, str] = {}

@@ -42,7 +42,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.zeros(len(raw), np.int64)
     length = ends - starts
     at = np.cumsum(length) - length
-    place = np.arange(int(length.sum()), dtype=np.int64) - np.repeat(at, length)
+    place = np.arange(int(length.sum()), dtype=np.int32) - np.repeat(at.astype(np.int32), length)
     part = _BYTE[data[solid]] * _powers(int(length.max()))[place]
     hashes = mix(np.add.reduceat(part, at) + length.astype(np.uint64))
     first = np.concatenate(([0], np.cumsum(sizes + 1)))

@@ -26,7 +26,8 @@ from weftline.llm.common import blocks, materialize, shuffle_partitions, texts
 from weftline.llm.packed import pack, slices_by_bucket, unpack
 from weftline.llm.tokens import mix, word_hashes
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 6 << 20
+PART_TOKENS = 1 << 20  # per range of keys, at least: bounds what a range adds up
 KEPT, HELD, JUDGED = 0, 1, 2  # training counts; training documents that weights are learned on; scored only
 END, BEGIN = np.uint64(0x5EED_0000_0000_0001), np.uint64(0x5EED_0000_0000_0002)
 BUCKETS = 40  # of context frequency, by powers of two
@@ -147,6 +148,10 @@ def answer(asked: DataFrame) -> DataFrame:
     return asked.groupBy("part").applyInArrow(run, ANSWERS)
 
 
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.repartition(parts, "part")
+
+
 def _told(store: pa.Table, answers: pa.Table, parts: int, column: str) -> tuple[Chunk, np.ndarray, np.ndarray]:
     """A chunk and the counts of its words (the end's also for the begin mark, which stands before each document once) and bigrams."""
     row = store.to_pylist()[0]
@@ -211,9 +216,11 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: i
     Without training documents the base is uniform over one unknown word and so is the mix.
     """
     spark = df.sparkSession
-    parts = parts or shuffle_partitions(spark)
     store = materialize(chunks(df, id_col, text_col, fold, judged, held_of), "chunks")
-    answers = materialize(answer(ask(store, parts)), "counts")
+    if not parts:
+        tokens = store.agg(F.coalesce(F.sum(F.octet_length("stream") / 4), F.lit(0)).cast("long")).first()[0]
+        parts = max(shuffle_partitions(spark), -(-tokens // PART_TOKENS))
+    answers = materialize(answer(_dealt(ask(store, parts), 2 * parts)), "counts")
     sums = answers.where("chunk = -1")
     n, n_held, v = sums.where(F.col("part") < parts).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_held"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     given = answers.where("chunk >= 0").select("chunk", "kind", "part", "total", "held")

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,18 +31,6 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[away], nodes[root[away]]
 
 
-def contract(edges: DataFrame) -> DataFrame:
-    """The edges of each batch as stars: fewer, and the same components."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = stars(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(run, "a long, b long")
-
-
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (a, b) reaches; roots included.
 
@@ -54,7 +39,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     and a checksum reach the driver. A node with very many neighbours is a key of joins
     that adaptive execution splits; minima are pre-aggregated.
     """
-    now = materialize(contract(edges.where("a <> b")).distinct(), "edges")
+    now = materialize(edges.where("a <> b").distinct(), "edges")
     before = None
     for _ in range(most):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

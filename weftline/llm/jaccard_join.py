@@ -204,8 +204,8 @@ def candidates(met: DataFrame, percent: int, parts: int) -> DataFrame:
         for m in np.unique(length[(length > 1) & (length <= SHORT)]).tolist():
             i, j = np.triu_indices(m, 1)
             own = starts[length == m]
-            for s in range(0, len(own), max(1, 500_000 // len(i))):
-                at = own[s : s + max(1, 500_000 // len(i)), None]
+            for s in range(0, len(own), max(1, 100_000 // len(i))):
+                at = own[s : s + max(1, 100_000 // len(i)), None]
                 a, b = (at + i).ravel(), (at + j).ravel()
                 ok = near_pairs(n, bits, a, b, percent)
                 found.append((key[a[ok]], key[b[ok]]))

@@ -14,7 +14,8 @@ first, then by hash, so common passages rarely stand in a prefix.
    leave a task, never all pairs.
 4. The sets of clustered classes are compared exactly, cluster by cluster: a breadth-first
    search that compares each member with those not yet reached. Clusters beyond ``CLUSTER``
-   members are cut into blocks of members, and all pairs of blocks are compared.
+   members or ``WEIGHT`` shingles are cut into blocks of members, and all pairs of blocks
+   are compared.
 
 No link is lost: a pair of likeness >= percent meets in step 2, passes the bound in step 3
 and so lies in one cluster. Texts with one set share all of this work, however many there are.
@@ -42,6 +43,8 @@ SLICES = 16
 FAN = 64  # tables that are added up at once
 FULL_CELL = 4096  # counts per block of groups at a shingle
 CLUSTER = 8192
+WEIGHT = 3_000_000  # shingles of a cluster in one task
+AT_ONCE = 1_000_000
 SIGNATURE = 8  # 64-bit words
 SHORT = 64  # meetings of up to so many classes are compared as one array of pairs
 DESCRIBED = "row long, doc_id long, n long, set_key long, group_key long, prefix binary, signature binary"
@@ -227,30 +230,46 @@ def candidates(met: DataFrame, percent: int, parts: int) -> DataFrame:
 
 
 def linked(keys: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stars over the exact links among sets: each member is compared with all not yet reached."""
+    """Stars over the exact links among sets: each member is compared with all not yet reached.
+
+    Common shingles are counted by an inverted list, ``AT_ONCE`` entries at a time. ``sets`` is emptied.
+    """
     order = np.argsort(keys, kind="stable")
-    keys, sets = keys[order], [sets[i] for i in order]
-    size = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), size)
+    keys = keys[order]
+    size = np.array([len(sets[i]) for i in order])
+    flat = np.concatenate([sets[i] for i in order])
+    sets.clear()
+    ends = np.cumsum(size)
     by = np.argsort(flat, kind="stable")
-    distinct, first, often = np.unique(flat[by], return_index=True, return_counts=True)
-    owner = owner[by]
-    left = np.ones(len(sets), bool)
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)[by]
+    flat = flat[by]
+    new = np.append(True, flat[1:] != flat[:-1])
+    del flat
+    first = np.flatnonzero(new)
+    often = np.diff(np.append(first, len(new)))
+    number = np.empty(len(new), np.int32)
+    number[by] = np.cumsum(new, dtype=np.int32) - 1
+    del by, new
+    left = np.ones(len(size), bool)
     a, b = [], []
-    for k in range(len(sets)):
+    for k in range(len(size)):
         if not left[k]:
             continue
         left[k] = False
         queue = [k]
-        while queue:
+        while queue and left.any():
             at = queue.pop()
-            if not left.any():
-                break
-            shingle = np.searchsorted(distinct, sets[at])
-            starts, n = first[shingle], often[shingle]
-            inside = np.repeat(starts - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            common = np.bincount(owner[inside], minlength=len(sets))
+            shingle = number[ends[at] - size[at] : ends[at]]
+            shingle = shingle[often[shingle] > 1]
+            total = np.cumsum(often[shingle])
+            common = np.zeros(len(size), np.int64)
+            s = 0
+            while s < len(shingle):
+                e = max(s + 1, int(np.searchsorted(total, (total[s - 1] if s else 0) + AT_ONCE, side="right")))
+                n = often[shingle[s:e]]
+                inside = np.repeat(first[shingle[s:e]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                common += np.bincount(owner[inside], minlength=len(size))
+                s = e
             hit = np.flatnonzero(left & (common * (100 + percent) >= (size + size[at]) * percent))
             left[hit] = False
             a += hit.tolist()
@@ -312,12 +331,11 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     met = meetings(groups, table, percent, parts).join(signatures, "group_key")
     edges = candidates(met.select("place", "set_key", "n", "signature"), percent, parts)
     clusters = materialize(components(edges).select(F.col("node").alias("set_key"), F.col("root").alias("cluster")), "clusters")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    cut = F.ceil(F.col("size") / CLUSTER).cast("int")
-    own = F.pmod(F.xxhash64("set_key"), F.col("cuts")).cast("int")
-    dealt = clusters.join(sizes, "cluster").withColumn("cuts", cut).withColumn("own", own)
-    with_unit = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("set_key", F.when(F.col("cuts") == 1, F.col("cluster")).otherwise(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other"))).alias("unit"))
-    members = with_unit.join(classes.select("set_key", "doc_id", "n"), "set_key")
+    weighed = clusters.join(classes.select("set_key", "doc_id", "n"), "set_key")
+    sizes = weighed.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / CLUSTER, F.sum("n") / WEIGHT)).cast("int").alias("cuts"))
+    dealt = weighed.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("cuts")).cast("int"))
+    unit = F.when(F.col("cuts") == 1, F.col("cluster")).otherwise(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")))
+    members = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("set_key", "doc_id", "n", unit.alias("unit"))
     links = materialize(verified(rows, members, width, percent, parts), "links")
     roots = components(links).select(F.col("node").alias("set_key"), "root")
     lowest = classes.select("set_key", "doc_id").join(roots, "set_key", "left").select("set_key", "doc_id", F.coalesce("root", "set_key").alias("root"))

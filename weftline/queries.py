@@ -1,6 +1,294 @@
-"""Registered queries of the lineage engine and their SQL."""
+"""Registered queries of the lineage engine and their SQL.
+
+The tables play vendor exports: turns of a conversation are runs of a trace, events of a
+user are spans, orders offer work that line items accept, and events are also links of
+attestation streams. All queries run over whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from weftline.functions.canonical import ZERO, base64url, canonical, digest_text, escape_pointer, from_base64url, sha256_text, short
+from weftline.operators import graph, resolve, streams
+from weftline.plans.reduction import Reduced, manifests
+from weftline.sources.vendor import clean, normalize
+from weftline.storage import materialize
+
+KEY = "lineage"
+WORKSPACE = "vlw_" + "w" * 21
+RUNS, OBSERVATIONS, SPANS = ("vls_" + c * 21 for c in "abc")
+SOURCES = [(RUNS, "langsmith-runs/1"), (OBSERVATIONS, "langfuse-observations/1"), (SPANS, "braintrust-spans/1")]
+SCOPE = "1" * 64
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _trace(c: str) -> Column:
+    return F.concat(F.lit("vlt_"), F.lpad(F.col(c).cast("string"), 21, "0"))
+
+
+def _rows(df: DataFrame, source: str, trace: Column, place: Column, **members: Column) -> DataFrame:
+    raw = canonical(F.struct(*(v.alias(k) for k, v in members.items())))
+    return df.select(F.lit(source).alias("source"), place.cast("string").alias("place"), raw.alias("raw"), trace.alias("trace"))
+
+
+def _normalized(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    return normalize(rows, spark.createDataFrame(SOURCES, "id string, profile string"), KEY, WORKSPACE)
+
+
+def _run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = lambda back: F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
+    parent = F.when(F.col("turn") > 0, name(1))
+    return _rows(_table(spark, sf_dir, "conversations"), RUNS, _trace("conv_id"), name(0), id=name(0), parent_run_id=parent, trace_id=F.col("conv_id").cast("string"))
+
+
+def _span_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = F.when(F.col("event_type") == "view", F.array().cast("array<string>")).when(F.col("event_type") == "click", F.array(F.lit("view"))).otherwise(F.array(F.lit("click")))
+    user, event = F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    return _rows(_table(spark, sf_dir, "events"), SPANS, _trace("user_id"), event, id=event, root_span_id=user, span_id=F.col("event_type"), span_parents=before)
+
+
+def _run_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean(_normalized(spark, _run_rows(spark, sf_dir)))
+
+
+def lineage_run_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs as steps, by the first profile."""
+    return _run_steps(spark, sf_dir).select("trace", "record", "hash")
+
+
+def lineage_span_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans as steps, by the third profile."""
+    return clean(_normalized(spark, _span_rows(spark, sf_dir))).select("trace", "record", "hash")
+
+
+def _lineage(trace: Column, **given: Column) -> Column:
+    text = "cast(null as {})".format
+    kinds = {
+        "accept": "struct<id:string,parent:struct<hash:string,record:string,source:string>,scope:string>", "agent": "struct<namespace:string,principal:string,subject:string>",
+        "policy": "struct<decision:string,digest:string,version:string>",
+    }
+    values = {k: F.expr(text(v)) for k, v in kinds.items()} | {"attachments": F.expr("cast(array() as array<string>)"), "offers": F.expr("cast(array() as array<string>)"), "trace_id": trace, "v": F.lit(1)} | given
+    return F.struct(F.struct(*(values[k].alias(k) for k in sorted(values))).alias(KEY))
+
+
+def _agent(subject: Column) -> Column:
+    return F.struct(F.lit("lab").alias("namespace"), F.lit(None).cast("string").alias("principal"), subject.alias("subject"))
+
+
+def _order_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order is a run that offers its work to the warehouse."""
+    key, trace = F.col("o_orderkey").cast("string"), _trace("o_custkey")
+    offer = F.struct(_agent(F.lit("warehouse")).alias("child_agent"), F.lit(OBSERVATIONS).alias("child_source"), F.concat(F.lit("vld_"), F.lpad(key, 21, "0")).alias("id"), F.lit(SCOPE).alias("scope"))
+    meta = F.struct(_lineage(trace, agent=_agent(F.lit("shop")), offers=F.array(offer)).alias("metadata"))
+    return clean(_normalized(spark, _rows(_table(spark, sf_dir, "orders"), RUNS, trace, key, extra=meta, id=key, parent_run_id=F.lit(None).cast("string"), trace_id=F.col("o_custkey").cast("string"))))
+
+
+def _line_steps(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
+    """A line item is an observation that accepts its order's work, naming the order's step."""
+    owner = orders.select("trace", F.col("record").cast("long").alias("l_orderkey"), F.col("hash").alias("parent_hash"))
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(owner, "l_orderkey")
+    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    parent = F.struct(F.col("parent_hash").alias("hash"), F.col("l_orderkey").cast("string").alias("record"), F.lit(RUNS).alias("source"))
+    accept = F.struct(F.concat(F.lit("vld_"), F.lpad(F.col("l_orderkey").cast("string"), 21, "0")).alias("id"), parent.alias("parent"), F.lit(SCOPE).alias("scope"))
+    meta = _lineage(F.col("trace"), agent=_agent(F.lit("warehouse")), accept=accept)
+    return clean(_normalized(spark, _rows(lines, OBSERVATIONS, F.col("trace"), key, id=key, metadata=meta, parentObservationId=F.lit(None).cast("string"), traceId=F.col("l_orderkey").cast("string"))))
+
+
+def lineage_delegations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome of each order's offer: one acceptance is an edge, none is a gap, several are reuse."""
+    orders = materialize(_order_steps(spark, sf_dir), "orders")
+    steps = materialize(orders.unionByName(_line_steps(spark, sf_dir, orders)), "steps")
+    return resolve.delegation_outcomes(steps).select("trace", "delegation", "outcome", F.coalesce(F.size("related"), F.lit(0)).cast("long").alias("n_related"))
+
+
+def lineage_native_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parent edges between runs, with their hashes."""
+    steps = materialize(_run_steps(spark, sf_dir), "steps")
+    edges, _ = resolve.native_parents(steps, resolve.conflicts(steps))
+    return edges.select("trace", "parent", "child", "hash")
+
+
+def lineage_parent_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans whose parent is missing or ambiguous."""
+    steps = materialize(clean(_normalized(spark, _span_rows(spark, sf_dir))), "steps")
+    _, gaps = resolve.native_parents(steps, resolve.conflicts(steps))
+    return gaps.select("trace", "code", "subject", F.size("related").cast("long").alias("n_related"), sha256_text(F.array_join("related", ",")).alias("related_sha256"))
+
+
+def lineage_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers exported as records that differ: each has its versions' hashes."""
+    trace, key = _trace("o_custkey"), F.col("o_custkey").cast("string")
+    rows = _rows(_table(spark, sf_dir, "orders"), OBSERVATIONS, trace, key, id=key, metadata=_lineage(trace, agent=_agent(F.col("o_orderpriority"))), parentObservationId=F.lit(None).cast("string"), traceId=key)
+    found = resolve.conflict_gaps(resolve.conflicts(clean(_normalized(spark, rows))))
+    return found.select("trace", "code", "subject", F.size("related").cast("long").alias("n_related"), sha256_text(F.array_join("related", ",")).alias("related_sha256"))
+
+
+def _type_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each event's type to the type of the same user's next event."""
+    following = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = _table(spark, sf_dir, "events").select(_trace("user_id").alias("trace"), F.col("event_type").alias("parent"), following.alias("child"))
+    return rows.where("child is not null").distinct()
+
+
+def lineage_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of event types that lead to each other, for each user."""
+    found = graph.cycles(_type_edges(spark, sf_dir))
+    return graph.cycle_gaps(found).select("trace", "code", "subject", F.array_join("related", ",").alias("members"))
+
+
+def lineage_acyclic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges left when those within a cycle set go."""
+    edges = materialize(_type_edges(spark, sf_dir), "type-edges")
+    return graph.without_cycles(edges, graph.cycles(edges)).select("trace", "parent", "child")
+
+
+def _turn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node = lambda back: F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
+    turns = _table(spark, sf_dir, "conversations")
+    named = turns.select(_trace("conv_id").alias("trace"), node(1).alias("parent"), node(0).alias("child"))
+    there = turns.select(_trace("conv_id").alias("trace"), node(0).alias("parent"))
+    return named.join(there, ["trace", "parent"], "left_semi").distinct().select("trace", "parent", "child")
+
+
+def lineage_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each turn stands on, with depth; a turn itself at 0."""
+    edges = materialize(_turn_edges(spark, sf_dir), "turn-edges")
+    turns = _table(spark, sf_dir, "conversations")
+    nodes = turns.select(_trace("conv_id").alias("trace"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("node")).distinct()
+    return graph.ancestors(edges, nodes).select("trace", "start", "node", F.col("depth").cast("long").alias("depth"))
+
+
+def lineage_topological(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns in an order in which parents come first."""
+    edges = materialize(_turn_edges(spark, sf_dir), "turn-edges")
+    turns = _table(spark, sf_dir, "conversations")
+    nodes = turns.select(_trace("conv_id").alias("trace"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("node"))
+    return graph.topological(nodes, edges).select("trace", "node", F.col("position").cast("long").alias("position"))
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as links of a stream for each user: positions from ``props``, each naming the event before it."""
+    events = _table(spark, sf_dir, "events")
+    own = lambda c: sha256_text(c.cast("string"))
+    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    place = (F.get_json_object("props", "$.k").cast("long") + 1).cast("string")
+    return events.select(F.lit(SPANS).alias("source"), F.col("user_id").cast("string").alias("stream"), place.alias("seq"), own(F.col("event_id")).alias("hash"), F.coalesce(own(before), F.lit(ZERO)).alias("prev"), F.col("event_type").alias("step"))
+
+
+def lineage_stream_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of a stream with a link whose predecessor isn't there."""
+    return streams.broken_links(_links(spark, sf_dir)).select("source", "stream", "n")
+
+
+def lineage_stream_forks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of a stream with several links."""
+    return streams.forks(_links(spark, sf_dir)).select("source", "stream", "n", F.array_join("hashes", ",").alias("hashes"))
+
+
+def lineage_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links up to the last one of each stream that attests a purchase."""
+    steps = spark.createDataFrame([("vlt_" + "p" * 21, "purchase")], "trace string, hash string")
+    return streams.pinned(_links(spark, sf_dir), steps).select("trace", "source", "stream", "seq", "hash")
+
+
+def lineage_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical graph of each conversation: its steps, edges and gaps, and their hash."""
+    steps = materialize(_run_steps(spark, sf_dir), "steps")
+    conflicted = resolve.conflicts(steps)
+    edges, gaps = resolve.native_parents(steps, conflicted)
+    return manifests(steps, Reduced(edges, gaps.unionByName(resolve.conflict_gaps(conflicted)))).select("trace", "graph")
+
+
+def lineage_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests, encodings and pointers of all document texts."""
+    text = F.coalesce("text", F.lit(""))
+    raw = F.encode(text, "utf-8")
+    hexed = sha256_text(text)
+    return _table(spark, sf_dir, "documents").select(
+        "doc_id", hexed.alias("sha256"), base64url(F.unhex(hexed)).alias("sha256_base64url"), (from_base64url(base64url(raw)) == raw).alias("round_trip"),
+        digest_text("VL-BATCH/1", text).alias("tagged"), short(hexed).alias("short"), sha256_text(escape_pointer(text)).alias("pointer_sha256"),
+    )
+
+
+flagship = lineage_manifests
+
+_NAMES = (
+    lineage_run_steps, lineage_span_steps, lineage_native_edges, lineage_parent_gaps, lineage_conflicts, lineage_delegations, lineage_cycles, lineage_acyclic_edges, lineage_ancestors, lineage_topological,
+    lineage_stream_breaks, lineage_stream_forks, lineage_pinned, lineage_manifests, lineage_encodings,
+)
+QUERIES: dict = {f.__name__: f for f in _NAMES}
+
+
+def _step_json(agent: str, span: str, native: str, parents: str, profile: str, record: str, source: str, trace: str) -> str:
+    """SQL text of a step's canonical JSON; arguments are SQL."""
+    return (
+        f"""'{{"accept":null,"agent":' || {agent} || ',"attachments":[],"native_span":"' || {span} || '","native_trace":"' || {native} || '","offers":[],"parents":' || {parents} || ',"policy":null,"profile":"{profile}","record":"' """
+        f"""|| {record} || '","source":"{source}","trace":"' || {trace} || '","v":1,"workspace":"{WORKSPACE}"}}'"""
+    )
+
+
+def _tagged(tag: str, json: str) -> str:
+    return f"sha256('{tag}' || chr(0) || {json})"
+
+
+def _sql_trace(c: str) -> str:
+    return f"'vlt_' || lpad({c}::varchar, 21, '0')"
+
+
+_RUN = "conv_id || '-' || turn"
+_RUN_PARENTS = """CASE WHEN turn > 0 THEN '[{"kind":"record","value":"' || conv_id || '-' || (turn - 1) || '"}]' ELSE '[]' END"""
+_RUN_STEPS = f"""SELECT DISTINCT conv_id, turn, {_sql_trace("conv_id")} AS trace, {_RUN} AS record,
+  {_tagged("VL-STEP/1", _step_json("'null'", _RUN, "conv_id", _RUN_PARENTS, "langsmith-runs/1", _RUN, RUNS, _sql_trace("conv_id")))} AS hash FROM conversations"""
+_BEFORE = "CASE event_type WHEN 'view' THEN NULL WHEN 'click' THEN 'view' ELSE 'click' END"
+_SPAN_PARENTS = f"""coalesce('[{{"kind":"span","value":"' || ({_BEFORE}) || '"}}]', '[]')"""
+_SPAN_STEPS = f"""SELECT user_id, event_type, {_BEFORE} AS before, {_sql_trace("user_id")} AS trace, event_id::varchar AS record,
+  {_tagged("VL-STEP/1", _step_json("'null'", "event_type", "user_id", _SPAN_PARENTS, "braintrust-spans/1", "event_id", SPANS, _sql_trace("user_id")))} AS hash FROM events"""
+_EDGE_JSON = """'{"child":"' || child || '","delegation":null,"kind":"NATIVE_PARENT","parent":"' || parent || '","scope":null,"trace":"' || trace || '","v":1}'"""
+_RUN_EDGES = f"""SELECT trace, parent, child, {_tagged("VL-EDGE/1", _EDGE_JSON)} AS hash FROM (
+  SELECT c.trace, p.hash AS parent, c.hash AS child FROM steps c JOIN steps p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1)"""
+_CUSTOMER = """'{"namespace":"lab","principal":null,"subject":"' || o_orderpriority || '"}'"""
+_CUSTOMERS = f"""SELECT DISTINCT {_sql_trace("o_custkey")} AS trace, {_tagged("VL-STEP/1", _step_json(_CUSTOMER, "o_custkey", "o_custkey", "'[]'", "langfuse-observations/1", "o_custkey", OBSERVATIONS, _sql_trace("o_custkey")))} AS hash FROM orders"""
+_TYPE_EDGES = f"""SELECT DISTINCT {_sql_trace("user_id")} AS trace, event_type AS parent, following AS child FROM (
+  SELECT user_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following FROM events) WHERE following IS NOT NULL"""
+_MUTUAL = f"""WITH RECURSIVE e AS ({_TYPE_EDGES}), r AS (SELECT trace, parent AS a, child AS b FROM e UNION SELECT r.trace, r.a, e.child FROM r JOIN e ON e.trace = r.trace AND e.parent = r.b),
+  m AS (SELECT x.trace, x.a, x.b FROM r x JOIN r y ON y.trace = x.trace AND y.a = x.b AND y.b = x.a)"""
+_LINKS = f"""SELECT '{SPANS}' AS source, user_id::varchar AS stream, json_extract_string(props, '$.k')::bigint + 1 AS n, sha256(event_id::varchar) AS hash,
+  coalesce(sha256(lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id)::varchar), '{ZERO}') AS prev, event_type AS step FROM events"""
+_PREVIOUS = "SELECT DISTINCT c.conv_id, c.turn, {} AS trace, p.turn AS before FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1".format(_sql_trace("c.conv_id"))
+
+ORACLE_SQL: dict = {
+    "lineage_run_steps": f"SELECT trace, record, hash FROM ({_RUN_STEPS})",
+    "lineage_span_steps": f"SELECT trace, record, hash FROM ({_SPAN_STEPS})",
+    "lineage_native_edges": f"WITH steps AS ({_RUN_STEPS}) {_RUN_EDGES}",
+    "lineage_parent_gaps": f"""WITH steps AS ({_SPAN_STEPS}), named AS (SELECT user_id, event_type, list_sort(list(hash)) AS hashes FROM steps GROUP BY ALL),
+      m AS (SELECT s.trace, s.hash, n.hashes FROM steps s LEFT JOIN named n ON n.user_id = s.user_id AND n.event_type = s.before WHERE s.before IS NOT NULL)
+      SELECT trace, CASE WHEN hashes IS NULL THEN 'PARENT_MISSING' ELSE 'PARENT_AMBIGUOUS' END AS code, hash AS subject, coalesce(len(hashes), 0)::bigint AS n_related,
+      sha256(coalesce(array_to_string(hashes, ','), '')) AS related_sha256 FROM m WHERE hashes IS NULL OR len(hashes) > 1""",
+    "lineage_conflicts": f"""WITH v AS (SELECT trace, list_sort(list(hash)) AS h FROM ({_CUSTOMERS}) GROUP BY trace)
+      SELECT trace, 'SOURCE_CONFLICT' AS code, h[1] AS subject, len(h)::bigint AS n_related, sha256(array_to_string(h, ',')) AS related_sha256 FROM v WHERE len(h) > 1""",
+    "lineage_delegations": f"""WITH n AS (SELECT o_orderkey, o_custkey, count(l_orderkey) AS k FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+      SELECT {_sql_trace("o_custkey")} AS trace, 'vld_' || lpad(o_orderkey::varchar, 21, '0') AS delegation, CASE k WHEN 0 THEN 'ACCEPT_MISSING' WHEN 1 THEN 'DELEGATES' ELSE 'DELEGATION_REUSED' END AS outcome,
+      CASE WHEN k > 1 THEN k + 1 ELSE 0 END::bigint AS n_related FROM n""",
+    "lineage_cycles": f"{_MUTUAL}, s AS (SELECT DISTINCT trace, list_sort(list(DISTINCT b)) AS h FROM m GROUP BY trace, a) SELECT trace, 'CYCLE' AS code, h[1] AS subject, array_to_string(h, ',') AS members FROM s",
+    "lineage_acyclic_edges": f"{_MUTUAL} SELECT trace, parent, child FROM e WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.trace = e.trace AND m.a = e.parent AND m.b = e.child)",
+    "lineage_ancestors": f"""WITH RECURSIVE t AS ({_PREVIOUS}), r AS (SELECT conv_id, turn AS s, turn, trace, before, 0 AS depth FROM t UNION ALL SELECT r.conv_id, r.s, t.turn, r.trace, t.before, r.depth + 1 FROM r JOIN t ON t.conv_id = r.conv_id AND t.turn = r.before)
+      SELECT trace, conv_id || '-' || s AS start, conv_id || '-' || turn AS node, depth::bigint AS depth FROM r""",
+    "lineage_topological": f"""SELECT trace, conv_id || '-' || turn AS node, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::bigint AS position FROM ({_PREVIOUS})""",
+    "lineage_stream_breaks": f"""WITH l AS ({_LINKS}) SELECT DISTINCT source, stream, n FROM l a WHERE (n = 1 AND prev <> '{ZERO}') OR (n > 1 AND NOT EXISTS (SELECT 1 FROM l b WHERE b.stream = a.stream AND b.n = a.n - 1 AND b.hash = a.prev))""",
+    "lineage_stream_forks": f"WITH l AS ({_LINKS}), g AS (SELECT source, stream, n, list_sort(list(DISTINCT hash)) AS h FROM l GROUP BY ALL) SELECT source, stream, n, array_to_string(h, ',') AS hashes FROM g WHERE len(h) > 1",
+    "lineage_pinned": f"""WITH l AS ({_LINKS}), p AS (SELECT stream, max(n) AS last FROM l WHERE step = 'purchase' GROUP BY stream)
+      SELECT 'vlt_{"p" * 21}' AS trace, source, l.stream, n::varchar AS seq, hash FROM l JOIN p ON p.stream = l.stream WHERE n <= last""",
+    "lineage_manifests": f"""WITH steps AS ({_RUN_STEPS}), edges AS ({_RUN_EDGES}), s AS (SELECT trace, '["' || string_agg(hash, '","' ORDER BY hash) || '"]' AS j FROM steps GROUP BY trace),
+      e AS (SELECT trace, '["' || string_agg(hash, '","' ORDER BY hash) || '"]' AS j FROM edges GROUP BY trace),
+      g AS (SELECT trace, '[' || string_agg('{{"code":"PARENT_MISSING","related":[],"subject":"' || hash || '"}}', ',' ORDER BY hash) || ']' AS j FROM steps c WHERE turn > 0 AND NOT EXISTS (SELECT 1 FROM steps p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1) GROUP BY trace)
+      SELECT s.trace, {_tagged("VL-GRAPH/1", f'''('{{"edges":' || coalesce(e.j, '[]') || ',"gaps":' || coalesce(g.j, '[]') || ',"origins":[],"steps":' || s.j || ',"trace":"' || s.trace || '","v":1,"workspace":"{WORKSPACE}"}}')''')} AS graph
+      FROM s LEFT JOIN e ON e.trace = s.trace LEFT JOIN g ON g.trace = s.trace""",
+    "lineage_encodings": """SELECT doc_id, sha256(t) AS sha256, rtrim(translate(to_base64(unhex(sha256(t))), '+/', '-_'), '=') AS sha256_base64url, true AS round_trip, sha256('VL-BATCH/1' || chr(0) || t) AS tagged,
+      left(sha256(t), 12) AS short, sha256(replace(replace(t, '~', '~0'), '/', '~1')) AS pointer_sha256 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+}

@@ -48,6 +48,15 @@ def _kind(v: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(v, f"$.{path}", "variant"))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with its columns computed once per row.
+
+    A filter over a cheap-looking column is otherwise pushed through the projections below it,
+    and each of its mentions of a parsed object becomes a parse of its own.
+    """
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("row")).select("row.*")
+
+
 def _required(v: Column, path: str, field: str) -> list[tuple[Column, str, str]]:
     value = _get(v, path)
     return [(~F.coalesce(_kind(v, path) == "STRING", F.lit(False)) | (value == ""), "PROFILE_MISMATCH", field), checks.bad(checks.is_text(value), field)]
@@ -75,7 +84,7 @@ def _profile(rows: DataFrame, profile: str, metadata_key: str) -> DataFrame:
     # from_json drops unknown members, so names are compared on the text
     names = F.array_sort(F.json_object_keys(F.to_json(inner)))
     known = F.array(*map(F.lit, ("accept", "agent", "attachments", "offers", "policy", "trace_id", "v")))
-    return rows.select(
+    return settled(rows.select(
         "*",
         F.when(v.isNull(), F.struct(F.lit("JSON_INVALID").alias("code"), F.lit("/row").alias("field"))).alias("parse_error"),
         (F.octet_length("raw") > ROW_BYTES).alias("too_long"),
@@ -84,7 +93,7 @@ def _profile(rows: DataFrame, profile: str, metadata_key: str) -> DataFrame:
         F.when(given & object_, lineage).alias("lineage"),
         checks.first_error([r for p, f in ((record, "id"), (trace, trace), (span, span)) for r in _required(v, p, f"/row/{f}")] + parent_rules).alias("profile_error"),
         (given & (~object_ | (names != known))).alias("odd_lineage"), (~given).alias("metadata_absent"), F.lit(field).alias("metadata_field"),
-    )
+    ))
 
 
 def normalize(rows: DataFrame, sources: DataFrame, metadata_key: str, workspace: str) -> DataFrame:
@@ -120,7 +129,7 @@ def normalize(rows: DataFrame, sources: DataFrame, metadata_key: str, workspace:
         sorted_by_json(F.coalesce("parents", empty(PARENT)), lambda p: F.array(p["kind"], p["value"])).alias("parents"),
         m["policy"].alias("policy"), "profile", "record", "source", "trace", F.lit(1).alias("v"), F.lit(workspace).alias("workspace"),
     )
-    steps = body.withColumn("hash", F.when(F.col("error").isNull(), digest(STEP, F.struct(*BODY))))
+    steps = settled(body).withColumn("hash", F.when(F.col("error").isNull(), digest(STEP, F.struct(*BODY))))
     steps = steps.withColumn("warnings", F.when(F.col("error").isNull() & F.col("metadata_absent"), F.array(F.lit("METADATA_ABSENT"))).otherwise(F.array().cast("array<string>")))
     lost = other.select("place", "source", "trace", F.struct(F.lit("NOT_FOUND").alias("code"), F.lit("/source").alias("field")).alias("error"))
     return steps.drop("metadata_absent").unionByName(lost, allowMissingColumns=True)

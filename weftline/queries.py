@@ -130,14 +130,15 @@ def lineage_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _type_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From each event's type to the type of the same user's next event."""
-    following = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    rows = _table(spark, sf_dir, "events").select(_trace("user_id").alias("trace"), F.col("event_type").alias("parent"), following.alias("child"))
+    """From each event's kind (type and size) to the kind of the same user's next event."""
+    kind = F.concat_ws("-", "event_type", F.floor(F.col("value") / 5).cast("string"))
+    following = F.lead(kind).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = _table(spark, sf_dir, "events").select(_trace("user_id").alias("trace"), kind.alias("parent"), following.alias("child"))
     return rows.where("child is not null").distinct()
 
 
 def lineage_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sets of event types that lead to each other, for each user."""
+    """Sets of event kinds that lead to each other, for each user."""
     found = graph.cycles(_type_edges(spark, sf_dir))
     return graph.cycle_gaps(found).select("trace", "code", "subject", F.array_join("related", ",").alias("members"))
 
@@ -254,8 +255,8 @@ _RUN_EDGES = f"""SELECT trace, parent, child, {_tagged("VL-EDGE/1", _EDGE_JSON)}
   SELECT c.trace, p.hash AS parent, c.hash AS child FROM steps c JOIN steps p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1)"""
 _CUSTOMER = """'{"namespace":"lab","principal":null,"subject":"' || o_orderpriority || '"}'"""
 _CUSTOMERS = f"""SELECT DISTINCT {_sql_trace("o_custkey")} AS trace, {_tagged("VL-STEP/1", _step_json(_CUSTOMER, "o_custkey", "o_custkey", "'[]'", "langfuse-observations/1", "o_custkey", OBSERVATIONS, _sql_trace("o_custkey")))} AS hash FROM orders"""
-_TYPE_EDGES = f"""SELECT DISTINCT {_sql_trace("user_id")} AS trace, event_type AS parent, following AS child FROM (
-  SELECT user_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following FROM events) WHERE following IS NOT NULL"""
+_TYPE_EDGES = f"""SELECT DISTINCT {_sql_trace("user_id")} AS trace, kind AS parent, following AS child FROM (
+  SELECT user_id, kind, lead(kind) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following FROM (SELECT *, event_type || '-' || floor(value / 5)::bigint AS kind FROM events)) WHERE following IS NOT NULL"""
 _MUTUAL = f"""WITH RECURSIVE e AS ({_TYPE_EDGES}), r AS (SELECT trace, parent AS a, child AS b FROM e UNION SELECT r.trace, r.a, e.child FROM r JOIN e ON e.trace = r.trace AND e.parent = r.b),
   m AS (SELECT x.trace, x.a, x.b FROM r x JOIN r y ON y.trace = x.trace AND y.a = x.b AND y.b = x.a)"""
 _LINKS = f"""SELECT '{SPANS}' AS source, user_id::varchar AS stream, json_extract_string(props, '$.k')::bigint + 1 AS n, sha256(event_id::varchar) AS hash,
@@ -272,7 +273,7 @@ ORACLE_SQL: dict = {
       sha256(coalesce(array_to_string(hashes, ','), '')) AS related_sha256 FROM m WHERE hashes IS NULL OR len(hashes) > 1""",
     "lineage_conflicts": f"""WITH v AS (SELECT trace, list_sort(list(hash)) AS h FROM ({_CUSTOMERS}) GROUP BY trace)
       SELECT trace, 'SOURCE_CONFLICT' AS code, h[1] AS subject, len(h)::bigint AS n_related, sha256(array_to_string(h, ',')) AS related_sha256 FROM v WHERE len(h) > 1""",
-    "lineage_delegations": f"""WITH n AS (SELECT o_orderkey, o_custkey, count(l_orderkey) AS k FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+    "lineage_delegations": f"""WITH n AS (SELECT o_orderkey, o_custkey, count(DISTINCT l_linenumber) AS k FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
       SELECT {_sql_trace("o_custkey")} AS trace, 'vld_' || lpad(o_orderkey::varchar, 21, '0') AS delegation, CASE k WHEN 0 THEN 'ACCEPT_MISSING' WHEN 1 THEN 'DELEGATES' ELSE 'DELEGATION_REUSED' END AS outcome,
       CASE WHEN k > 1 THEN k + 1 ELSE 0 END::bigint AS n_related FROM n""",
     "lineage_cycles": f"{_MUTUAL}, s AS (SELECT DISTINCT trace, list_sort(list(DISTINCT b)) AS h FROM m GROUP BY trace, a) SELECT trace, 'CYCLE' AS code, h[1] AS subject, array_to_string(h, ',') AS members FROM s",

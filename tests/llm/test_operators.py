@@ -53,7 +53,7 @@ def test_guess_cost_is_the_least_segmentation():
             cut = sorted(cut)
             if all(a[1] <= b[0] for a, b in zip(cut, cut[1:])):
                 free = len(value) - sum(e - s for s, e, *_ in cut)
-                assert best <= sum(c for *_, c in cut) + free * per + 1e-9
+                assert best <= sum(c + 0.3 for *_, c in cut) + free * per + 1e-9  # 0.3: each span more has to be guessed to be there
 
 
 def test_quality_on_held_out_rows(spark):
@@ -209,7 +209,7 @@ def test_jaccard_join_against_all_pairs(spark):
 
 
 def test_html_main_text(spark):
-    page = "<html><head><title>T</title><style>p{}</style></head><body><nav><a href=/>Home</a></nav><article><h1>Head &amp; tail</h1><p>One  long\n sentence of the text, with <b>marks</b> in it.</p><p>Another long sentence that belongs to the text.</p></article><footer>Imprint</footer><script>x()</script></body></html>"
+    page = "<html><head><title>T</title><style>p{}</style></head><body><nav><a href=/>Home</a></nav><article><h1>Head &amp; tail</h1><p>One  long\n sentence of the text, with <b>marks</b> in <span class=ad>BUY</span>it.</p><p>Another long sentence that belongs to the text.</p></article><footer>Imprint</footer><script>x()</script></body></html>"
     df = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", "")], "page_id long, url string, html string")
     got = {r.page_id: r for r in html_text.extract(df).collect()}
     assert got[1].text == "Head & tail\n\nOne long sentence of the text, with marks in it.\n\nAnother long sentence that belongs to the text."

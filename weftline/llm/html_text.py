@@ -78,6 +78,8 @@ class Lines(HTMLParser):
         if not marked:
             article = any(t in ("article", "main") for t, *_ in self.open)
             marked = tag in APART or (tag == "header" and not article) or (bool(attrs) and tag not in ("html", "body", "article", "main") and self.is_marked(attrs))
+            if marked and tag not in BLOCK:  # within a block: this text goes, the block's own stays
+                unread, marked = True, False
         if tag in CONTAINER:
             self.containers.append((tag, within))
             within = len(self.containers) - 1
@@ -108,7 +110,8 @@ class Lines(HTMLParser):
         for i in range(len(self.open) - 1, -1, -1):
             name = self.open[i][0]
             if name == tag:
-                self.flush()
+                if any(t in BLOCK for t, *_ in self.open[i:]):  # the end of an inline element ends no block
+                    self.flush()
                 del self.open[i:]
                 self.state = self.open[-1][1:] if self.open else (False, False, 0)
                 return

@@ -147,6 +147,29 @@ def test_bpe_matches_the_library(spark):
         assert r.decoded == tok.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_both_encoders_give_the_librarys_ids(seed):
+    """Random mixes of scripts, white space, contractions, symbols, recent letters and special tokens."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    known = Tokenizer.from_file(path)
+    known.no_truncation()
+    known.no_padding()
+    pick = random.Random(seed)
+    pools = ["abc XYZ'sllre 123", "  \t\n\r\x0b\x0c\x85\xa0\u3000 a", "éüßñçø中文日本한국", "\U0001f600\u200d\u0301\u1c89\ua7cb\U00010d40 a1", "<|endoftext|>'S'T .,;:!?-_\x00\x1c"]
+    for k in range(800):
+        text = "".join(pick.choice(pick.choice(pools)) for _ in range(pick.randint(0, 30)))
+        text += "<|endoftext|>" + text if k % 7 == 0 else ""
+        want = known.encode(text, add_special_tokens=False).ids
+        assert packing.fast_encoder(path).encode(text, allowed_special="all") == want
+        ids = bpe.encoder(path).encode_many([text])[0]
+        assert [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)] == want
+        assert bpe.encoder(path).decode(ids) == known.decode(want, skip_special_tokens=False)
+
+
 def test_fingerprints_of_edited_texts(spark):
     texts = corpus(seed=6, n=30)
     rows = {r.doc_id: r for r in fingerprints.fingerprint_edits(docs_of(spark, texts)).collect()}

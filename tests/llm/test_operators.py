@@ -231,6 +231,22 @@ def test_jaccard_join_against_all_pairs(spark):
     assert kept == {c for *_, c in want}
 
 
+def test_jaccard_join_and_keep_one_with_null_and_repeated_ids(spark):
+    base = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(4)]
+    near = [t.replace("x30", "y30") for t in base]
+    rows = [(None, base[0]), (None, near[0]), (None, base[1]), (None, base[1]), (3, base[2]), (5, near[2]), (5, base[3]), (None, near[3]), (7, ""), (7, None), (None, " ")]
+    docs = spark.createDataFrame([(d, t, None, "s", n, None, None) for n, (d, t) in enumerate(rows)], KIND)
+    order = lambda r: tuple((x is None, x or 0) for x in r)
+    got = sorted(((r.doc_id, r.n_shingles > 0, r.component_id) for r in jaccard_join.join(docs).collect()), key=order)
+    assert got == sorted([(None, True, None)] * 4 + [(3, True, 3), (5, True, 3), (5, True, 5), (None, True, 5), (7, False, 7), (7, False, 7), (None, False, None)], key=order)
+    kept = sorted(r.n_chars for r in jaccard_join.keep_one(docs).collect())
+    assert len(kept) == 7 and len({0, 1} & set(kept)) == len({2, 3} & set(kept)) == 1 and set(kept) - {0, 1, 2, 3} == {4, 6, 8, 9, 10}
+    assert jaccard_join.keep_one(docs).columns == docs.columns
+    # a link between classes whose ids are all null
+    linked = jaccard_join.keep_one(spark.createDataFrame([(None, base[0], None, "s", 0, None, None), (None, near[0], None, "s", 1, None, None)], KIND))
+    assert linked.count() == 1
+
+
 def test_html_main_text(spark):
     page = "<html><head><title>T</title><style>p{}</style></head><body><nav><a href=/>Home</a></nav><article><h1>Head &amp; tail</h1><p>One  long\n sentence of the text, with <b>marks</b> in <span class=ad>BUY</span>it.</p><p>Another long sentence that belongs to the text.</p></article><footer>Imprint</footer><script>x()</script></body></html>"
     df = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", "")], "page_id long, url string, html string")

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import blocks, materialize, shuffle_partitions, texts
@@ -47,15 +47,17 @@ WEIGHT = 3_000_000  # shingles of a cluster in one task
 AT_ONCE = 1_000_000
 SIGNATURE = 8  # 64-bit words
 SHORT = 64  # meetings of up to so many classes are compared as one array of pairs
-DESCRIBED = "row long, doc_id long, n long, set_key long, group_key long, prefix binary, signature binary"
+DESCRIBED = "row long, tie long, doc_id long, n long, set_key long, group_key long, prefix binary, signature binary"
 
 
 def cell(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - CELLS_LOG)).astype(np.int64)
 
 
-def source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def source(df: DataFrame, id_col: str, text_col: str, row: str | Column, tie: Column | None = None) -> DataFrame:
+    """doc_id, text, row and tie; ``row`` is a key of its own for each row, that has to be the same in each reading."""
+    row = F.col(row) if isinstance(row, str) else row
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row.alias("row"), (F.lit(0) if tie is None else tie).cast("long").alias("tie"))
 
 
 def count_table(rows: DataFrame, width: int = WIDTH) -> np.ndarray:
@@ -115,19 +117,17 @@ def describe(rows: DataFrame, table: np.ndarray, width: int = WIDTH, percent: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
-        number = TaskContext.get().partitionId() << 33
         for block in blocks(batches):
             out = []
-            for doc, own in zip(block.column(0).to_pylist(), shingle_sets(texts(block), width)):
+            for row, tie, doc, own in zip(*(block.column(c).to_pylist() for c in ("row", "tie", "doc_id")), shingle_sets(texts(block), width)):
                 n = len(own)
                 if n:
                     prefix = own[np.lexsort((own, counts[cell(own)]))[: prefix_length(n, percent)]]
                     key, group = (int(mix((mix(x + np.uint64(n)).sum(dtype=np.uint64, keepdims=True)))[0].astype(np.int64)) for x in (own, prefix))
-                    out.append((number, doc, n, key, group, pack(prefix), signature(own)))
+                    out.append((row, tie, doc, n, key, group, pack(prefix), signature(own)))
                 else:
-                    out.append((number, doc, 0, None, None, None, None))
-                number += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 5 else pa.binary()) for i, c in enumerate(zip(*out))], [c.split(" ")[0] for c in DESCRIBED.split(", ")])
+                    out.append((row, tie, doc, 0, None, None, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 6 else pa.binary()) for i, c in enumerate(zip(*out))], [c.split(" ")[0] for c in DESCRIBED.split(", ")])
 
     return rows.mapInArrow(run, DESCRIBED)
 
@@ -279,20 +279,18 @@ def linked(keys: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.n
 
 
 def verified(rows: DataFrame, members: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
-    """(a, b) stars of exact links within each unit of classes; ``members``: doc_id, n, set_key, unit.
+    """(a, b) stars of exact links within each unit of classes; ``members``: row, set_key, unit.
 
     A class is read from one row of its own; sets are computed again from whole texts.
     """
-    joined = rows.join(members, "doc_id")
+    joined = rows.select("row", "text").join(members, "row")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             out = []
-            for n, key, unit, own in zip(*(block.column(c).to_pylist() for c in ("n", "set_key", "unit")), shingle_sets(texts(block), width)):
-                if len(own) == n and int(mix(mix(own + np.uint64(n)).sum(dtype=np.uint64, keepdims=True))[0].astype(np.int64)) == key:  # else a repeated id with another text
-                    out.append((unit, key, pack(own)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["unit", "set_key", "shingles"])
+            for key, unit, own in zip(*(block.column(c).to_pylist() for c in ("set_key", "unit")), shingle_sets(texts(block), width)):
+                out.append((unit, key, pack(own)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["unit", "set_key", "shingles"])
 
     def compare(group: pa.Table) -> pa.Table:
         unit, key = (group.column(c).to_numpy() for c in ("unit", "set_key"))
@@ -307,48 +305,63 @@ def verified(rows: DataFrame, members: DataFrame, width: int, percent: int, part
                 b.append(y)
         return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
-    sets = joined.select("text", "n", "set_key", "unit").mapInArrow(read, "unit long, set_key long, shingles binary")
+    sets = joined.select("text", "set_key", "unit").mapInArrow(read, "unit long, set_key long, shingles binary")
     return sets.withColumn("part", F.pmod(F.xxhash64("unit"), F.lit(parts)).cast("int")).groupBy("part").applyInArrow(compare, "a long, b long")
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, parts: int | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row.
-
-    ``component_id`` is the smallest doc_id that links reach, itself included. Null and
-    empty texts and texts without words have no shingles and link with nothing. Rows that
-    repeat link with each other; a null doc_id takes part and is never the smallest, unless
-    all are null. Other columns are not read. Classes and groups are told apart by 64-bit hashes.
-    """
-    spark = df.sparkSession
-    parts = parts or shuffle_partitions(spark)
-    rows = source(df, id_col, text_col)
+def rooted(rows: DataFrame, width: int, percent: int, parts: int | None) -> tuple[DataFrame, DataFrame]:
+    """Described rows, and (set_key, root) of each class; ``rows`` as ``source`` gives them."""
+    parts = parts or shuffle_partitions(rows.sparkSession)
     table = count_table(rows, width)
     described = materialize(describe(rows, table, width, percent), "described")
     some = described.where("n > 0")
-    classes = some.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("group_key").alias("group_key"))
+    classes = some.groupBy("set_key").agg(F.min("row").alias("row"), F.first("n").alias("n"))
     signatures = some.groupBy("set_key").agg(F.first("signature").alias("signature"), F.first("group_key").alias("group_key"), F.first("n").alias("n"))
     groups = some.groupBy("group_key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), (F.when(F.min("set_key") == F.max("set_key"), 1).otherwise(2)).alias("members"))
     met = meetings(groups, table, percent, parts).join(signatures, "group_key")
     edges = candidates(met.select("place", "set_key", "n", "signature"), percent, parts)
     clusters = materialize(components(edges).select(F.col("node").alias("set_key"), F.col("root").alias("cluster")), "clusters")
-    weighed = clusters.join(classes.select("set_key", "doc_id", "n"), "set_key")
+    weighed = clusters.join(classes, "set_key")
     sizes = weighed.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / CLUSTER, F.sum("n") / WEIGHT)).cast("int").alias("cuts"))
     dealt = weighed.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("cuts")).cast("int"))
     unit = F.when(F.col("cuts") == 1, F.col("cluster")).otherwise(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")))
-    members = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("set_key", "doc_id", "n", unit.alias("unit"))
+    members = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("row", "set_key", unit.alias("unit"))
     links = materialize(verified(rows, members, width, percent, parts), "links")
     roots = components(links).select(F.col("node").alias("set_key"), "root")
-    lowest = classes.select("set_key", "doc_id").join(roots, "set_key", "left").select("set_key", "doc_id", F.coalesce("root", "set_key").alias("root"))
+    return described, classes.select("set_key").join(roots, "set_key", "left").select("set_key", F.coalesce("root", "set_key").alias("root"))
+
+
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, parts: int | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row.
+
+    ``component_id`` is the smallest doc_id that links reach, itself included. Null and
+    empty texts and texts without words have no shingles and link with nothing. Rows that
+    repeat link with each other; a null doc_id takes part and is never the smallest, unless
+    all are null. Other columns are not read. Classes and groups are told apart by 64-bit hashes.
+    """
+    rows = materialize(source(df, id_col, text_col, F.monotonically_increasing_id()), "rows")
+    described, of_class = rooted(rows, width, percent, parts)
+    some = described.where("n > 0")
+    lowest = some.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")).join(of_class, "set_key")
     least = lowest.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = lowest.join(least, "root").select("set_key", "component_id")
-    worded = some.join(of_class, "set_key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    component = of_class.join(least, "root").select("set_key", "component_id")
+    worded = some.join(component, "set_key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return worded.unionByName(described.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The row of the smallest id of each component; of rows with one id, the one with the smallest hash of all columns."""
-    joined = join(df, id_col, text_col, **options)
-    kept = joined.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    own = df.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(*own.columns))
-    return own.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, parts: int | None = None) -> DataFrame:
+    """One row of each component: that of the smallest id (nulls last), then of the smallest hash of all columns.
+
+    Only rows that links tie to the one that stays are dropped, whatever their ids: texts
+    without words all stay, and so does each of several unlike texts with one id or none.
+    """
+    key = "_row"
+    while key in df.columns:
+        key += "_"
+    keyed = materialize(df.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    described, of_class = rooted(source(keyed, id_col, text_col, key, F.xxhash64(*df.columns)), width, percent, parts)
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "tie", "row")
+    first = described.where("n > 0").groupBy("set_key").agg(F.min(rank).alias("first"))
+    kept = first.join(of_class, "set_key").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(key))
+    kept = kept.unionByName(described.where("n = 0").select(F.col("row").alias(key)))
+    return keyed.join(kept, key, "left_semi").select(*df.columns)

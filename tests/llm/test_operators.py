@@ -231,6 +231,22 @@ def test_jaccard_join_against_all_pairs(spark):
     assert kept == {c for *_, c in want}
 
 
+def test_shingles_of_blocks_with_few_words(spark):
+    from weftline.llm.common import BLOCK_BYTES
+    from weftline.llm.tokens import shingle_sets
+
+    words = "one two three four five six".split()
+    short = [" ".join(words[:n]) for n in range(1, 7)]
+    many = shingle_sets(short)
+    for t, together in zip(short, many):  # the same alone and in a block
+        (alone,) = shingle_sets([t])
+        assert len(alone) == max(1, len(t.split()) - 4) and (alone == together).all()
+    assert all(len(a) == len(b) == 1 and a[0] != b[0] for a, b in itertools.combinations(many[:5], 2))
+    rows = [short[1], "z" * (BLOCK_BYTES + 1), short[2]]  # the texts between are blocks of their own
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(docs_of(spark, rows).coalesce(1)).collect())
+    assert got == [(0, 1, 0), (1, 1, 1), (2, 1, 2)]
+
+
 def test_jaccard_join_and_keep_one_with_null_and_repeated_ids(spark):
     base = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(4)]
     near = [t.replace("x30", "y30") for t in base]

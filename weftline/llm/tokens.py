@@ -58,7 +58,7 @@ def shingle_sets(texts: list[str], width: int = 5) -> list[np.ndarray]:
     words, counts = word_hashes(texts)
     n = len(words)
     rolled = np.zeros(n, np.uint64)
-    for k in range(width):  # the sum is over the words of the shingle, each with the weight of its place
+    for k in range(min(width, n)):  # the sum is over the words of the shingle, each with the weight of its place
         weight = mix(np.array([k + 1], np.uint64)) | np.uint64(1)
         rolled[: n - k] += mix(words[k:] * weight + np.uint64(k))
     rolled = mix(rolled)

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,19 @@ def test_quality_on_held_out_rows(spark):
     assert quality.fit(docs, labels.limit(0)).constant == 0.5
 
 
+def test_quality_statistics_are_of_the_text_alone():
+    many = ["one", "two three", "", "x" * 500, "a b\n", " c", "word", "", "\u00e9nd"] + [t or "" for t in corpus(seed=5, n=5)]
+    place = quality.NAMES.index("word_spread")
+    for block in (many, many[::-1], many[3:]):
+        for t, row in zip(block, quality.features(block)):
+            assert (row == quality.features([t])[0]).all(), t
+            lengths = [len(w.encode()) for w in re.findall("[^\x20\x09-\x0d]+", t)]
+            mean = sum(lengths) / max(1, len(lengths))
+            spread = (sum(n * n for n in lengths) / max(1, len(lengths)) - mean**2) ** 0.5 if len(set(lengths)) > 1 else 0.0
+            assert abs(np.expm1(row[place]) - spread) < 1e-5
+    assert quality.features([]).shape == (0, len(quality.NAMES))
+
+
 def test_media_round_trip(spark):
     texts = corpus(n=5)
     rows = media.digests(media.inspect(media.store(docs_of(spark, texts)))).orderBy("doc_id").collect()

@@ -60,10 +60,11 @@ def features(many: list[str]) -> np.ndarray:
                 pairs[i] = len(np.unique(mix(own[:-1]) + own[1:]))
             at += c
     mean = solid / n
-    # the spread of word lengths from the ends of words
-    gap = np.isin(_CLASS[data], (4, 5))
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], (~gap).astype(np.int8), [0]))))
-    starts, ends = edge[::2], edge[1::2]
+    # the spread of word lengths from the ends of words; a text's end is one
+    full = ~np.isin(_CLASS[data], (4, 5))
+    inner = full[1:] & full[:-1] & (doc[1:] == doc[:-1])  # a byte and the next one are in one word
+    starts = np.flatnonzero(full & ~np.concatenate(([False], inner))[: len(full)])
+    ends = np.flatnonzero(full & ~np.concatenate((inner, [False]))[: len(full)]) + 1
     owner = doc[starts] if len(starts) else np.empty(0, np.int64)
     squares = np.bincount(owner, weights=(ends - starts).astype(float) ** 2, minlength=len(raw))
     spread = np.sqrt(np.maximum(squares / n - mean**2, 0))

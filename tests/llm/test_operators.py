@@ -45,6 +45,16 @@ def test_secrets_base_spans_and_guess_cost(spark):
     assert "abcd1234EFGH" not in clean[-3].text and clean[0].text is None
 
 
+def test_secrets_values_that_go_on_after_a_base_value(spark):
+    text = "password = Tr0ub4dor&3x!Qz9 and more, secret: 'abcd1234EFGH5678' token=ghT5xQ9w$Zk2#Lp7; then"
+    found = secrets.scan(text)
+    assert [(s.kind, text[s.value_start : s.value_end]) for s in found] == [
+        ("assign", "Tr0ub4dor"), ("guess", "Tr0ub4dor&3x!Qz9"), ("assign", "abcd1234EFGH5678"), ("assign", "ghT5xQ9w"), ("guess", "ghT5xQ9w$Zk2#Lp7"),
+    ]
+    assert secrets.redact(text, found) == "password = [SECRET] and more, secret: '[SECRET]' token=[SECRET]; then"
+    assert secrets.find(docs_of(spark, [text]), rewrite=True).first().text == secrets.redact(text, found)
+
+
 def test_guess_cost_is_the_least_segmentation():
     for value in ("qwerty12", "aaaa1999", "xk9password"):
         known = list(secrets.spans(value))

@@ -138,15 +138,15 @@ def scan(text: str, least: float = LEAST) -> list[Span]:
         out += (Span("access", *m.span(), *m.span(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16)
     out += (Span("hex", *m.span(), *m.span(), None) for m in HEX.finditer(text))
     if any(h in raw for h in CONTEXT_HINTS):
-        taken = [(s.start, s.end) for s in out]
+        taken = [(s.value_start, s.value_end) for s in out]
         for m in CONTEXT.finditer(text):
             start, end = m.span(2)
             if m[2].startswith("Bearer "):
                 start += 7
             while end > start and text[end - 1] in ".,;:!?)]}>":
                 end -= 1
-            if end - start < 8 or any(s < end and start < e for s, e in taken):
-                continue
+            if end - start < 8 or any(s <= start and end <= e for s, e in taken):
+                continue  # a base value holds all of it; a longer one is reported beside the base value
             cost = guess_cost(text[start:end])[0]
             if cost >= least:
                 out.append(Span("guess", start, end, start, end, cost))

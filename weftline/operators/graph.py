@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ from weftline.storage import materialize
 
 MAX_STEPS, MAX_EDGES = 100_000, 400_000
 PEELS = 2
+PAIRS = 1_000_000  # rows that a task of ``ancestors`` makes at most, if a start alone does not make more
 
 
 def peel(edges: DataFrame, rounds: int = PEELS) -> DataFrame:
@@ -100,35 +102,51 @@ def cycle_gaps(found: DataFrame) -> DataFrame:
     return found.select("trace", F.lit("CYCLE").alias("code"), F.col("members")[0].alias("subject"), F.col("members").alias("related"))
 
 
-def ancestors(edges: DataFrame, starts: DataFrame, max_depth: int = 256) -> DataFrame:
+def ancestors(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(trace, start, node, depth): what each start reaches over incoming edges, at least depth; the start itself at 0.
 
-    A grouped map per trace, breadth first. One row per trace and start beyond ``max_depth``
-    has depth ``max_depth + 1`` and no node: limits are errors to raise, never truncation.
+    A grouped map per trace and share of its starts, breadth first; shares hold about
+    ``PAIRS`` rows of output, at least one start. Traces of more than ``MAX_EDGES`` edges go
+    through ``reach``. Without ``max_depth`` there is no limit; with it, one row per trace and
+    start beyond it has depth ``max_depth + 1`` and no node: limits are errors to raise, never
+    truncation.
     """
+    edges, starts = edges.select("trace", "parent", "child"), starts.select("trace", "node").distinct()
+    sizes = materialize(edges.groupBy("trace").agg(F.count("*").alias("n")), "sizes")
+    large = sizes.where(F.col("n") > MAX_EDGES).select("trace")
+    found = _ancestors_by_share(edges.join(large, "trace", "left_anti"), starts.join(large, "trace", "left_anti"), sizes, max_depth)
+    if large.isEmpty():
+        return found
+    return found.unionByName(reach(edges.join(large, "trace", "left_semi"), starts.join(large, "trace", "left_semi"), max_depth))
 
+
+def _ancestors_by_share(edges: DataFrame, starts: DataFrame, sizes: DataFrame, max_depth: int | None) -> DataFrame:
     def run(key: tuple, es: pd.DataFrame, ss: pd.DataFrame) -> pd.DataFrame:
         incoming: dict[str, list[str]] = {}
         for p, c in zip(es["parent"], es["child"]):
             incoming.setdefault(c, []).append(p)
         rows = []
         for start in dict.fromkeys(ss["node"]):
-            depth, level = {start: 0}, [start]
+            depth, level, d = {start: 0}, [start], 0
             while level:
                 level = list(dict.fromkeys(p for n in level for p in incoming.get(n, ()) if p not in depth))
-                d = depth[start] + 1 if len(depth) == 1 else max(depth.values()) + 1
-                if level and d > max_depth:
+                d += 1
+                if level and max_depth is not None and d > max_depth:
                     rows.append((key[0], start, None, max_depth + 1))
                     break
                 depth.update(dict.fromkeys(level, d))
             rows += [(key[0], start, n, d) for n, d in depth.items()]
         return pd.DataFrame(rows, columns=["trace", "start", "node", "depth"]).astype({"trace": object, "start": object, "node": object})
 
+    shares = F.ceil(F.col("starts") * (F.coalesce("n", F.lit(0)) + 1) / PAIRS).cast("int")
+    dealt = starts.groupBy("trace").agg(F.count("*").alias("starts")).join(sizes, "trace", "left").select("trace", F.least(shares, "starts").cast("int").alias("shares"))
+    own = starts.join(dealt, "trace").select("trace", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), "node")
+    each = edges.join(dealt, "trace").select("trace", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "parent", "child")
     kind = "trace string, start string, node string, depth int"
-    return edges.select("trace", "parent", "child").groupBy("trace").cogroup(starts.select("trace", "node").groupBy("trace")).applyInPandas(run, kind)
+    return each.groupBy("trace", "share").cogroup(own.groupBy("trace", "share")).applyInPandas(run, kind)
 
 
-def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 256) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(trace, start, node, depth) as ``ancestors`` gives, level by level over whole tables.
 
     For traces too large for a task. Each level is written and reread, so that no predicate of
@@ -137,12 +155,12 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 256) -> DataFram
     parents = edges.select("trace", F.col("child").alias("node"), F.col("parent").alias("next")).distinct()
     level = materialize(starts.select("trace", F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct(), "level")
     seen = level
-    for depth in range(1, max_depth + 2):
+    for depth in count(1):
         step = level.join(parents, ["trace", "node"]).select("trace", "start", F.col("next").alias("node")).distinct()
         level = materialize(step.join(seen, ["trace", "start", "node"], "left_anti").withColumn("depth", F.lit(depth)), "level")
         if level.isEmpty():
-            return seen
-        if depth > max_depth:
+            break
+        if max_depth is not None and depth > max_depth:
             return seen.unionByName(level.select("trace", "start", F.lit(None).cast("string").alias("node"), "depth").distinct())
         seen = materialize(seen.unionByName(level), "seen")
     return seen

@@ -295,6 +295,22 @@ def test_html_main_text(spark):
     assert got[1].n_chars == len(got[1].text) and got[2].text == got[3].text == ""
 
 
+def test_html_wrappers_with_marks_keep_the_article():
+    said = [f"Sentence {i} of the article is long enough to be read as running text." for i in range(5)]
+    body = "".join(f"<p>{t}</p>" for t in said)
+    text = "\n\n".join(["Head", *said])
+    menu = "<div class=sidebar><ul><li><a href=/>One</a></li><li><a href=/>Two</a></li></ul></div>"
+    for opened, closed in (("<div class='layout has-sidebar'>", "</div>"), ("<div id='search-page'>", "</div>"), ("<form action=/>", "</form>"), ("<div class='has-sidebar'><div id='search-page'>", "</div></div>")):
+        for inner, end in (("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>")):
+            page = f"<body>{opened}{menu}{inner}<h1 class='entry-header'>Head</h1>{body}{end}{closed}<footer>Imprint</footer></body>"
+            assert html_text.main_text(page) == text, page
+    assert html_text.main_text(f"<body><article><header class='entry-header'><h1>Head</h1></header>{body}</article></body>") == text
+    comments = "".join(f"<p>A reader wrote this long comment number {i}, which says much about nothing at all.</p>" for i in range(40))
+    assert html_text.main_text(f"<body><article><h1>Head</h1>{body}</article><div class=comments>{comments}</div></body>") == text
+    assert html_text.main_text(f"<body><article><h1>Head</h1>{body}</article><div class=widget>{comments}</div></body>") == text
+    assert html_text.main_text(f"<body><div hidden><article>{body}</article></div><div class=nav>{menu}</div></body>") == ""
+
+
 def test_empty_tables(spark):
     docs = docs_of(spark, ["a"]).limit(0)
     assert secrets.find(docs).count() == bpe.encode(docs, VOCABULARY).count() == media.inspect(media.store(docs)).count() == 0

@@ -2,7 +2,8 @@
 
 ``html.parser`` events are read once. Text between block tags is a line with its number
 of tags; lines below menus, notices, forms and the like are marked by tag, role, class
-and id. The text-to-tag ratios of the other lines are smoothed with a Gaussian, and the
+and id. A marked region that holds most of the running text by the smoothed ratios is the
+page's wrapper: its mark doesn't count. The text-to-tag ratios of the other lines are smoothed with a Gaussian, and the
 lines above the ratios' threshold are the content cluster. The container that holds most
 of the cluster is the content region; its unmarked lines, short ones too, are the text.
 """
@@ -39,18 +40,27 @@ MARKS = frozenset(
 )
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _OPEN_END = re.compile(r"<(?:[/!?]?[a-zA-Z][^<>]*|!--(?:(?!-->).)*|/?)\Z", re.S)
+#: Marks that no amount of text lifts: menus by tag or role, and what isn't shown.
+FIXED = frozenset("nav footer menu dialog button select textarea".split())
+FIXED_ROLES = frozenset("navigation alert alertdialog dialog menu menubar toolbar".split())
+#: Words for what readers wrote, which is running text too: only an article in it lifts them.
+REPLIES = frozenset("comment comments disqus replies reply".split())
+HEADER = frozenset(("header",))
 SMOOTH = 1.0
+RUNNING = 10.0  # characters a tag, smoothed, of running text in a marked region
+NONE, FOR_GOOD = 0, -1  # marks; others are numbers of regions
 
 
 class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, int]] = []  # tag, unread, marked, container
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, unread, mark, container
         self.parts: list[str] = []
         self.tags = 0
-        self.lines: list[tuple[str, int, bool, int]] = []  # text, tags, marked, container
+        self.lines: list[tuple[str, int, int, int]] = []  # text, tags, mark, container
+        self.regions: list[tuple[int, bool]] = [(NONE, False)]  # the mark around it, whether only an article lifts it
         self.containers: list[tuple[str, int]] = [("", -1)]  # tag, the container around it
-        self.state = (False, False, 0)
+        self.state = (False, NONE, 0)
 
     def flush(self) -> None:
         if self.parts:
@@ -75,29 +85,46 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         unread = unread or tag in UNREAD
-        if not marked:
-            article = any(t in ("article", "main") for t, *_ in self.open)
-            marked = tag in APART or (tag == "header" and not article) or (bool(attrs) and tag not in ("html", "body", "article", "main") and self.is_marked(attrs))
-            if marked and tag not in BLOCK:  # within a block: this text goes, the block's own stays
-                unread, marked = True, False
+        if marked != FOR_GOOD and (attrs or tag in APART or tag == "header"):
+            mark = self.mark_of(tag, attrs)
+            if mark and tag not in BLOCK:  # within a block: this text goes, the block's own stays
+                unread = True
+            elif mark == "fixed":
+                marked = FOR_GOOD
+            elif mark:
+                self.regions.append((marked, mark == "replies"))
+                marked = len(self.regions) - 1
         if tag in CONTAINER:
             self.containers.append((tag, within))
             within = len(self.containers) - 1
         self.state = (unread, marked, within)
         self.open.append((tag, *self.state))
 
-    @staticmethod
-    def is_marked(attrs: list[tuple[str, str | None]]) -> bool:
+    def mark_of(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
+        """How a tag is marked: not (empty), fixed, replies, or some other way."""
+        if tag in FIXED:
+            return "fixed"
+        article = any(t in ("article", "main") for t, *_ in self.open)
+        found = "tag" if tag in APART or (tag == "header" and not article) else ""
+        if tag in ("html", "body", "article", "main"):
+            return found
+        # the header of an article, or of a headline's class, is the article's
+        words = MARKS - HEADER if article or tag in ("h1", "h2", "h3", "h4", "h5", "h6") else MARKS
         for name, value in attrs:
             value = value or ""
             if name in ("class", "id"):
-                if any(w.lower() in MARKS for w in _WORD.findall(value)):
-                    return True
-            elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                return True
+                own = {w.lower() for w in _WORD.findall(value)} & words
+                if own:
+                    found = "replies" if own & REPLIES or found == "replies" else "word"
+            elif name == "role" and value.lower() in ROLES:
+                if value.lower() in FIXED_ROLES:
+                    return "fixed"
+                found = found or "role"
+            elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+                return "fixed"
             elif name == "style" and "display:none" in value.replace(" ", "").lower():
-                return True
-        return False
+                return "fixed"
+        return found
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -113,7 +140,7 @@ class Lines(HTMLParser):
                 if any(t in BLOCK for t, *_ in self.open[i:]):  # the end of an inline element ends no block
                     self.flush()
                 del self.open[i:]
-                self.state = self.open[-1][1:] if self.open else (False, False, 0)
+                self.state = self.open[-1][1:] if self.open else (False, NONE, 0)
                 return
             if name in stop:
                 return
@@ -130,6 +157,46 @@ def smoothed(ratios: np.ndarray, sigma: float = SMOOTH) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), weights / weights.sum(), mode="valid")
 
 
+def ratios(lines: list[tuple]) -> np.ndarray:
+    """Smoothed text-to-tag ratios of lines (text, tags, ...)."""
+    return smoothed(np.array([len(x[0]) for x in lines], float) / np.maximum(1, [x[1] for x in lines]))
+
+
+def lifted(parser: Lines) -> set[int]:
+    """Marks that don't count: none, and regions that hold most of the running text, as do all around them.
+
+    Most is what it is for the content region: 0.8 of the text, or half of it in an article.
+    """
+    out = {NONE}
+    lines = [x for x in parser.lines if x[2] != FOR_GOOD]
+    if len(parser.regions) == 1 or not lines:
+        return out
+    smooth = ratios(lines)
+    least = max(RUNNING, min(smooth.std(), smooth.max()) if len(lines) > 1 else 0.0)
+    named = [False] * len(parser.containers)  # inside an article, as a number of its outermost one
+    for c, (tag, around) in enumerate(parser.containers):
+        named[c] = (around >= 0 and named[around]) or (c if tag in ("article", "main") else False)
+    mass = np.zeros(len(parser.regions))
+    articles: list[dict[int, float]] = [{} for _ in parser.regions]
+    total = 0.0
+    for (text, _, mark, c), ratio in zip(lines, smooth):
+        if ratio < least:
+            continue
+        total += len(text)
+        while mark != NONE:
+            mass[mark] += len(text)
+            if named[c]:
+                articles[mark][named[c]] = articles[mark].get(named[c], 0.0) + len(text)
+            mark = parser.regions[mark][0]
+    outside = any(n for (_, _, mark, c), n in zip(lines, smooth >= least) if mark == NONE and named[c])
+    for r, (around, replies) in enumerate(parser.regions):  # regions are listed after those around them
+        if r and around in out and total > 0:
+            held = max(articles[r].values(), default=0.0) >= 0.5 * total
+            if held or (mass[r] >= 0.8 * total and not replies and not outside):
+                out.add(r)
+    return out
+
+
 def main_text(html: str) -> str:
     """The page's article: its blocks, white space made one, joined by an empty line."""
     parser = Lines()
@@ -137,7 +204,8 @@ def main_text(html: str) -> str:
     parser.feed(html[:cut] + _OPEN_END.sub("", html[cut:]))
     parser.close()
     parser.flush()
-    lines = [(i, *x) for i, x in enumerate(parser.lines) if not x[2]]
+    counted = lifted(parser)
+    lines = [(i, *x) for i, x in enumerate(parser.lines) if x[2] in counted]
     if not lines:
         return ""
     size = np.array([len(x[1]) for x in lines], float)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import blocks, materialize, shuffle_partitions, texts
+from weftline.llm.common import BLOCK_BYTES, blocks, materialize, shuffle_partitions, texts
 from weftline.llm.components import components, stars
 from weftline.llm.packed import pack, unpack
 from weftline.llm.tokens import mix, shingle_sets
@@ -281,32 +281,36 @@ def linked(keys: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.n
 def verified(rows: DataFrame, members: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
     """(a, b) stars of exact links within each unit of classes; ``members``: row, set_key, unit.
 
-    A class is read from one row of its own; sets are computed again from whole texts.
+    A class is read from one row of its own; sets are computed again from whole texts, which
+    take less room in the shuffle than their shingles.
     """
     joined = rows.select("row", "text").join(members, "row")
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            out = []
-            for key, unit, own in zip(*(block.column(c).to_pylist() for c in ("set_key", "unit")), shingle_sets(texts(block), width)):
-                out.append((unit, key, pack(own)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["unit", "set_key", "shingles"])
+    def read(column: pa.ChunkedArray, at: np.ndarray) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        some, size = [], 0
+        for i in at.tolist():
+            some.append(column[i].as_py() or "")
+            size += len(some[-1])
+            if size >= BLOCK_BYTES:
+                out += shingle_sets(some, width)
+                some, size = [], 0
+        return out + shingle_sets(some, width)
 
     def compare(group: pa.Table) -> pa.Table:
         unit, key = (group.column(c).to_numpy() for c in ("unit", "set_key"))
-        raw = group.column("shingles")
+        text = group.column("text")
         order = np.lexsort((key, unit))
         order = order[np.append(True, (unit[order][1:] != unit[order][:-1]) | (key[order][1:] != key[order][:-1]))]
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for own in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
             if len(own) > 1:
-                x, y = linked(key[own], [unpack(raw[int(i)].as_py(), "<u8") for i in own], percent)
+                x, y = linked(key[own], read(text, own), percent)
                 a.append(x)
                 b.append(y)
         return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
-    sets = joined.select("text", "set_key", "unit").mapInArrow(read, "unit long, set_key long, shingles binary")
-    return sets.withColumn("part", F.pmod(F.xxhash64("unit"), F.lit(parts)).cast("int")).groupBy("part").applyInArrow(compare, "a long, b long")
+    return joined.select("text", "set_key", "unit").withColumn("part", F.pmod(F.xxhash64("unit"), F.lit(parts)).cast("int")).groupBy("part").applyInArrow(compare, "a long, b long")
 
 
 def rooted(rows: DataFrame, width: int, percent: int, parts: int | None) -> tuple[DataFrame, DataFrame]:

@@ -45,4 +45,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/weftline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._folder = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the files of tables that ``materialize`` gave and nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._folder)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,44 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_BYTES = 2 << 20
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``).
-
-    A machine-local temporary folder is set only where the setting is absent and
-    the session runs in one process, as in tests.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="weftline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and reread it: lineage ends there.
-
-    The files are removed when the driver exits.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/weftline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+from weftline.storage import materialize, release, shared_folder  # noqa: F401
 
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended: the cluster's own clean-up has the folder
-        pass
+BLOCK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +39,29 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = end
 
 
+def whole_units(batches: Iterator[pa.RecordBatch], key: str, limit: int = 4 * BLOCK_BYTES) -> Iterator[pa.Table]:
+    """Tables of whole units, rows of one ``key`` that stand together, of about ``limit`` bytes (one unit at least)."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        size += batch.nbytes
+        if size >= limit:
+            starts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            cut = int(starts[-1]) if len(starts) else 0 if held and keys[0] != last else None
+            if cut is not None:
+                held.append(batch.slice(0, cut))
+                yield pa.Table.from_batches(held)
+                held, batch = [], batch.slice(cut)
+                size = batch.nbytes
+        held.append(batch)
+        last = keys[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column's strings; null is the empty text."""
     return pc.fill_null(batch.column(batch.schema.get_field_index(column)), "").to_pylist()

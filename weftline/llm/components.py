@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize
+from weftline.llm.common import materialize, release
 
 
 def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -35,12 +35,14 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (a, b) reaches; roots included.
 
     Rounds of large-star and small-star: each node's neighbours are tied to its smallest
-    one. Every round is written to the shared folder, so lineage stays short; only a count
-    and a checksum reach the driver. A node with very many neighbours is a key of joins
+    one. Every round is written to the shared folder, so lineage stays short, and the round
+    before is removed; only a count and a checksum reach the driver. A node with very many neighbours is a key of joins
     that adaptive execution splits; minima are pre-aggregated.
     """
     now = materialize(edges.where("a <> b").distinct(), "edges")
     before = None
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(most):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -49,7 +51,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("x"), "a", "m")
         tied = small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
-        now = materialize(tied.where("a <> b").distinct(), "edges")
+        done, now = now, materialize(tied.where("a <> b").distinct(), "edges")
+        release(done)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -56,7 +56,8 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return jaccard_join.join(docs, row=jaccard_join.file_row(docs))
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ ENTRIES = 500_000  # prefix entries of a part, on average
 LONG_LIST = 1 << 20  # rows beyond the usual in a cell, from which a shingle's list is dealt to several parts
 BLOCK = 8192  # classes in a block of a shingle's list
 LEADERS = 16
-CLUSTER = 8192
+CLUSTER = 1024
 WEIGHT = 1_500_000  # shingles of a cluster in one unit
 AT_ONCE = 1_000_000
 SHORTEST = 9  # log2 of the bits of the shortest signature
@@ -374,7 +374,8 @@ def verified(rows: DataFrame, members: DataFrame, width: int, percent: int) -> D
     A class is read from one row of its own; sets are computed again from whole texts, which
     take less room in the shuffle than their shingles.
     """
-    joined = rows.select("row", "text").join(members, "row").select("text", "set_key", "unit")
+    # the side of texts is as large as the input: the plan is the same at every size
+    joined = rows.select("row", "text").join(members.hint("merge"), "row").select("text", "set_key", "unit")
 
     def read(column: pa.ChunkedArray) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -501,4 +502,4 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     ranked = described.where("n > 0").select("set_key", rank.alias("rank")).join(of_class, "set_key")
     first = ranked.groupBy("root").agg(F.min("rank").alias("first"), F.count("*").alias("c")).where("c > 1")
     dropped = ranked.join(first, "root").where(F.col("rank.row") != F.col("first.row")).select(F.col("rank.row").alias(key))
-    return keyed.join(materialize(dropped, "dropped"), key, "left_anti").select(*df.columns)
+    return keyed.join(materialize(dropped, "dropped").hint("merge"), key, "left_anti").select(*df.columns)

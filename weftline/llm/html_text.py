@@ -3,9 +3,10 @@
 ``html.parser`` events are read once. Text between block tags is a line with its number
 of tags; lines below menus, notices, forms and the like are marked by tag, role, class
 and id. A marked region that holds most of the running text by the smoothed ratios is the
-page's wrapper: its mark doesn't count. The text-to-tag ratios of the other lines are smoothed with a Gaussian, and the
-lines above the ratios' threshold are the content cluster. The container that holds most
-of the cluster is the content region; its unmarked lines, short ones too, are the text.
+page's wrapper: its mark doesn't count. The text-to-tag ratios of the other lines are
+smoothed with a Gaussian, and the lines above the ratios' threshold are the content
+cluster. The article that holds most of the cluster is the text; without one, the lines
+that the cluster spans are, short ones beside it too, up to the next line of links.
 """
 
 from __future__ import annotations
@@ -29,15 +30,25 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINER = frozenset("article body div main section table td".split())
 CLOSES_P = BLOCK - {"html", "head", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "title"}
-UNREAD = frozenset("script style noscript template svg iframe object canvas audio video head title math".split())
+UNREAD = frozenset("script style noscript template svg iframe object canvas audio video head title".split())
 APART = frozenset("nav footer aside form menu dialog button select textarea".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Words in class and id values that mark what is no article text.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer "
-    "sidebar aside rail widget cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup login comment comments "
-    "disqus replies reply share sharing social related recommended search form copyright legal skip pagination pager".split()
+#: Words in class and id values that mark what is no article text, also inside an article.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar cookie cookies consent gdpr popup modal "
+    "newsletter subscribe subscription comments disqus replies share sharing pagination pager".split()
 )
+#: Words that mark it outside articles only.
+MARKS = STRONG | frozenset(
+    "promotion banner header masthead footer aside rail widget notice notices overlay signup login comment reply social related recommended search form copyright legal skip".split()
+)
+#: Words beside them that change nothing; with any other word, such as in form-factor or related-work, the value is no mark.
+NEUTRAL = frozenset(
+    "main page site global top bottom left right inner outer box block blocks container wrapper wrap area section bar list item items links link content primary secondary module panel zone slot unit "
+    "region holder group row col column grid text title the and of by for in on js c l m u fixed sticky mobile desktop small large post posts article articles entry story news us my user users form login buttons button icons icon".split()
+)
+#: With one of these, a header is the article's own.
+OWN_HEADER = frozenset("article entry post story content text title".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _OPEN_END = re.compile(r"<(?:[/!?]?[a-zA-Z][^<>]*|!--(?:(?!-->).)*|/?)\Z", re.S)
 #: Marks that no amount of text lifts: menus by tag or role, and what isn't shown.
@@ -58,16 +69,22 @@ class Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags = 0
         self.lines: list[tuple[str, int, int, int]] = []  # text, tags, mark, container
+        self.linked: set[int] = set()  # lines that are mostly links
+        self.link = 0
         self.regions: list[tuple[int, bool]] = [(NONE, False)]  # the mark around it, whether only an article lifts it
         self.containers: list[tuple[str, int]] = [("", -1)]  # tag, the container around it
         self.state = (False, NONE, 0)
+        self.where: dict[str, list[int]] = {}  # places in ``open`` by tag
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
+                if 2 * self.link > len(text):
+                    self.linked.add(len(self.lines))
                 self.lines.append((text, self.tags, self.state[1], self.state[2]))
                 self.tags = 0
+            self.link = 0
             self.parts.clear()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -98,23 +115,26 @@ class Lines(HTMLParser):
             self.containers.append((tag, within))
             within = len(self.containers) - 1
         self.state = (unread, marked, within)
+        self.where.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, *self.state))
 
     def mark_of(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
         """How a tag is marked: not (empty), fixed, replies, or some other way."""
         if tag in FIXED:
             return "fixed"
-        article = any(t in ("article", "main") for t, *_ in self.open)
+        article = bool(self.where.get("article") or self.where.get("main"))
         found = "tag" if tag in APART or (tag == "header" and not article) else ""
         if tag in ("html", "body", "article", "main"):
             return found
-        # the header of an article, or of a headline's class, is the article's
-        words = MARKS - HEADER if article or tag in ("h1", "h2", "h3", "h4", "h5", "h6") else MARKS
+        headline = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
         for name, value in attrs:
             value = value or ""
             if name in ("class", "id"):
-                own = {w.lower() for w in _WORD.findall(value)} & words
-                if own:
+                for token in value.split():
+                    words = {w.lower() for w in _WORD.findall(token)}
+                    own = words & (STRONG if article else MARKS)
+                    if not own or any(w not in MARKS and w not in NEUTRAL and not w.isdigit() for w in words) or (own == HEADER and (headline or words & OWN_HEADER)):
+                        continue
                     found = "replies" if own & REPLIES or found == "replies" else "word"
             elif name == "role" and value.lower() in ROLES:
                 if value.lower() in FIXED_ROLES:
@@ -133,21 +153,23 @@ class Lines(HTMLParser):
         self.close_to(tag)
 
     def close_to(self, tag: str, stop: tuple[str, ...] = ()) -> None:
-        """Close the innermost open ``tag`` and what is open in it."""
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if name == tag:
-                if any(t in BLOCK for t, *_ in self.open[i:]):  # the end of an inline element ends no block
-                    self.flush()
-                del self.open[i:]
-                self.state = self.open[-1][1:] if self.open else (False, NONE, 0)
-                return
-            if name in stop:
-                return
+        """Close the innermost open ``tag`` and what is open in it, unless one of ``stop`` stands between."""
+        places = self.where.get(tag)
+        if not places or any(self.where[t][-1] > places[-1] for t in stop if self.where.get(t)):
+            return
+        i = places[-1]
+        if any(t in BLOCK for t, *_ in self.open[i:]):  # the end of an inline element ends no block
+            self.flush()
+        for t, *_ in self.open[i:]:
+            self.where[t].pop()
+        del self.open[i:]
+        self.state = self.open[-1][1:] if self.open else (False, NONE, 0)
 
     def handle_data(self, data: str) -> None:
         if not self.state[0]:
             self.parts.append(data)
+            if self.where.get("a"):
+                self.link += len(data)
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SMOOTH) -> np.ndarray:
@@ -178,20 +200,30 @@ def lifted(parser: Lines) -> set[int]:
         named[c] = (around >= 0 and named[around]) or (c if tag in ("article", "main") else False)
     mass = np.zeros(len(parser.regions))
     articles: list[dict[int, float]] = [{} for _ in parser.regions]
+    best = np.zeros(len(parser.regions))  # the largest part of an article in each
     total = 0.0
     for (text, _, mark, c), ratio in zip(lines, smooth):
         if ratio < least:
             continue
         total += len(text)
-        while mark != NONE:
-            mass[mark] += len(text)
-            if named[c]:
-                articles[mark][named[c]] = articles[mark].get(named[c], 0.0) + len(text)
-            mark = parser.regions[mark][0]
+        mass[mark] += len(text)
+        if named[c]:
+            articles[mark][named[c]] = articles[mark].get(named[c], 0.0) + len(text)
+    for r in range(len(parser.regions) - 1, 0, -1):  # what a region holds is held by those around it
+        around = parser.regions[r][0]
+        mass[around] += mass[r]
+        if len(articles[r]) > len(articles[around]):
+            articles[r], articles[around] = articles[around], articles[r]
+            swapped = articles[around]
+            best[r] = max(swapped.values())
+        else:
+            best[r] = max(articles[r].values(), default=0.0)
+        for k, v in articles[r].items():
+            articles[around][k] = articles[around].get(k, 0.0) + v
     outside = any(n for (_, _, mark, c), n in zip(lines, smooth >= least) if mark == NONE and named[c])
     for r, (around, replies) in enumerate(parser.regions):  # regions are listed after those around them
         if r and around in out and total > 0:
-            held = max(articles[r].values(), default=0.0) >= 0.5 * total
+            held = best[r] >= 0.5 * total
             if held or (mass[r] >= 0.8 * total and not replies and not outside):
                 out.add(r)
     return out
@@ -211,35 +243,40 @@ def main_text(html: str) -> str:
     size = np.array([len(x[1]) for x in lines], float)
     smooth = smoothed(size / np.maximum(1, [x[2] for x in lines]))
     content = smooth >= min(smooth.std(), smooth.max()) if len(lines) > 1 else np.ones(1, bool)
-    mass = dict.fromkeys(range(len(parser.containers)), 0.0)
-    for (_, _, _, _, c), n, chosen in zip(lines, size, content):
-        while chosen and c >= 0:
-            mass[c] += n
-            c = parser.containers[c][1]
+    mass = np.zeros(len(parser.containers))
+    np.add.at(mass, [x[4] for x in lines], size * content)
+    depth = np.zeros(len(parser.containers), int)
+    for c in range(1, len(parser.containers)):  # containers are listed after those around them
+        depth[c] = depth[parser.containers[c][1]] + 1
+    for c in range(len(parser.containers) - 1, 0, -1):
+        mass[parser.containers[c][1]] += mass[c]
     total = mass[0]
-
-    def depth_of(c: int) -> int:
-        d = 0
-        while c > 0:
-            d, c = d + 1, parser.containers[c][1]
-        return d
-
     named = [c for c, (tag, _) in enumerate(parser.containers) if tag in ("article", "main") and mass[c] >= 0.5 * total > 0]
-    if named:  # the innermost article that holds most of the content
-        region = max(named, key=lambda c: (parser.containers[c][0] == "article", -depth_of(c), mass[c]))
-    else:
-        region = max((c for c in mass if mass[c] >= 0.8 * total), key=lambda c: (depth_of(c), mass[c]))
-    inside = {region}
-    for c, (_, around) in enumerate(parser.containers):  # containers are listed after those around them
-        if around in inside:
-            inside.add(c)
-    return "\n\n".join(text for _, text, _, _, c in lines if c in inside)
+    if named:  # all of the innermost article that holds most of the content
+        region = max(named, key=lambda c: (parser.containers[c][0] == "article", -depth[c], mass[c]))
+        inside = np.zeros(len(parser.containers), bool)
+        inside[region] = True
+        for c in range(region + 1, len(parser.containers)):
+            inside[c] = inside[parser.containers[c][1]]
+        return "\n\n".join(x[1] for x in lines if inside[x[4]])
+    # else the lines from the first to the last of the content cluster, whatever containers they stand in,
+    # and those before and after up to one of links
+    chosen = np.flatnonzero(content)
+    if not len(chosen):
+        return ""
+    first, last = int(chosen[0]), int(chosen[-1])
+    while first > 0 and lines[first - 1][0] not in parser.linked:
+        first -= 1
+    while last + 1 < len(lines) and lines[last + 1][0] not in parser.linked:
+        last += 1
+    return "\n\n".join(x[1] for x in lines[first : last + 1])
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for each page; null and empty pages have the empty text.
 
-    A narrow map, a page at a time; repeated rows are repeated, other columns are not read.
+    A narrow map, a page at a time, in time linear in a page's length, however deep its tags
+    are nested; repeated rows are repeated, other columns are not read.
     """
     source = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 

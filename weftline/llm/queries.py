@@ -15,7 +15,7 @@ VOCABULARY = "byte_bpe_50k.json"
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return secrets.digests(secrets.find(docs))
+    return secrets.digests(secrets.find(docs, dictionary=public_tokenizers.path(VOCABULARY)))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,11 @@ or brute force. Values that stand where a credential is expected and take at lea
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -32,15 +34,32 @@ CONTEXT_HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"
 LEAST = 10.0
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Common words in guessable values, by rank (fixed values).
+#: The commonest words in guessable values, by rank (fixed values); a dictionary goes on from there.
 WORDS = (
     "password welcome admin letmein login master dragon monkey football baseball superman batman shadow sunshine princess iloveyou hello freedom whatever trustno secret "
     "summer winter spring autumn monday friday january march april july october december love money change default test user root pass guest qwerty access system "
     "server service example token database public private company office house orange purple silver golden flower cookie coffee chocolate michael jessica ashley daniel "
     "charlie thomas robert jordan hunter ranger killer soccer hockey tiger eagle falcon mustang corvette ferrari star wars matrix computer internet google ninja magic"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
+
+
+@cache
+def ranks(path: str | None = None) -> dict[str, int]:
+    """Words of at least four letters, lower case, and their ranks: ``WORDS``, then those of a tokenizer's vocabulary file.
+
+    A vocabulary lists its pieces from common to rare; pieces that begin a word and hold
+    ASCII letters only are taken as words.
+    """
+    words = list(WORDS)
+    if path:
+        with open(path, encoding="utf-8") as f:
+            pieces = json.load(f)["model"]["vocab"]
+        words += (p[1:].lower() for p in sorted(pieces, key=pieces.get) if p.startswith("\u0120") and len(p) > 4 and p.isprintable() and p[1:].isascii() and p[1:].isalpha())
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys(words))}
+
+
+LONGEST = 20  # letters of a word
+RUN = 64  # in longer repeats and walks, spans begin in the first and end in the last half as many places: a cut inside only adds a span
 LEET = str.maketrans("013457@$!", "oieastasi")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 SHIFTED = dict(zip('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./"))
@@ -59,44 +78,56 @@ def brute_per_char(value: str) -> float:
     return math.log10(max(size, 10))
 
 
-def spans(value: str) -> Iterator[tuple[int, int, str, float]]:
-    """(start, end, kind, log10 guesses) of all known words, dates, repeats and keyboard walks."""
+def _within(start: int, end: int, least: int) -> Iterator[tuple[int, int]]:
+    """Spans (i, j) of at least ``least`` characters in a run."""
+    whole = end - start <= RUN
+    for i in range(start, end if whole else start + RUN // 2):
+        for j in range(i + least if whole else end - RUN // 2 + 1, end + 1):
+            yield i, j
+
+
+def spans(value: str, dictionary: str | None = None) -> Iterator[tuple[int, int, str, float]]:
+    """(start, end, kind, log10 guesses) of all known words, dates, repeats and keyboard walks, those inside longer ones too."""
+    rank = ranks(dictionary)
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
-    for i in range(n):
+    for i in range(n if len(low) == n else 0):
         for j in range(i + 4, min(n, i + LONGEST) + 1):
             for form, extra in ((low[i:j], 0.0), (plain[i:j], 0.5)):
-                if form in RANK:
+                if form in rank:
                     cased = 0.3 if value[i:j] != low[i:j] else 0.0
-                    yield i, j, "word", math.log10(RANK[form] + 1) + extra + cased
+                    yield i, j, "word", math.log10(rank[form] + 1) + extra + cased
                     break
-        m = DATE.match(value, i)
-        if m:
-            yield i, m.end(), "date", math.log10(365 * 120 if m.end() - i > 4 else 120)
-    i = 0
-    while i < n:  # the longest repeat of a unit of up to four characters from each place, and walks
-        best = i + 1
-        for unit in (1, 2, 3, 4):
-            j = i + unit
-            while j < n and value[j] == value[j - unit]:
-                j += 1
-            if j - i >= 2 * unit and j - i >= 3:
-                yield i, j, "repeat", unit * brute_per_char(value[i : i + unit]) + math.log10((j - i) // unit + 1)
-                best = max(best, j)
-        j = i + 1
-        while j < n and _adjacent(value[j - 1], value[j]):
-            j += 1
-        if j - i >= 3:
-            yield i, j, "walk", math.log10(47 * (j - i)) + 0.25 * (j - i)
-            best = max(best, j - 1)
-        i = max(i + 1, best - 1)
-
-
-def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
-    """Least log10 guesses of a value and the segmentation that has it. Linear in its length."""
+    for i in range(n):
+        if value[i].isdigit():
+            for j in range(i + 4, min(n, i + 10) + 1):
+                if DATE.fullmatch(value, i, j):
+                    yield i, j, "date", math.log10(365 * 120 if j - i > 4 else 120)
+    for unit in (1, 2, 3, 4):
+        start = 0
+        for k in range(unit, n + 1):
+            if k == n or value[k] != value[k - unit]:
+                least = max(2 * unit, 3)
+                if k - start >= least:
+                    for i, j in _within(start, k, least):
+                        yield i, j, "repeat", unit * brute_per_char(value[i : i + unit]) + math.log10((j - i) // unit + 1)
+                start = k - unit + 1
+    start = 0
+    for k in range(1, n + 1):
+        if k == n or not _adjacent(value[k - 1], value[k]):
+            for i, j in _within(start, k, 3):
+                yield i, j, "walk", math.log10(47 * (j - i)) + 0.25 * (j - i)
+            start = k
+
+
+def guess_cost(value: str, dictionary: str | None = None) -> tuple[float, list[tuple[int, int, str]]]:
+    """Least log10 guesses of a value over all ways to cut it into ``spans`` and brute force, and the segmentation that has it.
+
+    Linear in the value's length.
+    """
     per_char = brute_per_char(value)
     ending: dict[int, list[tuple[int, str, float]]] = {}
-    for i, j, kind, cost in spans(value):
+    for i, j, kind, cost in spans(value, dictionary):
         ending.setdefault(j, []).append((i, kind, cost + 0.3))  # each span more has to be guessed to be there
     cost, back = [0.0], [(0, "")]
     for j in range(1, len(value) + 1):
@@ -126,14 +157,14 @@ class Span(NamedTuple):
     cost: float | None
 
 
-def scan(text: str, least: float = LEAST) -> list[Span]:
+def scan(text: str, least: float = LEAST, dictionary: str | None = None) -> list[Span]:
     """All secrets of a text, by start and kind. Places are code points, ends exclusive."""
     raw = text.encode("utf-8", "surrogatepass").lower()
     out: list[Span] = []
     if any(h in raw for h in ASSIGN_HINTS):
         for m in ASSIGN.finditer(text):
             if len(m[2]) >= 8:
-                out.append(Span("assign", *m.span(), *m.span(2), guess_cost(m[2])[0]))
+                out.append(Span("assign", *m.span(), *m.span(2), guess_cost(m[2], dictionary)[0]))
     if "AKIA" in text:
         out += (Span("access", *m.span(), *m.span(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16)
     out += (Span("hex", *m.span(), *m.span(), None) for m in HEX.finditer(text))
@@ -147,7 +178,7 @@ def scan(text: str, least: float = LEAST) -> list[Span]:
                 end -= 1
             if end - start < 8 or any(s <= start and end <= e for s, e in taken):
                 continue  # a base value holds all of it; a longer one is reported beside the base value
-            cost = guess_cost(text[start:end])[0]
+            cost = guess_cost(text[start:end], dictionary)[0]
             if cost >= least:
                 out.append(Span("guess", start, end, start, end, cost))
     return sorted(out, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
@@ -167,11 +198,12 @@ SPANS = "array<struct<kind:string,start:long,end:long,value_start:long,value_end
 _KIND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value_start", pa.int64()), ("value_end", pa.int64()), ("cost", pa.float64())]))
 
 
-def find(df: DataFrame, text_col: str = "text", least: float = LEAST, rewrite: bool = False) -> DataFrame:
+def find(df: DataFrame, text_col: str = "text", least: float = LEAST, rewrite: bool = False, dictionary: str | None = None) -> DataFrame:
     """``df`` with a column ``secrets``: the spans of each whole text.
 
     Null and empty texts have none. With ``rewrite`` the text column is redacted too (null
-    stays null). Other columns are passed on as they are; a column of ``df`` named ``secrets``
+    stays null). ``dictionary`` is the path of a tokenizer's vocabulary whose words count as
+    guessable, on all machines. Very long texts are scanned whole. Other columns are passed on as they are; a column of ``df`` named ``secrets``
     is replaced. One row per input row; a narrow map.
     """
     kept = df.drop("secrets")
@@ -181,7 +213,7 @@ def find(df: DataFrame, text_col: str = "text", least: float = LEAST, rewrite: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, text_col):
             many = block.column(at).to_pylist()
-            found = [scan(t, least) if t else [] for t in many]
+            found = [scan(t, least, dictionary) if t else [] for t in many]
             cols = list(block.columns)
             if rewrite:
                 cols[at] = pa.array([redact(t, f) if f else t for t, f in zip(many, found)], pa.string())

@@ -18,7 +18,10 @@ from weftline.llm.queries import VOCABULARY
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, column="_score").where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    column = "_score"
+    while column in docs.columns:
+        column += "_"
+    return quality.score(docs, model, column=column).where(F.col(column) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +31,10 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced; ``n_chars`` follows the text."""
-    found = secrets.find(docs, rewrite=True)
+    own = [c for c in docs.columns if c.lower() == "secrets"]  # a column of the input keeps its name and values
+    found = secrets.find(docs.withColumnsRenamed({c: "_own_secrets" for c in own}), rewrite=True, dictionary=public_tokenizers.path(VOCABULARY))
     changed = F.when(F.size("secrets") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", changed).select(*docs.columns)
+    return found.withColumn("n_chars", changed).select(*(F.col("_own_secrets" if c in own else c).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

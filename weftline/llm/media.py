@@ -1,7 +1,7 @@
 """ISO base media containers: boxes, sample tables and byte ranges, payloads left alone.
 
 ``probe`` walks nested boxes of a file, decodes the sample tables of each track
-(stsd, stts, stsc, stsz, stco/co64, stss) and gives codec, duration and the byte range
+(stsd, stts, stsc, stsz, stco/co64, stss) and the sample runs of fragments (tfhd, trun) and gives codec, duration and the byte range
 of every sample and keyframe. It reads box headers and tables only. ``mux`` stores a
 payload as 8-bit samples of one track, without loss.
 """
@@ -92,10 +92,13 @@ def mux(payload: bytes, sample: int = SAMPLE_BYTES, per_chunk: int = SAMPLES_IN_
     return head + moov(base) + box(b"mdat", payload)
 
 
-def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, start, end) of every box's content, nested boxes after their container."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def walk(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int, int]]:
+    """(path, box start, content start, end) of every box, nested boxes after their container, to any depth."""
+    todo: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
+    while todo:
+        start, end, path = todo.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
         if size == 1 and start + 16 <= end:
@@ -104,50 +107,121 @@ def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple[b
             size = end - start
         if size < head or start + size > end:
             raise ValueError(f"box {kind!r} at {start}: its size passes its container")
-        yield (*path, kind), start + head, start + size
+        own = (*path[-8:], kind)
+        yield own, start, start + head, start + size
+        todo.append((start + size, end, path))
         if kind in CONTAINERS:
-            yield from walk(data, start + head, start + size, (*path, kind))
-        start += size
+            todo.append((start + head, start + size, own))
 
 
 def table(data: memoryview, at: int, width: int, kind: str, skip: int = 4) -> np.ndarray:
+    """Rows of a counted table, as long as the file holds them; ``ValueError`` where it doesn't."""
     (n,) = struct.unpack_from(">I", data, at + skip)
     return np.frombuffer(data, kind, n * width, at + skip + 4).astype(np.int64).reshape(n, width)
 
 
 def probe(data: bytes) -> list[Track]:
-    """The tracks of a file. Raises ``ValueError`` where boxes or tables contradict each other."""
+    """The tracks of a file, in order, with the samples of movie fragments after those of the sample tables.
+
+    Raises ``ValueError`` where boxes or tables contradict each other or pass the file's end;
+    no table takes more room than the file's size allows.
+    """
     view, tracks, now = memoryview(data), [], None
-    for path, start, end in walk(view):
+    defaults: dict[int, tuple[int, int, int]] = {}  # of fragments, by track: sample duration, size and flags
+    moof, fragment = 0, None
+    for path, box_at, start, end in walk(view):
         kind = path[-1]
         if kind == b"trak":
-            tracks.append(now := {})
-        elif now is not None and kind == b"mdhd":
+            tracks.append(now := {"id": len(tracks) + 1, "runs": []})
+        elif kind == b"trex":
+            track, _, *given = struct.unpack_from(">5I", view, start + 4)
+            defaults[track] = tuple(given)
+        elif kind == b"moof":
+            moof = box_at
+        elif kind == b"tfhd":
+            fragment = _fragment(view, start, moof, defaults)
+        elif kind == b"trun" and fragment:
+            own = next((t for t in tracks if t["id"] == fragment["id"]), None)
+            if own is None:
+                raise ValueError("a fragment of no track")
+            own["runs"].append(_run(view, start, fragment, len(data)))
+        elif now is None:
+            continue
+        elif kind == b"tkhd":
+            (now["id"],) = struct.unpack_from(">I", view, start + (20 if view[start] == 1 else 12))
+        elif kind == b"mdhd":
             now["scale"], now["duration"] = struct.unpack_from(">IQ", view, start + 20) if view[start] == 1 else struct.unpack_from(">II", view, start + 12)
-        elif now is not None and kind == b"stsd":
+        elif kind == b"stsd":
             now["codec"] = bytes(view[start + 12 : start + 16]).decode("latin-1")
-        elif now is not None and kind == b"stsz":
+        elif kind == b"stsz":
             size, n = struct.unpack_from(">II", view, start + 4)
+            if size and n * size > len(data):
+                raise ValueError("samples pass the file's end")
             now["sizes"] = np.full(n, size, np.int64) if size else table(view, start, 1, ">u4", 8)[:, 0]
-        elif now is not None and kind in (b"stco", b"co64"):
+        elif kind in (b"stco", b"co64"):
             now["chunks"] = table(view, start, 1, ">u4" if kind == b"stco" else ">u8")[:, 0]
-        elif now is not None and kind in (b"stts", b"stss", b"stsc"):
+        elif kind in (b"stts", b"stss", b"stsc"):
             now[kind.decode()] = table(view, start, {b"stts": 2, b"stss": 1, b"stsc": 3}[kind], ">u4")
-    return [_track(t) for t in tracks]
-
-
-def _track(t: dict) -> Track:
-    sizes, chunks, runs = t["sizes"], t["chunks"], t["stsc"]
+    return [_track(t, len(data)) for t in tracks]
+
+
+def _fragment(view: memoryview, at: int, moof: int, defaults: dict) -> dict:
+    flags, track = struct.unpack_from(">II", view, at)
+    flags, at = flags & 0xFFFFFF, at + 8
+    out = {"id": track, "base": moof, "next": None}
+    if flags & 1:
+        (out["base"],), at = struct.unpack_from(">Q", view, at), at + 8
+    if flags & 2:
+        at += 4
+    for bit, name, usual in zip((8, 16, 32), ("duration", "size", "flags"), defaults.get(track, (0, 0, 0))):
+        out[name] = usual
+        if flags & bit:
+            (out[name],), at = struct.unpack_from(">I", view, at), at + 4
+    return out
+
+
+def _run(view: memoryview, at: int, fragment: dict, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Starts, sizes, keyframe marks and duration of a run of a fragment's samples."""
+    flags, n = struct.unpack_from(">II", view, at)
+    flags, at = flags & 0xFFFFFF, at + 8
+    start = fragment["base"] if fragment["next"] is None else fragment["next"]
+    if flags & 1:
+        (offset,), at = struct.unpack_from(">i", view, at), at + 4
+        start = fragment["base"] + offset
+    first = None
+    if flags & 4:
+        (first,), at = struct.unpack_from(">I", view, at), at + 4
+    fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+    if n > length:
+        raise ValueError("samples pass the file's end")
+    rows = np.frombuffer(view, ">u4", n * len(fields), at).astype(np.int64).reshape(n, len(fields))
+    column = lambda bit, usual: rows[:, fields.index(bit)] if bit in fields else np.full(n, usual, np.int64)
+    sizes, marks = column(0x200, fragment["size"]), column(0x400, fragment["flags"]).copy()
+    if first is not None and n:
+        marks[0] = first
+    starts = start + np.cumsum(sizes) - sizes
+    fragment["next"] = int(start + sizes.sum())
+    return starts, sizes, marks & 0x10000 == 0, int(column(0x100, fragment["duration"]).sum())
+
+
+def _track(t: dict, length: int) -> Track:
+    none = np.empty(0, np.int64)
+    sizes, chunks, runs, times = t.get("sizes", none), t.get("chunks", none), t.get("stsc", none.reshape(0, 3)), t.get("stts", none.reshape(0, 2))
     n = len(sizes)
-    spans = np.diff(np.append(runs[:, 0], len(chunks) + 1))
-    in_chunk = np.repeat(runs[:, 1], spans)
-    if in_chunk.sum() != n or t["stts"][:, 0].sum() != n:
+    in_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
+    if in_chunk.sum() != n or times[:, 0].sum() != n:
         raise ValueError("sample tables do not agree on the number of samples")
+    in_chunk, chunks = in_chunk[in_chunk > 0], chunks[: len(in_chunk)][in_chunk > 0]
     before = np.cumsum(sizes) - sizes
     first = np.cumsum(in_chunk) - in_chunk
-    starts = np.repeat(chunks - before[first], in_chunk) + before
+    starts = np.repeat(chunks - before[first], in_chunk) + before if n else none
     keys = t["stss"][:, 0] - 1 if "stss" in t else np.arange(n)
-    duration = int((t["stts"][:, 0] * t["stts"][:, 1]).sum())
+    duration = int((times[:, 0] * times[:, 1]).sum())
+    for more, own, key, took in t["runs"]:
+        keys = np.append(keys, len(sizes) + np.flatnonzero(key))
+        starts, sizes, duration = np.append(starts, more), np.append(sizes, own), duration + took
+    if len(sizes) and (starts.min() < 0 or (starts + sizes).max() > length):
+        raise ValueError("samples pass the file's end")
     return Track(t["codec"], int(t["scale"]), duration or int(t["duration"]), starts, sizes, keys)
 
 
@@ -160,6 +234,8 @@ def key_ranges(track: Track) -> tuple[np.ndarray, np.ndarray]:
 def samples(data: bytes, track: Track) -> bytes:
     """The stored payload: adjoining samples are read as one range."""
     view, starts, ends = memoryview(data), track.starts, track.starts + track.sizes
+    if not len(starts):
+        return b""
     cut = np.flatnonzero(starts[1:] != ends[:-1]) + 1
     return b"".join(view[s:e] for s, e in zip(starts[np.r_[0, cut]].tolist(), ends[np.r_[cut - 1, len(ends) - 1]].tolist()))
 
@@ -184,13 +260,16 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return source.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-INSPECTED = "doc_id long, n_bytes long, codec string, timescale long, duration long, n_samples long, key_starts array<long>, key_ends array<long>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, error string"
+INSPECTED = "doc_id long, n_bytes long, codec string, timescale long, duration long, n_samples long, key_starts array<long>, key_ends array<long>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tracks array<struct<codec:string,timescale:long,duration:long,n_samples:long,key_starts:array<long>,key_ends:array<long>>>, error string"
+
+
+_TRACKS = pa.list_(pa.struct([("codec", pa.string()), *((c, pa.int64()) for c in ("timescale", "duration", "n_samples")), ("key_starts", pa.list_(pa.int64())), ("key_ends", pa.list_(pa.int64()))]))
 
 
 def inspect(stored: DataFrame) -> DataFrame:
     """Columns of each stored file: codec, duration, keyframe byte ranges, and digests of what it holds.
 
-    A file that is null, has no track or contradicts itself gets nulls and an ``error``.
+    These are of the first track; ``tracks`` has them for every track. A file that is null, has no track or contradicts itself gets nulls and an ``error``.
     Extra columns are dropped.
     """
 
@@ -199,21 +278,22 @@ def inspect(stored: DataFrame) -> DataFrame:
             return {"error": "no file"}
         out = {"media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest()}
         try:
-            track = probe(media)[0]
-            payload = samples(media, track)
-        except (ValueError, KeyError, IndexError, struct.error) as e:
+            found = probe(media)
+            tracks = []
+            for t in found:
+                starts, ends = key_ranges(t)
+                tracks.append({"codec": t.codec, "timescale": t.timescale, "duration": t.duration, "n_samples": len(t.sizes), "key_starts": starts, "key_ends": ends})
+            payload = samples(media, found[0])
+        except (ValueError, KeyError, IndexError, OverflowError, struct.error) as e:
             return out | {"error": str(e) or type(e).__name__}
-        starts, ends = key_ranges(track)
-        return out | {
-            "codec": track.codec, "timescale": track.timescale, "duration": track.duration, "n_samples": len(track.sizes), "key_starts": starts, "key_ends": ends,
-            "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]),
-        }
+        return out | tracks[0] | {"tracks": tracks, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:])}
+
+    names = stored.sparkSession.createDataFrame([], INSPECTED).columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "media"):
             found = [one(m) for m in block.column("media").to_pylist()]
-            kinds = {"codec": pa.string(), "key_starts": pa.list_(pa.int64()), "key_ends": pa.list_(pa.int64()), "payload_sha256": pa.string(), "media_sha256": pa.string(), "error": pa.string()}
-            names = [c.split(" ")[0] for c in INSPECTED.split(", ")]
+            kinds = {"codec": pa.string(), "key_starts": pa.list_(pa.int64()), "key_ends": pa.list_(pa.int64()), "payload_sha256": pa.string(), "media_sha256": pa.string(), "error": pa.string(), "tracks": _TRACKS}
             cols = [block.column(c) if c in ("doc_id", "n_bytes") else pa.array([f.get(c) for f in found], kinds.get(c, pa.int64())) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names)
 

@@ -344,8 +344,10 @@ def format_turns(df: DataFrame, template: str = TEMPLATE) -> DataFrame:
     text, so ties have one order; repeated rows are repeated turns. Null roles and
     texts are empty. ``loss_start``/``loss_end`` are code points of the piece under the
     generation mark (both null without one). Concatenating a conversation's pieces gives
-    its text. The template has to be one loop over ``messages``; turns are rendered as
-    they stream by, so a conversation of any length takes the memory of one turn.
+    its text. The template has to be one loop over ``messages``, whose ``loop.index``,
+    ``loop.first`` and ``loop.last`` are of the whole conversation; turns are rendered as
+    they stream by, so a conversation of any length takes the memory of two turns. It is
+    read by one task, as its order asks. Very long texts are formatted whole.
     """
     body = fold_body(parse(template))
     if len(body) != 1 or body[0][0] != "for" or body[0][2] != "messages":
@@ -357,24 +359,35 @@ def format_turns(df: DataFrame, template: str = TEMPLATE) -> DataFrame:
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        render = compile_template(template)
-        last: object = run  # no conversation
-        index = 0
+        _, name, _, inner = fold_body(parse(template))[0]
+        render = _body(inner)
+        held: tuple | None = None  # conversation, index, role and text of the turn whose successor has not come by
+
+        def piece(last: bool) -> tuple:
+            conv, index, role, text = held
+            parts, at, start, end = [], 0, None, None
+            for part, learned in render({name: {"role": role, "text": text}, "loop": {"index": index + 1, "first": index == 0, "last": last}}):
+                if learned:
+                    start = at if start is None else start
+                    end = at + len(part)
+                at += len(part)
+                parts.append(part)
+            return conv, index, "".join(parts), start, end
+
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 2 else pa.int64()) for i, c in enumerate(zip(*out))], ["conv_id", "turn_index", "formatted", "loss_start", "loss_end"])
+
         for block in blocks(batches):
             out = []
             for conv, role, text in zip(block.column("conv_id").to_pylist(), block.column("role").to_pylist(), block.column("text").to_pylist()):
-                index = index + 1 if conv == last else 0
-                last = conv
-                parts, at, start, end = [], 0, None, None
-                for part, learned in render({"messages": ({"role": role, "text": text},)}):
-                    if learned:
-                        start = at if start is None else start
-                        end = at + len(part)
-                    at += len(part)
-                    parts.append(part)
-                out.append((conv, index, "".join(parts), start, end))
-            cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 2 else pa.int64()) for i, c in enumerate(cols)], ["conv_id", "turn_index", "formatted", "loss_start", "loss_end"])
+                same = held is not None and held[0] == conv
+                if held is not None:
+                    out.append(piece(not same))
+                held = (conv, held[1] + 1 if same else 0, role, text)
+            if out:
+                yield made(out)
+        if held is not None:
+            yield made([piece(True)])
 
     return dealt.mapInArrow(run, PIECES)
 

@@ -14,6 +14,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,7 +146,8 @@ def with_following(df: DataFrame, id_col: str, text_col: str, parts: int | None
 
     Range bounds are approximate quantiles of the ids, so no partition holds all rows. The
     row after a partition's last one is added to it with ``extra`` true (a row per partition,
-    more if its id repeats). Ties of ids are in the order of texts; null ids come last.
+    more if its id repeats). Ties of ids are in the order of texts; null ids come last. Rows
+    of one id stand in one partition, which streams them.
     """
     spark = df.sparkSession
     parts = parts or shuffle_partitions(spark)
@@ -153,8 +155,13 @@ def with_following(df: DataFrame, id_col: str, text_col: str, parts: int | None
     ids = rows.select("doc_id")
     cut = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
     cuts = sorted(set(cut), reverse=True)
-    above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0)
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(above).cast("int")
+    bounds = spark.sparkContext.broadcast(np.array(cuts[::-1], np.int64))
+
+    @F.pandas_udf("int")
+    def part_of(doc_id: pd.Series) -> pd.Series:  # a binary search: the number of bounds above an id
+        return pd.Series(len(bounds.value) - bounds.value.searchsorted(doc_id, side="right")).astype("int32")
+
+    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(part_of(F.coalesce("doc_id", F.lit(0))))
     heads = sorted(ids.withColumn("part", part).groupBy("part").agg(F.max("doc_id").alias("head")).collect())  # a row per partition
     given = spark.createDataFrame([(heads[(i + 1) % len(heads)].head, heads[i].part) for i in range(len(heads))], "head long, part int")
     extra = rows.join(F.broadcast(given), F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", "part", F.lit(True).alias("extra"))
@@ -201,6 +208,8 @@ def describe(rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
         if text[:front] != changed[:front]:  # two spans of one hash
             front = next(x for x in range(n) if text[x] != changed[x])
         back = _suffix(prefixes, i + len(text), j + len(changed), n - front)
+        if back and text[-back:] != changed[-back:]:
+            back = next(x for x in range(n - front) if text[-1 - x] != changed[-1 - x])
         after = prints[2 * k + 2] if many[2 * k + 2] == following else Prefixes([following]).sketches()[0]
         own, new = prints[2 * k], prints[2 * k + 1]
         out.append((doc, len(text), hashlib.sha256(changed.encode()).hexdigest(), own, new, likeness(own, new), likeness(own, after), front, back))

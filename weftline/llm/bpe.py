@@ -32,7 +32,7 @@ from weftline.llm.common import blocks, texts
 
 #: Pre-tokenisation of byte-level BPE (fixed value of the format).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_WORDS = 400_000
+KEPT_BYTES = 64 << 20  # of a worker's table of encoded words, with what Python needs for each
 
 
 def byte_symbols() -> list[str]:
@@ -84,6 +84,7 @@ class PairIndexBPE:
         self._maybe, self._near, self._far = newer_letters()
         self._split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
         self._kept: dict[str, bytes] = {}
+        self._kept_bytes = 0
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of pairs; -1 where a pair has none (separators have none)."""
@@ -185,11 +186,14 @@ class PairIndexBPE:
             for p in own:
                 if not isinstance(p, bytes):
                     new.update(p)
-        if len(self._kept) > KEPT_WORDS:
+        if self._kept_bytes > KEPT_BYTES:
             self._kept.clear()
+            self._kept_bytes = 0
         fresh = [w for w in new if w not in self._kept]
         if fresh:
-            self._kept.update(zip(fresh, self.encode_words(fresh)))
+            found = self.encode_words(fresh)
+            self._kept.update(zip(fresh, found))
+            self._kept_bytes += sum(map(len, fresh)) + sum(map(len, found)) + 128 * len(fresh)
         return [b"".join(p if isinstance(p, bytes) else self._encoded(p) for p in own) for own in pieces]
 
     def decode(self, ids: bytes) -> str:

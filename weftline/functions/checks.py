@@ -74,8 +74,7 @@ def is_one_of(c: Column | str, values: Sequence[str]) -> Column:
 
 def first_error(rules: Sequence[tuple[Column, str, str]]) -> Column:
     """The first rule whose condition holds, as struct(code, field); null if none does."""
-    found = F.array_compact(F.array(*(F.when(_so(failed), F.struct(F.lit(code).alias("code"), F.lit(field).alias("field"))) for failed, code, field in rules)))
-    return F.try_element_at(found, F.lit(1))
+    return F.coalesce(*(F.when(_so(failed), F.struct(F.lit(code).alias("code"), (F.lit(field) if isinstance(field, str) else field).alias("field"))) for failed, code, field in rules))
 
 
 def bad(ok: Column, field: str, code: str = "SCHEMA_INVALID") -> tuple[Column, str, str]:

@@ -83,6 +83,8 @@ def cycles(edges: DataFrame) -> DataFrame:
     """(trace, members): the sets of steps on a common cycle, members sorted."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MAX_EDGES:
+            raise ValueError(f"a trace has more than {MAX_EDGES} edges")
         found = strong_components(zip(pdf["parent"], pdf["child"]))
         return pd.DataFrame({"trace": pd.Series([pdf["trace"].iloc[0]] * len(found), dtype=object), "members": pd.Series(found, dtype=object)})
 
@@ -173,6 +175,8 @@ def topological(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
 
     def run(key: tuple, ns: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
+        if len(ns) > MAX_STEPS or len(es) > MAX_EDGES:
+            raise ValueError(f"a trace has more than {MAX_STEPS} steps or {MAX_EDGES} edges")
         missing = dict.fromkeys(ns["node"], 0)
         children: dict[str, list[str]] = {}
         for p, c in set(zip(es["parent"], es["child"])):

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions.canonical import EDGE, digest
 from weftline.functions.types import EDGE_BODY
+from weftline.storage import materialize
+
 
 def none() -> Column:
     return F.array().cast("array<string>")
@@ -58,19 +60,23 @@ def parent_targets(steps: DataFrame) -> DataFrame:
     return rows.groupBy("trace", "source", "native_trace", "kind", "value").agg(F.min("hash").alias("low"), F.max("hash").alias("high"))
 
 
-def native_parents(steps: DataFrame, conflicted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Native edges, and gaps of missing and ambiguous parents; children with versions get no edge."""
+def native_parents(steps: DataFrame, conflicted: DataFrame, related=lambda hashes: hashes) -> tuple[DataFrame, DataFrame]:
+    """Native edges, and gaps of missing and ambiguous parents; children with versions get no edge.
+
+    ``related`` makes what gaps carry of the hashes that an ambiguous name can mean. It is
+    computed once for each name, so with a digest no array is copied to the name's children.
+    """
     keys = ["trace", "source", "native_trace", "kind", "value"]
     matched = parent_references(steps).join(parent_targets(steps), keys, "left")
-    missing = matched.where(F.col("low").isNull()).select(*_gap("PARENT_MISSING", "child"))
+    missing = matched.where(F.col("low").isNull()).select(*_gap("PARENT_MISSING", "child", related(none())))
     several = matched.where("low <> high")
     named = steps.select("trace", "source", "native_trace", "hash", F.explode(F.array(F.struct(F.lit("record").alias("kind"), F.col("record").alias("value")), F.struct(F.lit("span").alias("kind"), F.col("native_span").alias("value")))).alias("t")).select("trace", "source", "native_trace", "t.kind", "t.value", "hash")
     names = several.select(*keys).distinct()
-    hashes = named.join(names, keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_set("hash")).alias("hashes"))
+    hashes = named.join(names, keys, "left_semi").groupBy(*keys).agg(related(F.array_sort(F.collect_set("hash"))).alias("hashes"))
     ambiguous = several.join(hashes, keys).select(*_gap("PARENT_AMBIGUOUS", "child", "hashes"))
     one = matched.where("low = high").join(conflicted.select("trace", "source", "record"), ["trace", "source", "record"], "left_anti")
-    none = F.lit(None).cast("string")
-    edges = one.select("trace", F.col("low").alias("parent"), "child", F.lit("NATIVE_PARENT").alias("kind"), none.alias("delegation"), none.alias("scope")).distinct()
+    null = F.lit(None).cast("string")
+    edges = one.select("trace", F.col("low").alias("parent"), "child", F.lit("NATIVE_PARENT").alias("kind"), null.alias("delegation"), null.alias("scope")).distinct()
     return with_edge_hash(edges), missing.unionByName(ambiguous)
 
 
@@ -84,15 +90,17 @@ def delegation_outcomes(steps: DataFrame) -> DataFrame:
     """One row per (trace, delegation): outcome, subject, related, and for edges parent, child and scope.
 
     Outcomes are tried in order: reused, offer missing, accept missing, no such parent record,
-    wrong parent hash, mismatch, and else an edge (``DELEGATES``).
+    wrong parent hash, mismatch, and else an edge (``DELEGATES``). One aggregate over both sides.
     """
     offers, accepts = _sides(steps)
-    by_offer = offers.groupBy("trace", "delegation").agg(F.min("offerer").alias("o_low"), F.max("offerer").alias("o_high"), F.min_by("offer", "offerer").alias("offer"))
-    by_accept = accepts.groupBy("trace", "delegation").agg(F.min("accepter").alias("a_low"), F.max("accepter").alias("a_high"), *(F.min_by(c, "accepter").alias(c) for c in ("accept", "child_source", "child_agent")))
-    both = by_offer.join(by_accept, ["trace", "delegation"], "full_outer").withColumn("reused", F.coalesce(F.col("o_low") != F.col("o_high"), F.lit(False)) | F.coalesce(F.col("a_low") != F.col("a_high"), F.lit(False)))
+    sides = offers.unionByName(accepts, allowMissingColumns=True)
+    both = materialize(sides.groupBy("trace", "delegation").agg(
+        F.min("offerer").alias("o_low"), F.max("offerer").alias("o_high"), F.min_by("offer", "offerer").alias("offer"), F.min("accepter").alias("a_low"), F.max("accepter").alias("a_high"),
+        *(F.min_by(c, "accepter").alias(c) for c in ("accept", "child_source", "child_agent")),
+    ).withColumn("reused", F.coalesce(F.col("o_low") != F.col("o_high"), F.lit(False)) | F.coalesce(F.col("a_low") != F.col("a_high"), F.lit(False))), "delegations")
     keys = ["trace", "delegation"]
     again = both.where("reused").select(*keys)
-    users = offers.select(*keys, F.col("offerer").alias("h")).unionByName(accepts.select(*keys, F.col("accepter").alias("h"))).join(again, keys, "left_semi")
+    users = sides.select(*keys, F.coalesce("offerer", "accepter").alias("h")).join(again, keys, "left_semi")
     reused = users.groupBy(*keys).agg(F.array_sort(F.collect_set("h")).alias("related")).select(*keys, F.lit("DELEGATION_REUSED").alias("outcome"), F.col("related")[0].alias("subject"), "related")
     single = both.where("not reused")
     missing = single.where("o_low is null or a_low is null").select(*keys, F.when(F.col("o_low").isNull(), "OFFER_MISSING").otherwise("ACCEPT_MISSING").alias("outcome"), F.coalesce("a_low", "o_low").alias("subject"), none().alias("related"))

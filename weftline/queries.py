@@ -12,8 +12,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.functions.canonical import ZERO, base64url, canonical, digest_text, escape_pointer, from_base64url, sha256_text, short
-from weftline.operators import graph, resolve, streams
-from weftline.plans.reduction import Reduced, manifests
+from weftline.operators import graph, resolve, streams, trust
+from weftline.operators.path import Paths, paths
+from weftline.functions.types import OFFER
+from weftline.plans.reduction import Reduced, manifests, reduce_steps
 from weftline.sources.vendor import clean, normalize
 from weftline.storage import materialize
 
@@ -28,13 +30,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows of a table whose files give fewer tasks than there are cores, dealt to all cores; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _trace(c: str) -> Column:
     return F.concat(F.lit("vlt_"), F.lpad(F.col(c).cast("string"), 21, "0"))
 
 
 def _rows(df: DataFrame, source: str, trace: Column, place: Column, **members: Column) -> DataFrame:
     raw = canonical(F.struct(*(v.alias(k) for k, v in members.items())))
-    return df.select(F.lit(source).alias("source"), place.cast("string").alias("place"), raw.alias("raw"), trace.alias("trace"))
+    return _spread(df.select(F.lit(source).alias("source"), place.cast("string").alias("place"), raw.alias("raw"), trace.alias("trace")))
 
 
 def _normalized(spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -117,15 +125,16 @@ def lineage_native_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineage_parent_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans whose parent is missing or ambiguous."""
     steps = materialize(clean(_normalized(spark, _span_rows(spark, sf_dir))), "steps")
-    _, gaps = resolve.native_parents(steps, resolve.conflicts(steps))
-    return gaps.select("trace", "code", "subject", F.size("related").cast("long").alias("n_related"), sha256_text(F.array_join("related", ",")).alias("related_sha256"))
+    number = lambda hashes: F.struct(F.size(hashes).cast("long").alias("n"), sha256_text(F.array_join(hashes, ",")).alias("sha256"))
+    _, gaps = resolve.native_parents(steps, resolve.conflicts(steps), number)
+    return gaps.select("trace", "code", "subject", F.col("related.n").alias("n_related"), F.col("related.sha256").alias("related_sha256"))
 
 
 def lineage_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers exported as records that differ: each has its versions' hashes."""
     trace, key = _trace("o_custkey"), F.col("o_custkey").cast("string")
     rows = _rows(_table(spark, sf_dir, "orders"), OBSERVATIONS, trace, key, id=key, metadata=_lineage(trace, agent=_agent(F.col("o_orderpriority"))), parentObservationId=F.lit(None).cast("string"), traceId=key)
-    found = resolve.conflict_gaps(resolve.conflicts(clean(_normalized(spark, rows))))
+    found = resolve.conflict_gaps(resolve.conflicts(materialize(clean(_normalized(spark, rows)), "steps")))
     return found.select("trace", "code", "subject", F.size("related").cast("long").alias("n_related"), sha256_text(F.array_join("related", ",")).alias("related_sha256"))
 
 
@@ -217,11 +226,116 @@ def lineage_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-flagship = lineage_manifests
+def _work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user, numbered: steps of a trace whose names are digests of their ids."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    number = F.get_json_object("props", "$.k").cast("long")
+    return _table(spark, sf_dir, "events").select(_trace("user_id").alias("trace"), F.lit(SPANS).alias("source"), F.col("event_id").cast("string").alias("record"), sha256_text(F.col("event_id").cast("string")).alias("hash"), "event_type", place.cast("long").alias("n"), number.alias("k"))
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> Paths:
+    """For each user, what the 40th, the 60th and a missing event stand on.
+
+    An event stands on the one before it of its type and, if its number is even, on the one
+    before it of any type. Events with small numbers have gaps. Every fifth user's paths may
+    hold 30 nodes, every seventh's be 12 deep.
+    """
+    work = materialize(_work(spark, sf_dir), "work")
+    before = F.lag("hash").over(Window.partitionBy("trace", "event_type").orderBy("n"))
+    same = work.select("trace", before.alias("parent"), F.col("hash").alias("child")).where("parent is not null")
+    other = work.where("k % 2 = 0").select("trace", (F.col("n") - 1).alias("n"), F.col("hash").alias("child")).join(work.select("trace", "n", F.col("hash").alias("parent")), ["trace", "n"]).select("trace", "parent", "child")
+    edges = materialize(same.unionByName(other).distinct(), "edges")
+    gaps = work.where("k < 4").select("trace", F.when(F.col("k") == 0, "PARENT_AMBIGUOUS").otherwise("PARENT_MISSING").alias("code"), F.col("hash").alias("subject"), F.array().cast("array<string>").alias("related"))
+    user = F.substring("trace", 5, 21).cast("long")
+    asked = work.where("n in (40, 60)").select("trace", "source", "record").unionByName(work.where("n = 1").select("trace", "source", F.concat(F.lit("no"), "record").alias("record")))
+    requests = asked.select(F.concat_ws("/", "trace", "record").alias("request"), "*", F.when(user % 7 == 0, 12).otherwise(256).alias("max_depth"), F.when(user % 5 == 0, 30).otherwise(4096).alias("max_nodes"))
+    return paths(work, edges, gaps, requests)
+
+
+def path_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of each path, with least depth."""
+    return _paths(spark, sf_dir).nodes.select("request", "node", F.col("depth").cast("long").alias("depth"))
+
+
+def path_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between nodes of each path."""
+    return _paths(spark, sf_dir).edges.select("request", "parent", "child")
+
+
+def path_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps that concern each path."""
+    return _paths(spark, sf_dir).gaps.select("request", "code", "subject")
+
+
+def structural_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error or verdict of each request."""
+    return _paths(spark, sf_dir).answers.select("request", "error", "verdict")
+
+
+def _pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key pins: a customer is a key of its nation's stream for a range of positions."""
+    return _table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("vlk_"), F.lpad((F.col("c_custkey") % 500).cast("string"), 21, "0")).alias("id"), F.lit("origin").alias("role"), F.lit(None).cast("string").alias("public"),
+        F.when(F.col("c_nationkey") % 2 == 0, RUNS).otherwise(SPANS).alias("source"), F.col("c_mktsegment").alias("stream"), (F.col("c_custkey") % 50 + 1).cast("string").alias("first_seq"), (F.col("c_custkey") % 50 + 30).cast("string").alias("last_seq"),
+        F.when(F.col("c_custkey") % 11 == 0, "COMPROMISED").when(F.col("c_custkey") % 3 == 0, "RETIRED").otherwise("ACTIVE").alias("status"),
+    )
+
+
+def pin_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pins say of each order as an attestation signed by its customer's key."""
+    rows = _table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("hash"), F.concat(F.lit("vlk_"), F.lpad((F.col("o_custkey") % 700).cast("string"), 21, "0")).alias("key"), F.when(F.col("o_custkey") % 2 == 0, RUNS).otherwise(SPANS).alias("source"),
+        F.element_at(F.array(*map(F.lit, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))), (F.col("o_orderkey") % 5 + 1).cast("int")).alias("stream"), (F.col("o_orderkey") % 90 + 1).cast("string").alias("seq"),
+    )
+    return trust.key_standing(rows, _pins(spark, sf_dir), "origin").select("hash", "standing")
+
+
+def head_pin_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads pinned at every third position of each user's stream, against the stream."""
+    links = _links(spark, sf_dir)
+    heads = links.where("cast(seq as long) % 3 = 0").groupBy("source", "stream", "seq").agg(F.min("hash").alias("hash"))
+    wrong = F.col("stream").cast("long") % 4 == 0
+    pins = heads.select("source", "stream", F.when(F.col("stream").cast("long") % 5 == 0, F.lit("500")).otherwise(F.col("seq")).alias("seq"), F.when(wrong, sha256_text(F.col("hash"))).otherwise(F.col("hash")).alias("hash")).distinct()
+    return trust.head_status(links, pins)
+
+
+def lineage_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of edges and gaps by kind and code, of orders and line items reduced with all rules.
+
+    Perturbed by key: offers of another scope, to another agent or source, left out, and
+    acceptances that name another hash or record.
+    """
+    steps = materialize(_perturbed(spark, sf_dir), "steps")
+    reduced = reduce_steps(steps)
+    edges = reduced.edges.groupBy(F.col("kind").alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("trace").alias("traces"))
+    gaps = reduced.gaps.groupBy(F.col("code").alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("trace").alias("traces"))
+    return edges.unionByName(gaps)
+
+
+def _perturbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders offer, and the first line items accept, both perturbed by the order's key."""
+    key, trace, o = F.col("o_orderkey").cast("string"), _trace("o_custkey"), F.col("o_orderkey")
+    delegation = F.concat(F.lit("vld_"), F.lpad(key, 21, "0"))
+    scope = F.when(o % 10 == 1, "2" * 64).otherwise(SCOPE)
+    offer = F.struct(F.struct(F.lit("lab").alias("namespace"), F.lit(None).cast("string").alias("principal"), F.when(o % 10 == 2, "other").otherwise("warehouse").alias("subject")).alias("child_agent"), F.when(o % 10 == 3, SPANS).otherwise(OBSERVATIONS).alias("child_source"), delegation.alias("id"), scope.alias("scope"))
+    offers = F.when(o % 10 == 4, F.array().cast(f"array<{OFFER}>")).otherwise(F.array(offer))
+    meta = F.struct(_lineage(trace, agent=_agent(F.lit("shop")), offers=offers).alias("metadata"))
+    orders = _table(spark, sf_dir, "orders")
+    shops = materialize(clean(_normalized(spark, _rows(orders, RUNS, trace, key, extra=meta, id=key, parent_run_id=F.lit(None).cast("string"), trace_id=F.col("o_custkey").cast("string")))), "shops")
+    first = _table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey").distinct()
+    taken = first.join(shops.select("trace", F.col("record").cast("long").alias("l_orderkey"), "hash"), "l_orderkey")
+    key, k = F.col("l_orderkey").cast("string"), F.col("l_orderkey")
+    parent = F.struct(F.when(k % 10 == 5, SCOPE).otherwise(F.col("hash")).alias("hash"), F.when(k % 10 == 6, F.concat(F.lit("no"), key)).otherwise(key).alias("record"), F.lit(RUNS).alias("source"))
+    accept = F.struct(F.concat(F.lit("vld_"), F.lpad(key, 21, "0")).alias("id"), parent.alias("parent"), F.lit(SCOPE).alias("scope"))
+    lines = _rows(taken, OBSERVATIONS, F.col("trace"), key, id=key, metadata=_lineage(F.col("trace"), agent=_agent(F.lit("warehouse")), accept=accept), parentObservationId=F.when(k % 10 == 7, F.concat(F.lit("no"), key)), traceId=key)
+    return shops.unionByName(clean(_normalized(spark, lines)))
+
+
+flagship = lineage_reduced
 
 _NAMES = (
     lineage_run_steps, lineage_span_steps, lineage_native_edges, lineage_parent_gaps, lineage_conflicts, lineage_delegations, lineage_cycles, lineage_acyclic_edges, lineage_ancestors, lineage_topological,
-    lineage_stream_breaks, lineage_stream_forks, lineage_pinned, lineage_manifests, lineage_encodings,
+    lineage_stream_breaks, lineage_stream_forks, lineage_pinned, lineage_manifests, lineage_encodings, lineage_reduced, path_nodes, path_edges, path_gaps, structural_verdict, pin_interval_join, head_pin_status,
 )
 QUERIES: dict = {f.__name__: f for f in _NAMES}
 
@@ -263,7 +377,36 @@ _LINKS = f"""SELECT '{SPANS}' AS source, user_id::varchar AS stream, json_extrac
   coalesce(sha256(lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id)::varchar), '{ZERO}') AS prev, event_type AS step FROM events"""
 _PREVIOUS = "SELECT DISTINCT c.conv_id, c.turn, {} AS trace, p.turn AS before FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1".format(_sql_trace("c.conv_id"))
 
+_WORK = f"""SELECT {_sql_trace("user_id")} AS trace, user_id, event_id::varchar AS record, sha256(event_id::varchar) AS hash, event_type, json_extract_string(props, '$.k')::bigint AS k,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id)::varchar AS p1, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)::varchar AS p2 FROM events"""
+_PATHS = f"""WITH RECURSIVE w AS ({_WORK}), e AS (SELECT trace, sha256(p2) AS parent, hash AS child FROM w WHERE p2 IS NOT NULL UNION SELECT trace, sha256(p1), hash FROM w WHERE k % 2 = 0 AND p1 IS NOT NULL),
+  a AS (SELECT trace || '/' || record AS request, trace, user_id, hash FROM w WHERE n IN (40, 60)), r AS (SELECT request, trace, hash AS node, 0 AS depth FROM a UNION SELECT r.request, r.trace, e.parent, r.depth + 1 FROM r JOIN e ON e.trace = r.trace AND e.child = r.node),
+  d AS (SELECT request, trace, node, min(depth) AS depth FROM r GROUP BY ALL), s AS (SELECT request, count(*) AS n, max(depth) AS depth FROM d GROUP BY request),
+  l AS (SELECT a.request FROM a JOIN s ON s.request = a.request WHERE (user_id % 7 = 0 AND depth > 12) OR (user_id % 5 = 0 AND n > 30)), m AS (SELECT * FROM d WHERE request NOT IN (SELECT request FROM l)),
+  g AS (SELECT m.request, CASE WHEN w.k = 0 THEN 'PARENT_AMBIGUOUS' ELSE 'PARENT_MISSING' END AS code, w.hash AS subject FROM m JOIN w ON w.trace = m.trace AND w.hash = m.node WHERE w.k < 4)"""
+_NATION_STREAM = "CASE WHEN {} % 2 = 0 THEN '" + RUNS + "' ELSE '" + SPANS + "' END"
+
 ORACLE_SQL: dict = {
+    "path_nodes": f"{_PATHS} SELECT request, node, depth::bigint AS depth FROM m",
+    "path_edges": f"{_PATHS} SELECT c.request, e.parent, e.child FROM e JOIN m c ON c.trace = e.trace AND c.node = e.child JOIN m p ON p.request = c.request AND p.node = e.parent",
+    "path_gaps": f"{_PATHS} SELECT request, code, subject FROM g",
+    "structural_verdict": f"""{_PATHS}, v AS (SELECT request, bool_or(code = 'PARENT_AMBIGUOUS') AS c FROM g GROUP BY request)
+      SELECT a.request, CASE WHEN l.request IS NOT NULL THEN 'PATH_LIMIT' END AS error, CASE WHEN l.request IS NOT NULL THEN NULL WHEN c THEN 'CONFLICTED' WHEN c IS NOT NULL THEN 'INCOMPLETE' ELSE 'COMPLETE_RELATIVE' END AS verdict
+      FROM a LEFT JOIN l ON l.request = a.request LEFT JOIN v ON v.request = a.request UNION ALL SELECT trace || '/no' || record, 'NOT_FOUND', NULL FROM w WHERE n = 1""",
+    "pin_interval_join": f"""WITH p AS (SELECT DISTINCT 'vlk_' || lpad((c_custkey % 500)::varchar, 21, '0') AS id, {_NATION_STREAM.format("c_nationkey")} AS source, c_mktsegment AS stream, c_custkey % 50 + 1 AS a, c_custkey % 50 + 30 AS b, c_custkey % 11 = 0 AS bad FROM customer),
+      o AS (SELECT o_orderkey::varchar AS hash, 'vlk_' || lpad((o_custkey % 700)::varchar, 21, '0') AS key, {_NATION_STREAM.format("o_custkey")} AS source, (['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'])[o_orderkey % 5 + 1] AS stream, o_orderkey % 90 + 1 AS n FROM orders),
+      j AS (SELECT o.hash, count(p.id) AS known, count_if(p.source = o.source AND p.stream = o.stream) AS scoped, count_if(p.source = o.source AND p.stream = o.stream AND n BETWEEN a AND b) AS covered, count_if(p.source = o.source AND p.stream = o.stream AND n BETWEEN a AND b AND bad) AS bad
+        FROM o LEFT JOIN p ON p.id = o.key GROUP BY o.hash)
+      SELECT hash, CASE WHEN known = 0 THEN 'KEY_UNKNOWN' WHEN scoped = 0 THEN 'SCOPE_MISMATCH' WHEN covered = 0 THEN 'KEY_UNKNOWN' WHEN bad > 0 THEN 'KEY_COMPROMISED' ELSE 'COVERED' END AS standing FROM j""",
+    "head_pin_status": f"""WITH l AS ({_LINKS}), h AS (SELECT source, stream, n, min(hash) AS hash FROM l WHERE n % 3 = 0 GROUP BY ALL),
+      p AS (SELECT DISTINCT source, stream, CASE WHEN stream::bigint % 5 = 0 THEN 500 ELSE n END AS seq, CASE WHEN stream::bigint % 4 = 0 THEN sha256(hash) ELSE hash END AS hash FROM h),
+      b AS (SELECT source, stream, min(n) AS a, max(n) AS z FROM l GROUP BY ALL)
+      SELECT p.source, p.stream, p.seq::varchar AS seq, p.hash, CASE WHEN p.seq < a THEN 'BELOW' WHEN EXISTS (SELECT 1 FROM l WHERE l.stream = p.stream AND l.n = p.seq AND l.hash = p.hash) THEN 'MATCH'
+        WHEN EXISTS (SELECT 1 FROM l WHERE l.stream = p.stream AND l.n = p.seq) THEN 'PIN_MISMATCH' ELSE 'PIN_AHEAD' END AS status FROM p JOIN b ON b.source = p.source AND b.stream = p.stream""",
+    "lineage_reduced": """WITH o AS (SELECT o_orderkey AS k, o_custkey AS t, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1) AS taken FROM orders),
+      d AS (SELECT t, CASE WHEN NOT taken AND k % 10 <> 4 THEN 'ACCEPT_MISSING' WHEN taken AND k % 10 = 4 THEN 'OFFER_MISSING' WHEN taken AND k % 10 IN (1, 2, 3, 6) THEN 'DELEGATION_MISMATCH' WHEN taken AND k % 10 = 5 THEN 'PARENT_HASH_MISMATCH'
+        WHEN taken THEN 'DELEGATES' END AS kind FROM o UNION ALL SELECT t, 'PARENT_MISSING' FROM o WHERE taken AND k % 10 = 7)
+      SELECT kind, count(*)::bigint AS n, count(DISTINCT t)::bigint AS traces FROM d WHERE kind IS NOT NULL GROUP BY kind""",
     "lineage_run_steps": f"SELECT trace, record, hash FROM ({_RUN_STEPS})",
     "lineage_span_steps": f"SELECT trace, record, hash FROM ({_SPAN_STEPS})",
     "lineage_native_edges": f"WITH steps AS ({_RUN_STEPS}) {_RUN_EDGES}",

@@ -7,13 +7,11 @@ Every row keeps its place, so the first error of a file is defined.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import checks
-from weftline.functions.canonical import STEP, canonical, digest, sorted_by_json
+from weftline.functions.canonical import STEP, digest, sorted_by_json
 from weftline.functions.types import ATTACHMENT, BODY, LINEAGE, OFFER, PARENT
 
 ROW_BYTES = 1 << 20
@@ -28,24 +26,20 @@ PROFILES = {
 def read_rows(spark: SparkSession, path: str, source: str, array: bool = False) -> DataFrame:
     """(source, place, raw): rows of a JSON-lines file or folder, or with ``array`` of JSON arrays, a document each.
 
-    ``place`` orders rows (file, then line or element). Blank lines stay: they are invalid rows.
+    ``place`` orders rows: file, then the line or element, stable from reading to reading.
+    Lines are counted within a file, which is one task's work: a file of lines is read whole.
+    Blank lines stay, they are invalid rows; a document that is no array is one row that doesn't parse.
     """
+    files = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     if array:
-        files = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-        split = files.select("file", F.posexplode(F.try_parse_json("value").cast("array<variant>")).alias("place", "row"))
-        return split.select(F.lit(source).alias("source"), F.concat_ws(":", "file", F.lpad(F.col("place").cast("string"), 12, "0")).alias("place"), F.to_json("row").alias("raw"))
-    lines = spark.read.text(path)
-    block = F.col("_metadata.file_block_start")
-    return lines.select(F.lit(source).alias("source"), F.concat_ws(":", F.col("_metadata.file_path"), F.lpad(block.cast("string"), 15, "0"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")).alias("place"), F.col("value").alias("raw"))
-
-
-def _get(v: Column, path: str, kind: str = "string") -> Column:
-    return F.try_variant_get(v, f"$.{path}", kind)
-
-
-def _kind(v: Column, path: str) -> Column:
-    """JSON type of a member: 'STRING', 'VOID' (null), 'OBJECT<...>', 'ARRAY<...>'; SQL null where it is absent."""
-    return F.schema_of_variant(F.try_variant_get(v, f"$.{path}", "variant"))
+        parsed = F.try_parse_json("value")
+        rows = F.when(F.coalesce(F.schema_of_variant(parsed).startswith("ARRAY"), F.lit(False)), parsed.cast("array<variant>"))
+        split = files.select("file", F.posexplode_outer(rows).alias("at", "row"), rows.isNull().alias("odd")).where("odd or row is not null")
+        raw = F.when(F.col("odd"), F.lit("")).otherwise(F.to_json("row"))
+    else:
+        split = files.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), r"\r?\n")).alias("at", "raw"))
+        raw = F.col("raw")
+    return split.select(F.lit(source).alias("source"), F.concat_ws(":", "file", F.lpad(F.coalesce("at", F.lit(0)).cast("string"), 12, "0")).alias("place"), raw.alias("raw"))
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -57,43 +51,54 @@ def settled(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array(F.struct(*df.columns))).alias("row")).select("row.*")
 
 
-def _required(v: Column, path: str, field: str) -> list[tuple[Column, str, str]]:
-    value = _get(v, path)
-    return [(~F.coalesce(_kind(v, path) == "STRING", F.lit(False)) | (value == ""), "PROFILE_MISMATCH", field), checks.bad(checks.is_text(value), field)]
+def _kind(v: Column) -> Column:
+    """JSON type of a variant: 'STRING', 'VOID' (null), 'OBJECT<...>', 'ARRAY<...>'; SQL null where there is none."""
+    return F.schema_of_variant(v)
 
 
-def _profile(rows: DataFrame, profile: str, metadata_key: str) -> DataFrame:
-    record, trace, span, parent, holder = PROFILES[profile]
-    v = F.col("v")
-    kind = _kind(v, parent)
-    if profile == "braintrust-spans/1":
-        texts = F.try_variant_get(v, f"$.{parent}", "array<variant>")
-        names = F.transform(texts, lambda p: F.try_variant_get(p, "$", "string"))
-        parents = F.transform(names, lambda p: F.struct(F.lit("span").alias("kind"), p.alias("value")))
-        odd = ~F.coalesce(kind.startswith("ARRAY"), F.lit(False)) | F.exists(texts, lambda p: F.schema_of_variant(p) != "STRING") | F.exists(names, lambda p: p == "")
-        parent_rules = [(odd, "PROFILE_MISMATCH", f"/row/{parent}")]
-    else:
-        some = kind.isNotNull() & (kind != "VOID")
-        parents = F.when(some, F.array(F.struct(F.lit("record").alias("kind"), _get(v, parent).alias("value")))).otherwise(F.array().cast(f"array<{PARENT}>"))
-        parent_rules = [(some & ((kind != "STRING") | (_get(v, parent) == "")), "PROFILE_MISMATCH", f"/row/{parent}")]
-    inner = F.try_variant_get(v, f"$.{holder}.{metadata_key}", "variant")
-    given = F.coalesce(_kind(v, holder).startswith("OBJECT"), F.lit(False)) & inner.isNotNull()
-    field = "/row/" + f"{holder}/{metadata_key}".replace(".", "/")
-    lineage = F.from_json(F.to_json(inner), LINEAGE)
-    object_ = F.coalesce(F.schema_of_variant(inner).startswith("OBJECT"), F.lit(False))
-    # from_json drops unknown members, so names are compared on the text
+def _is(kind: Column, prefix: str) -> Column:
+    return F.coalesce(kind.startswith(prefix), F.lit(False))
+
+
+def _required(value: str, kind: str, field: Column) -> list[tuple[Column, str, Column]]:
+    return [(~_is(F.col(kind), "STRING") | (F.col(value) == ""), "PROFILE_MISMATCH", field), (~checks.is_text(value), "SCHEMA_INVALID", field)]
+
+
+def _by_profile(of) -> Column:
+    """A column that depends on the row's profile."""
+    out = None
+    for profile, paths in PROFILES.items():
+        out = (F if out is None else out).when(F.col("profile") == profile, of(profile, *paths))
+    return out
+
+
+#: Types of the metadata's members, nested ones too: member names and types of every closed object.
+AGENT_KIND = "OBJECT<namespace: STRING, principal: (?:STRING|VOID), subject: STRING>"
+REF_KIND = "OBJECT<hash: STRING, record: STRING, source: STRING>"
+KINDS = {
+    "accept": f"VOID|OBJECT<id: STRING, parent: {REF_KIND}, scope: STRING>", "agent": f"VOID|{AGENT_KIND}", "attachments": "ARRAY<.*>", "offers": "ARRAY<.*>",
+    "policy": "VOID|OBJECT<decision: STRING, digest: STRING, version: STRING>", "trace_id": "STRING", "v": "BIGINT|DECIMAL.*|DOUBLE",
+}
+ELEMENTS = {"attachments": "OBJECT<bytes: STRING, digest: STRING, format: STRING>", "offers": f"OBJECT<child_agent: {AGENT_KIND}, child_source: STRING, id: STRING, scope: STRING>"}
+
+
+def _matches(kind: str):
+    return lambda found: F.coalesce(found.rlike(rf"\A{kind}\z"), F.lit(False))
+
+
+def closed_rules(inner: Column, at: Column) -> list[tuple[Column, str, Column]]:
+    """Rules on the members of a metadata object as it stands: no other member, none missing, each of its type."""
+    here = inner.isNotNull()
     names = F.array_sort(F.json_object_keys(F.to_json(inner)))
-    known = F.array(*map(F.lit, ("accept", "agent", "attachments", "offers", "policy", "trace_id", "v")))
-    return settled(rows.select(
-        "*",
-        F.when(v.isNull(), F.struct(F.lit("JSON_INVALID").alias("code"), F.lit("/row").alias("field"))).alias("parse_error"),
-        (F.octet_length("raw") > ROW_BYTES).alias("too_long"),
-        F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("is_object"),
-        _get(v, record).alias("record"), _get(v, trace).alias("native_trace"), _get(v, span).alias("native_span"), parents.alias("parents"),
-        F.when(given & object_, lineage).alias("lineage"),
-        checks.first_error([r for p, f in ((record, "id"), (trace, trace), (span, span)) for r in _required(v, p, f"/row/{f}")] + parent_rules).alias("profile_error"),
-        (given & (~object_ | (names != known))).alias("odd_lineage"), (~given).alias("metadata_absent"), F.lit(field).alias("metadata_field"),
-    ))
+    rules = [(here & ~_is(_kind(inner), "OBJECT"), "SCHEMA_INVALID", at), (here & (names != F.array(*map(F.lit, KINDS))), "SCHEMA_INVALID", at)]
+    for name, kind in KINDS.items():
+        field = F.concat(at, F.lit(f"/{name}"))
+        member = F.try_variant_get(inner, f"$.{name}", "variant")
+        rules.append((here & ~F.coalesce(_kind(member).rlike(rf"\A(?:{kind})\z"), F.lit(False)), "SCHEMA_INVALID", field))
+        if name in ELEMENTS:
+            kinds = F.transform(F.try_variant_get(inner, f"$.{name}", "array<variant>"), F.schema_of_variant)
+            rules.append((here & ~checks.each(kinds, _matches(ELEMENTS[name])), "SCHEMA_INVALID", field))
+    return rules
 
 
 def normalize(rows: DataFrame, sources: DataFrame, metadata_key: str, workspace: str) -> DataFrame:
@@ -102,27 +107,51 @@ def normalize(rows: DataFrame, sources: DataFrame, metadata_key: str, workspace:
     ``rows`` has source, place, raw and trace (the target); ``sources`` has id and profile.
     ``metadata_key`` is the member that holds the lineage metadata in a vendor's metadata
     object. ``error`` is null for clean rows, otherwise the first code and field; rows with one
-    have no hash. Null rows and rows of unknown sources are errors too. One pass, no shuffle but
-    the join with the (small) sources.
+    have no hash. Null rows and rows of unknown sources are errors too. Each row is read and
+    parsed once, whatever its profile; no shuffle but the join with the (small) sources.
     """
-    known = rows.join(sources.select(F.col("id").alias("source"), "profile"), "source", "left").withColumn("v", F.try_parse_json("raw"))
-    parts = [_profile(known.where(F.col("profile") == p), p, metadata_key) for p in PROFILES]
-    other = known.where(~F.coalesce(F.col("profile").isin(*PROFILES), F.lit(False)))
-    mapped = reduce(DataFrame.unionByName, parts)
-    m = F.col("lineage")
+    known = rows.join(sources.select(F.col("id").alias("source"), "profile"), "source", "left")
+    parsed = settled(known.withColumn("v", F.try_parse_json("raw")).withColumn("bytes", F.octet_length("raw")).drop("raw"))
+    get = lambda path: F.try_variant_get("v", f"$.{path}", "variant")
+    members = settled(parsed.select(
+        "place", "source", "trace", "profile", "bytes", F.col("v").isNull().alias("unread"), _is(_kind(F.col("v")), "OBJECT").alias("is_object"),
+        _by_profile(lambda p, record, *_: get(record)).alias("a"), _by_profile(lambda p, r, trace, *_: get(trace)).alias("b"), _by_profile(lambda p, r, t, span, *_: get(span)).alias("c"),
+        _by_profile(lambda p, r, t, s, parent, *_: get(parent)).alias("d"), _by_profile(lambda p, r, t, s, q, holder: _is(_kind(get(holder)), "OBJECT")).alias("held"),
+        _by_profile(lambda p, r, t, s, q, holder: get(f"{holder}.{metadata_key}")).alias("inner"),
+    ))
+    text = lambda c: F.try_variant_get(c, "$", "string")
+    listed = F.try_variant_get("d", "$", "array<variant>")
+    several = F.col("profile") == "braintrust-spans/1"
+    some = _kind(F.col("d")).isNotNull() & (_kind(F.col("d")) != "VOID")
+    named = F.transform(listed, lambda e: F.struct(F.lit("span").alias("kind"), F.try_variant_get(e, "$", "string").alias("value")))
+    one = F.when(some, F.array(F.struct(F.lit("record").alias("kind"), text("d").alias("value")))).otherwise(F.array().cast(f"array<{PARENT}>"))
+    odd_list = ~_is(_kind(F.col("d")), "ARRAY") | F.exists(listed, lambda e: F.schema_of_variant(e) != "STRING") | F.exists(named, lambda p: p["value"] == "")
+    odd_one = some & ((_kind(F.col("d")) != "STRING") | (text("d") == ""))
+    inner = F.when(F.col("held"), F.col("inner"))
+    field = lambda i: _by_profile(lambda p, *paths: F.lit("/row/" + paths[i].replace(".", "/")))
+    fields = settled(members.select(
+        "place", "source", "trace", "profile", "bytes", "unread", "is_object",
+        text("a").alias("record"), text("b").alias("native_trace"), text("c").alias("native_span"), *(F.coalesce(_kind(F.col(x)), F.lit("")).alias(f"{x}_kind") for x in "abc"),
+        F.when(several, named).otherwise(one).alias("parents"), F.when(several, odd_list).otherwise(odd_one).alias("odd_parents"), inner.isNotNull().alias("given"),
+        checks.first_error(closed_rules(inner, F.lit("/row/metadata"))).alias("closed_error"), F.try_variant_get(inner, "$", LINEAGE).alias("lineage"),
+    ))
+    m = F.when(F.col("closed_error").isNull(), F.col("lineage"))
     empty = lambda kind: F.array().cast(f"array<{kind}>")
+    error = lambda code, at: F.struct(F.lit(code).alias("code"), (F.lit(at) if isinstance(at, str) else at).alias("field"))
     found = F.coalesce(
-        F.when(F.col("too_long"), F.struct(F.lit("ROW_LIMIT").alias("code"), F.lit("/row").alias("field"))),
-        F.col("parse_error"),
-        F.when(~F.col("is_object"), F.struct(F.lit("PROFILE_MISMATCH").alias("code"), F.lit("/row").alias("field"))),
-        F.col("profile_error"),
+        F.when(~F.coalesce(F.col("profile").isin(*PROFILES), F.lit(False)), error("NOT_FOUND", "/source")),
+        F.when(F.col("bytes") > ROW_BYTES, error("ROW_LIMIT", "/row")),
+        F.when(F.col("unread"), error("JSON_INVALID", "/row")),
+        F.when(~F.col("is_object"), error("PROFILE_MISMATCH", "/row")),
+        checks.first_error([r for i, (c, k) in enumerate((("record", "a_kind"), ("native_trace", "b_kind"), ("native_span", "c_kind"))) for r in _required(c, k, field(i))]),
+        F.when(F.col("odd_parents"), error("PROFILE_MISMATCH", field(3))),
         checks.first_error([(F.size("parents") > 16, "SCHEMA_INVALID", "/row/parents"), checks.bad(checks.each(F.col("parents"), lambda p: checks.is_text(p["value"])), "/row/parents"), checks.bad(checks.distinct(F.col("parents")), "/row/parents")]),
-        F.when(F.col("odd_lineage") | (~F.col("metadata_absent") & m.isNull()), F.struct(F.lit("SCHEMA_INVALID").alias("code"), F.col("metadata_field").alias("field"))),
+        F.col("closed_error"),
         checks.first_error(checks.lineage_rules(m, "/row/metadata")),
-        F.when(m.isNotNull() & ~m["trace_id"].eqNullSafe(F.col("trace")), F.struct(F.lit("TRACE_MISMATCH").alias("code"), F.lit("/row/metadata/trace_id").alias("field"))),
+        F.when(m.isNotNull() & ~m["trace_id"].eqNullSafe(F.col("trace")), error("TRACE_MISMATCH", "/row/metadata/trace_id")),
     )
-    body = mapped.select(
-        "place", "metadata_absent", found.alias("error"), m["accept"].alias("accept"), m["agent"].alias("agent"),
+    body = fields.select(
+        "place", (~F.col("given")).alias("metadata_absent"), found.alias("error"), m["accept"].alias("accept"), m["agent"].alias("agent"),
         sorted_by_json(F.coalesce(m["attachments"], empty(ATTACHMENT)), lambda r: F.array(r["format"], r["digest"])).alias("attachments"),
         "native_span", "native_trace",
         F.array_sort(F.transform(F.coalesce(m["offers"], empty(OFFER)), lambda o: F.struct(o["id"].alias("k"), o.alias("o")))).getField("o").alias("offers"),
@@ -131,8 +160,7 @@ def normalize(rows: DataFrame, sources: DataFrame, metadata_key: str, workspace:
     )
     steps = settled(body).withColumn("hash", F.when(F.col("error").isNull(), digest(STEP, F.struct(*BODY))))
     steps = steps.withColumn("warnings", F.when(F.col("error").isNull() & F.col("metadata_absent"), F.array(F.lit("METADATA_ABSENT"))).otherwise(F.array().cast("array<string>")))
-    lost = other.select("place", "source", "trace", F.struct(F.lit("NOT_FOUND").alias("code"), F.lit("/source").alias("field")).alias("error"))
-    return steps.drop("metadata_absent").unionByName(lost, allowMissingColumns=True)
+    return steps.drop("metadata_absent")
 
 
 def clean(normalized: DataFrame) -> DataFrame:
@@ -144,8 +172,3 @@ def first_error(normalized: DataFrame) -> DataFrame:
     """One row (code, field, place): the error of the earliest row that has one; no row if all are clean."""
     worst = normalized.where(F.col("error").isNotNull()).agg(F.min_by("error", "place").alias("e"), F.min("place").alias("place"))
     return worst.where(F.col("place").isNotNull()).select(F.col("e.code").alias("code"), F.col("e.field").alias("field"), "place")
-
-
-def body_json() -> Column:
-    """Canonical JSON of a step's body."""
-    return canonical(F.struct(*BODY))

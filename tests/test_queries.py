@@ -25,7 +25,8 @@ def duck():
 def test_against_sql(spark, duck, name):
     got = QUERIES[name](spark, SF)
     columns = sorted(got.columns)
-    mine = sorted(tuple(r) for r in got.select(columns).collect())
-    theirs = sorted(duck.execute(f"select {', '.join(columns)} from ({ORACLE_SQL[name]})").fetchall())
+    order = lambda row: tuple((x is not None, x) for x in row)
+    mine = sorted((tuple(r) for r in got.select(columns).collect()), key=order)
+    theirs = sorted(duck.execute(f"select {', '.join(columns)} from ({ORACLE_SQL[name]})").fetchall(), key=order)
     assert len(mine) == len(theirs) > 0
     assert mine == theirs

@@ -15,6 +15,7 @@ from weftline.functions.canonical import ZERO, base64url, canonical, digest_text
 from weftline.operators import graph, resolve, streams, trust
 from weftline.operators.path import Paths, paths
 from weftline.functions.types import OFFER
+from weftline.plans import inventory, ledger
 from weftline.plans.reduction import Reduced, manifests, reduce_steps
 from weftline.sources.vendor import clean, normalize
 from weftline.storage import materialize
@@ -331,11 +332,64 @@ def _perturbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shops.unionByName(clean(_normalized(spark, lines)))
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as steps by part: place, trace (of the order's customer class), source, record, native trace, hash."""
+    lines = _table(spark, sf_dir, "lineitem")
+    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return lines.select(
+        F.concat_ws("/", key, F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string")).alias("place"), F.concat(F.lit("vlt_"), F.lpad((F.col("l_orderkey") % 97).cast("string"), 21, "0")).alias("trace"),
+        F.lit(RUNS).alias("source"), key.alias("record"), F.col("l_partkey").cast("string").alias("native_trace"), sha256_text(F.concat_ws("/", key, F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"))).alias("hash"), "l_suppkey",
+    ).dropDuplicates(["hash"])
+
+
+def commit_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a commit of the line items of some suppliers does where those of others are stored."""
+    items = materialize(_items(spark, sf_dir), "items")
+    return ledger.commit_counters(items.where("l_suppkey % 3 <> 0"), items.where("l_suppkey % 4 <> 1"))
+
+
+def binding_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and records of line items that belong to another trace already."""
+    items = materialize(_items(spark, sf_dir), "items")
+    return ledger.binding_conflicts(items.where("l_suppkey % 3 <> 0"), items.where("l_suppkey % 40 = 1"))
+
+
+def inventory_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as listed and as held, by source: some not held, not listed, listed twice or of another length."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("bundle"), F.lit("attachment").alias("kind"), F.coalesce("text", F.lit("")).alias("json"))
+    docs = docs.groupBy("bundle", "kind", "json").agg(F.min("doc_id").alias("doc_id"))
+    listed = inventory.items(docs.where("doc_id % 11 <> 0")).unionByName(inventory.items(docs.where("doc_id % 13 = 1 and doc_id % 11 <> 0")))
+    held = inventory.items(docs.where("doc_id % 7 <> 0")).withColumn("bytes", F.when(F.substring("digest", 1, 1) == "a", "0").otherwise(F.col("bytes")))
+    return inventory.inventory_diff(listed, held)
+
+
+def audit_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last position of the audit log of each market segment's customers, and whether its chain holds."""
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("workspace"), F.lpad(F.col("c_custkey").cast("string"), 21, "0").alias("place"), F.concat(F.lit("vlq_"), F.lpad(F.col("c_custkey").cast("string"), 21, "0")).alias("request"), F.lit("vlk_" + "k" * 21).alias("key"), canonical(F.struct(F.lit("SourceRegistered").alias("kind"), F.col("c_name").alias("name"))).alias("data"))
+    log = materialize(ledger.append_audit(rows, spark.createDataFrame([], "workspace string, n long, hash string")), "audit")
+    faults = ledger.audit_faults(log).groupBy("workspace").agg(F.count("*").alias("faults"))
+    return ledger.audit_head(log).join(faults, "workspace", "left").select("workspace", "n", F.coalesce("faults", F.lit(0)).cast("long").alias("faults"))
+
+
+def request_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders asked for again, some with another total."""
+    orders = _table(spark, sf_dir, "orders")
+    known = orders.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").cast("string").alias("id"), sha256_text("o_orderstatus").alias("hash"))
+    asked = orders.select(F.col("o_orderkey").cast("string").alias("id"), sha256_text(F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus"))).alias("hash"))
+    return ledger.request_standing(asked, known).select("id", "standing")
+
+
+def prunable_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as revisions of their customers, but the last three."""
+    rows = _table(spark, sf_dir, "orders").select(_trace("o_custkey").alias("trace"), F.col("o_orderkey").alias("revision"))
+    return ledger.prunable(rows, 3)
+
+
 flagship = lineage_reduced
 
 _NAMES = (
     lineage_run_steps, lineage_span_steps, lineage_native_edges, lineage_parent_gaps, lineage_conflicts, lineage_delegations, lineage_cycles, lineage_acyclic_edges, lineage_ancestors, lineage_topological,
-    lineage_stream_breaks, lineage_stream_forks, lineage_pinned, lineage_manifests, lineage_encodings, lineage_reduced, path_nodes, path_edges, path_gaps, structural_verdict, pin_interval_join, head_pin_status,
+    lineage_stream_breaks, lineage_stream_forks, lineage_pinned, lineage_manifests, lineage_encodings, lineage_reduced, path_nodes, path_edges, path_gaps, structural_verdict, pin_interval_join, head_pin_status, commit_counters, binding_conflicts, inventory_diff, audit_head, request_standing, prunable_revisions,
 )
 QUERIES: dict = {f.__name__: f for f in _NAMES}
 
@@ -384,9 +438,21 @@ _PATHS = f"""WITH RECURSIVE w AS ({_WORK}), e AS (SELECT trace, sha256(p2) AS pa
   d AS (SELECT request, trace, node, min(depth) AS depth FROM r GROUP BY ALL), s AS (SELECT request, count(*) AS n, max(depth) AS depth FROM d GROUP BY request),
   l AS (SELECT a.request FROM a JOIN s ON s.request = a.request WHERE (user_id % 7 = 0 AND depth > 12) OR (user_id % 5 = 0 AND n > 30)), m AS (SELECT * FROM d WHERE request NOT IN (SELECT request FROM l)),
   g AS (SELECT m.request, CASE WHEN w.k = 0 THEN 'PARENT_AMBIGUOUS' ELSE 'PARENT_MISSING' END AS code, w.hash AS subject FROM m JOIN w ON w.trace = m.trace AND w.hash = m.node WHERE w.k < 4)"""
+_ITEMS = f"""SELECT DISTINCT {_sql_trace("(l_orderkey % 97)")} AS trace, l_orderkey || '-' || l_linenumber AS record, l_suppkey, l_partkey::varchar AS native, l_orderkey || '-' || l_linenumber || '/' || l_suppkey || '/' || l_partkey AS hash FROM lineitem"""
 _NATION_STREAM = "CASE WHEN {} % 2 = 0 THEN '" + RUNS + "' ELSE '" + SPANS + "' END"
 
 ORACLE_SQL: dict = {
+    "commit_counters": f"""WITH i AS ({_ITEMS}), s AS (SELECT DISTINCT hash FROM i WHERE l_suppkey % 4 <> 1), r AS (SELECT DISTINCT record FROM i WHERE l_suppkey % 4 <> 1),
+      a AS (SELECT i.*, hash IN (SELECT hash FROM s) AS have, record IN (SELECT record FROM r) AS prior FROM i WHERE l_suppkey % 3 <> 0), t AS (SELECT *, row_number() OVER (PARTITION BY record, have ORDER BY hash) AS turn FROM a)
+      SELECT trace, count_if(NOT have)::bigint AS added, count_if(have)::bigint AS duplicates, count_if(NOT have AND (prior OR turn > 1))::bigint AS conflicts FROM t GROUP BY trace""",
+    "binding_conflicts": f"""WITH i AS ({_ITEMS}), s AS (SELECT DISTINCT trace, 'native' AS kind, native AS name FROM i WHERE l_suppkey % 3 <> 0 UNION SELECT trace, 'record', record FROM i WHERE l_suppkey % 3 <> 0),
+      b AS (SELECT trace, 'native' AS kind, native AS name FROM i WHERE l_suppkey % 40 = 1 UNION SELECT trace, 'record', record FROM i WHERE l_suppkey % 40 = 1)
+      SELECT trace, '{RUNS}' AS source, kind, name FROM s WHERE EXISTS (SELECT 1 FROM b WHERE b.kind = s.kind AND b.name = s.name AND b.trace <> s.trace)""",
+    "inventory_diff": """WITH d AS (SELECT coalesce(source, '') AS bundle, coalesce(text, '') AS t, min(doc_id) AS id FROM documents GROUP BY ALL), x AS (SELECT bundle, sha256(t) AS digest, id % 11 <> 0 AS e, id % 7 <> 0 AS a, id % 13 = 1 AND id % 11 <> 0 AS twice, left(sha256(t), 1) = 'a' AND strlen(t) <> 0 AS other FROM d)
+      SELECT bundle, 'attachment' AS kind, digest, CASE WHEN e AND NOT a THEN 'MISSING' WHEN a AND NOT e THEN 'UNEXPECTED' WHEN twice THEN 'TWICE' ELSE 'BYTES' END AS fault FROM x WHERE (e OR a) AND (NOT e OR NOT a OR twice OR other)""",
+    "audit_head": "SELECT c_mktsegment AS workspace, count(*)::bigint AS n, 0::bigint AS faults FROM customer GROUP BY ALL",
+    "request_standing": "SELECT o_orderkey::varchar AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'NEW' WHEN o_orderkey % 5 = 0 THEN 'IDEMPOTENCY_CONFLICT' ELSE 'REPLAY' END AS standing FROM orders",
+    "prunable_revisions": f"SELECT trace, revision FROM (SELECT {_sql_trace('o_custkey')} AS trace, o_orderkey AS revision, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders) WHERE k > 3",
     "path_nodes": f"{_PATHS} SELECT request, node, depth::bigint AS depth FROM m",
     "path_edges": f"{_PATHS} SELECT c.request, e.parent, e.child FROM e JOIN m c ON c.trace = e.trace AND c.node = e.child JOIN m p ON p.request = c.request AND p.node = e.parent",
     "path_gaps": f"{_PATHS} SELECT request, code, subject FROM g",

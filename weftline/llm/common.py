@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from weftline.storage import materialize, release, shared_folder  # noqa: F401
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -123,6 +123,87 @@ def test_language_model_base_and_total_probability(spark):
         assert r.base_score == pytest.approx(base, abs=1e-6) and math.isfinite(r.score) and r.score < 0
 
 
+def test_language_model_mix_is_that_of_brute_force(spark):
+    """Counts, buckets, weights by expectation-maximisation without a grid, and own counts deleted, in plain Python."""
+    import math
+    from collections import Counter
+
+    texts = corpus(seed=7, n=150)
+    texts += texts[20:40]
+    end, begin = "</end>", "<begin>"
+    lists = [re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in (t or ""))) + [end] for t in texts]
+    crc = [zlib.crc32(str(i).encode()) for i in range(len(lists))]
+    kinds = ["judged" if c % 5 == 1 else "held" if c // 5 % 10 == 0 else "kept" for c in crc]
+
+    def grams(words):
+        """Of each token: (n-gram, context) of three levels; contexts of first words are counted by documents."""
+        past = [begin, *words]
+        out = []
+        for i, w in enumerate(words):
+            two = tuple(past[max(i - 1, 0) : i + 1])
+            out.append((((w,), ()), ((past[i], w), (past[i],)), ((*two, w), two)))
+        return out
+
+    def counted(of):
+        counts, contexts = [Counter() for _ in range(3)], [Counter() for _ in range(3)]
+        for i in of:
+            for token in grams(lists[i]):
+                for k, (gram, context) in enumerate(token):
+                    counts[k][gram] += 1
+                    contexts[k][context] += 1
+        return counts, contexts
+
+    def estimates(token, counts, contexts, own=((Counter(),) * 3,) * 2):
+        out = []
+        for k, (gram, context) in enumerate(token):
+            c, of = counts[k][gram] - own[0][k][gram], contexts[k][context] - own[1][k][context]
+            out.append((c / of if of else 0.0, min(of, 1) if k == 0 else 0 if of == 0 else int(math.log2(of)) + 1))
+        return out
+
+    kept, training = counted(i for i, k in enumerate(kinds) if k == "kept"), counted(i for i, k in enumerate(kinds) if k != "judged")
+    n, v = sum(training[0][0].values()), len(training[0][0])
+    held = [estimates(t, *kept) for i, k in enumerate(kinds) if k == "held" for t in grams(lists[i])]
+    assert len(held) > 200
+    weights = []
+
+    def probability(levels):
+        p = 1 / (v + 1)
+        for w, (e, b) in zip(weights, levels):
+            p = w[b] * e + (1 - w[b]) * p
+        return p
+
+    for k in range(3):
+        facts = [(h[k][1], h[k][0] / probability(h)) for h in held if h[k][1]]
+
+        def em(facts):
+            w = 0.5
+            for _ in range(100):
+                w = (sum(w * r / (w * r + 1 - w) for r in facts) + 0.5) / (len(facts) + 1)
+            return w
+
+        general = em([r for _, r in facts])
+        by = {b: em([r for x, r in facts if x == b]) for b in {b for b, _ in facts}}
+        weights.append({b: 0.0 if b == 0 else by.get(b, general) for b in range(40)})
+    got = {r.doc_id: r for r in language_model.score(docs_of(spark, texts), parts=3).collect()}
+    for i, words in enumerate(lists):
+        own = ((Counter(),) * 3,) * 2 if kinds[i] == "judged" else counted([i])
+        want = sum(math.log10(probability(estimates(t, *training, own))) for t in grams(words))
+        assert got[i].score == pytest.approx(want, rel=2e-3, abs=1e-3) and got[i].train_tokens == n
+    once, twice = ([got[i].score / got[i].n_tokens for i in own] for own in (range(50, 80), (i for i in range(20, 40) if kinds[len(texts) - 40 + i] != "judged")))
+    assert max(once) < min(twice)  # a text with a copy elsewhere stands out
+
+
+def test_language_model_odd_tables(spark):
+    import math
+
+    lone = language_model.score(docs_of(spark, ["a b a"])).first()  # its own counts deleted: uniform over 3 training words and one unknown
+    assert not lone.held_out and lone.score == pytest.approx(4 * math.log10(1 / 4))
+    docs = docs_of(spark, ["same text", None, "same text"]).withColumn("doc_id", F.lit(None).cast("long"))
+    rows = language_model.score(docs.withColumn("chunk", F.lit(1)).withColumn("kind", F.lit("x"))).collect()
+    assert len(rows) == 3 and all(r.doc_id is None and math.isfinite(r.score) for r in rows)
+    assert len({r.score for r in rows if r.n_tokens == 3}) == 1
+
+
 def test_packing_keeps_every_id_once(spark):
     texts = corpus(seed=4, n=40)
     rows = packing.pack(docs_of(spark, texts), VOCABULARY, window=256).collect()

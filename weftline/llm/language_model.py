@@ -1,15 +1,21 @@
-"""Deleted interpolation: a bigram model whose mixture weights depend on the context's frequency.
+"""Deleted interpolation: a trigram model whose mixture weights depend on the context's frequency.
 
-The probability of a word is a mix of its maximum-likelihood estimate after the word before
-it, its estimate without context, and a uniform one. Weights are kept per bucket of context
-frequency and learned by expectation-maximisation on held-out training documents, against
-the counts of the other training documents; scores use all training counts.
+The probability of a word is a mix of its maximum-likelihood estimate after the two words
+before it, after the one before it, without context, and a uniform one. Each level is mixed
+with the levels below it by a weight per bucket of context frequency. The weights are learned
+by expectation-maximisation on held-out training documents, against the counts of the other
+training documents, from the lowest level up. Scores use all training counts; from these a
+training document's own are deleted before it is scored, so that no text predicts itself and
+scores of training and held-out documents compare.
 
 Texts are hashed once into chunks: arrays of distinct word hashes and each word's place in
-them. Each chunk asks for the corpus counts of its distinct words and bigrams, by ranges of
-keys; each range adds up the chunks' own counts and answers. No table of counts is held
-whole anywhere, a frequent word is one entry per chunk, and what is gathered grows with the
-corpus. Held-out evidence reaches the driver as a histogram over a fixed grid.
+them. Each chunk asks for the corpus counts of its distinct words, bigrams and trigrams, by
+ranges of keys; each range adds up the chunks' own counts and answers. No table of counts is
+held whole anywhere, a frequent word is one entry per chunk, and what is gathered grows with
+the corpus. Held-out evidence reaches the driver as a histogram per level over a fixed grid.
+
+Words keep 64-bit keys. Keys of bigrams and trigrams keep as many bits as make two distinct
+ones of the corpus meet with a probability below 2**-``SPARE_BITS`` for each.
 """
 
 from __future__ import annotations
@@ -31,9 +37,11 @@ PART_TOKENS = 1 << 20  # per range of keys, at least: bounds what a range adds u
 KEPT, HELD, JUDGED = 0, 1, 2  # training counts; training documents that weights are learned on; scored only
 END, BEGIN = np.uint64(0x5EED_0000_0000_0001), np.uint64(0x5EED_0000_0000_0002)
 BUCKETS = 40  # of context frequency, by powers of two
-STEP, LEVELS = 0.1, 160  # the grid of held-out evidence: log10 of an estimate over the uniform one
+STEP, LEVELS = 0.01, 2400  # the grid of held-out evidence: log10 of an estimate over that of the levels below it
+SPARE_BITS = 14  # of a bigram's or trigram's key, beyond those that count the corpus's tokens
 STORE = "chunk long, kind int, doc_ids array<long>, sizes binary, words binary, stream binary"
 ASKED = "part int, chunk long, kind int, keys binary, own binary"
+EVIDENCE = "bucket_one binary, bucket_two binary, bucket_three binary, one binary, two binary, three binary"
 ANSWERS = "chunk long, kind int, part int, total binary, held binary, n long, n_held long, v long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -80,43 +88,93 @@ def chunks(df: DataFrame, id_col: str, text_col: str, fold: int, judged: int, he
 
 
 class Chunk:
-    """A stored chunk with its bigrams."""
+    """A stored chunk with its bigrams and trigrams."""
 
     def __init__(self, doc_ids: list, sizes: bytes, words: bytes, stream: bytes):
         self.doc_ids, self.sizes = doc_ids, unpack(sizes, "<u4").astype(np.int64)
         self.words = np.append(unpack(words, "<u8"), BEGIN)  # the last is the context of first words
         self.stream = unpack(stream, "<u4").astype(np.int64)
-        n = len(self.words)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        before = np.concatenate(([n - 1], self.stream[:-1]))
-        before[self.starts] = n - 1
-        self.before = before
-        codes, self.pair = np.unique(before * n + self.stream, return_inverse=True)
-        keys = mix(mix(self.words[codes // n]) + self.words[codes % n] * np.uint64(3))
+        n = len(self.words)
+        self.before = self._previous(self.stream, n - 1)
+        self.pair, self.pair_keys = self._joined(self.before, self.words, 3)
+        self.pair_before = self._previous(self.pair, len(self.pair_keys))  # the place past the last: no pair before
+        self.triple, self.triple_keys = self._joined(self.pair_before, np.append(self.pair_keys, BEGIN), 5)
+
+    def _previous(self, ids: np.ndarray, none: int) -> np.ndarray:
+        """Of each token, the id of the token before it in its document."""
+        before = np.concatenate(([none], ids[:-1]))
+        before[self.starts] = none
+        return before
+
+    def _joined(self, before: np.ndarray, context_keys: np.ndarray, weight: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token, the place of it and its context among the chunk's sorted keys of these; the keys."""
+        n = len(self.words)
+        codes, at = np.unique(before * n + self.stream, return_inverse=True)
+        keys = mix(mix(context_keys[codes // n]) + self.words[codes % n] * np.uint64(weight))
         order = np.argsort(keys, kind="stable")
-        self.pair_keys = keys[order]
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        self.pair = place[self.pair]  # of each token's bigram among the sorted keys
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of the chunk's own words (without the begin mark) and bigrams."""
-        return np.bincount(self.stream, minlength=len(self.words) - 1), np.bincount(self.pair, minlength=len(self.pair_keys))
-
-
-def ask(store: DataFrame, parts: int) -> DataFrame:
-    """Keys and own counts of each chunk by range of keys: parts 0.. for words, ``parts``.. for bigrams."""
+        return place[at], keys[order]
+
+    def counts(self) -> list[np.ndarray]:
+        """Of the chunk's own words (without the begin mark), bigrams and trigrams."""
+        return [np.bincount(ids, minlength=len(keys)) for ids, keys in ((self.stream, self.words[:-1]), (self.pair, self.pair_keys), (self.triple, self.triple_keys))]
+
+    def own(self, ids: np.ndarray) -> np.ndarray:
+        """Of each token, how often its id occurs in its document."""
+        document = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        order = np.argsort(ids, kind="stable")  # a document's equal ids stay together
+        ids, document = ids[order], document[order]
+        first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (document[1:] != document[:-1]))))
+        often = np.diff(np.append(first, len(ids)))
+        out = np.empty(len(ids), np.float64)
+        out[order] = np.repeat(often, often)
+        return out
+
+
+class Told:
+    """A chunk with the corpus counts of each token, its bigram, its trigram and their contexts."""
+
+    def __init__(self, store: pa.Table, answers: pa.Table, parts: int, column: str):
+        row = store.to_pylist()[0]
+        self.chunk = chunk = Chunk(row["doc_ids"], row["sizes"], row["words"], row["stream"])
+        rows = sorted(answers.select(["part", column]).to_pylist(), key=lambda r: r["part"])
+        words, pairs, triples = (np.concatenate([unpack(r[column], "<u8") for r in rows if r["part"] // parts == k]).astype(np.float64) for k in range(3))
+        end = words[int(np.searchsorted(chunk.words[:-1], END))]  # the begin mark stands once before each document
+        self.one, self.two, self.three = words[chunk.stream], pairs[chunk.pair], triples[chunk.triple]
+        self.context_two, self.context_three = np.append(words, end)[chunk.before], np.append(pairs, end)[chunk.pair_before]
+
+    def take(self, other: Told) -> None:
+        for name in ("one", "two", "three", "context_two", "context_three"):
+            setattr(self, name, getattr(self, name) - getattr(other, name))
+
+    def delete_own(self) -> None:
+        """Take each document's own counts away."""
+        chunk = self.chunk
+        self.context_two -= chunk.own(chunk.before)
+        self.context_three -= chunk.own(chunk.pair_before)
+        for name, ids in (("one", chunk.stream), ("two", chunk.pair), ("three", chunk.triple)):
+            setattr(self, name, getattr(self, name) - chunk.own(ids))
+
+    def levels(self, tokens: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Estimates and buckets of all levels; ``tokens`` is the number of training tokens, for each token."""
+        counts, contexts = (self.one, self.two, self.three), (tokens, self.context_two, self.context_three)
+        return [_over(a, b) for a, b in zip(counts, contexts)], [np.minimum(tokens, 1).astype(np.int64), *map(buckets, contexts[1:])]
+
+
+def ask(store: DataFrame, parts: int, bits: int) -> DataFrame:
+    """Keys and own counts of each chunk by range of keys: parts 0.. for words, ``parts``.. for bigrams, 2 ``parts``.. for trigrams."""
+    kept = np.uint64((2**bits - 1) << (64 - bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk(row["doc_ids"], row["sizes"], row["words"], row["stream"])
-                out = []
-                for shift, keys, own in zip((0, parts), (chunk.words[:-1], chunk.pair_keys), chunk.counts()):
-                    for b, s, e in zip(*slices_by_bucket(keys, parts)):
-                        out.append((shift + int(b), row["chunk"], row["kind"], pack(keys[s:e]), pack(own[s:e].astype("<u4"))))
-                kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [c.split(" ")[0] for c in ASKED.split(", ")])
+                for level, keys, own in zip(range(3), (chunk.words[:-1], chunk.pair_keys & kept, chunk.triple_keys & kept), chunk.counts()):
+                    out = [(level * parts + int(b), row["chunk"], row["kind"], pack(keys[s:e]), pack(own[s:e].astype("<u4"))) for b, s, e in zip(*slices_by_bucket(keys, parts))]
+                    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [c.split(" ")[0] for c in ASKED.split(", ")])
 
     return store.mapInArrow(run, ASKED)
 
@@ -152,17 +210,6 @@ def _dealt(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "part")
 
 
-def _told(store: pa.Table, answers: pa.Table, parts: int, column: str) -> tuple[Chunk, np.ndarray, np.ndarray]:
-    """A chunk and the counts of its words (the end's also for the begin mark, which stands before each document once) and bigrams."""
-    row = store.to_pylist()[0]
-    chunk = Chunk(row["doc_ids"], row["sizes"], row["words"], row["stream"])
-    rows = sorted(answers.select(["part", column]).to_pylist(), key=lambda r: r["part"])
-    parts_of = [[unpack(r[column], "<u8") for r in rows if (r["part"] >= parts) == pairs] for pairs in (False, True)]
-    words, pairs = (np.concatenate(p).astype(np.float64) for p in parts_of)
-    end = int(np.searchsorted(chunk.words[:-1], END))
-    return chunk, np.append(words, words[end]), pairs
-
-
 def buckets(context: np.ndarray) -> np.ndarray:
     """Bucket of each context count: 0 for none, then by powers of two."""
     return np.minimum(BUCKETS - 1, np.floor(np.log2(np.maximum(context, 0.5))).astype(np.int64) + 1)
@@ -172,38 +219,65 @@ def _over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(a, b, out=np.zeros_like(a), where=b > 0)
 
 
-def _level(ratio: np.ndarray) -> np.ndarray:
-    """Level of an estimate over the uniform one on the grid; 0 for an estimate of 0."""
-    found = np.rint(np.log10(np.maximum(ratio, 1e-300)) / STEP).astype(np.int64) + LEVELS // 4
+def level_of(ratio: np.ndarray) -> np.ndarray:
+    """Level of a ratio of estimates on the grid; 0 for an estimate of 0."""
+    found = np.rint(np.log10(np.maximum(ratio, 1e-300)) / STEP).astype(np.int64) + LEVELS // 2
     return np.where(ratio > 0, np.clip(found, 1, LEVELS - 1), 0)
 
 
-def learn(cells: np.ndarray, often: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Weights (bucket, [bigram, word, uniform]) that maximise the held-out likelihood, by expectation-maximisation.
+def learn(cells: np.ndarray, often: np.ndarray, logs: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Weight of a level, for each bucket, that maximises the held-out likelihood, by expectation-maximisation.
 
-    Buckets without held-out evidence take the weights learned over all; an even count of 1 is
-    added to each bucket, so no weight is 0.
+    ``cells`` are bucket * ``LEVELS`` + level of the estimate over that of the levels below; ``often``
+    and ``logs`` are a cell's number of tokens and the sum of their ratios' logarithms, so that a
+    cell stands at its mean and the grid's width counts by its square only.
+    Buckets without held-out evidence take the weight learned over all; half a token is added
+    to each side, so no weight is 0 or 1, but for bucket 0 (an unseen context), where it is 0.
     """
-    bucket, two, one = cells // (LEVELS * LEVELS), cells // LEVELS % LEVELS, cells % LEVELS
-    value = np.where(np.arange(LEVELS) > 0, 10 ** ((np.arange(LEVELS) - LEVELS // 4) * STEP), 0.0)
-    parts = np.stack((value[two], value[one], np.ones(len(cells))), 1)
+    bucket, level = cells // LEVELS, cells % LEVELS
+    ratio = np.where(level > 0, np.exp(logs / often), 0.0)
+    used = bucket > 0
+    bucket, ratio, often = bucket[used], ratio[used], often[used]
 
     def run(group: np.ndarray, n: int) -> np.ndarray:
-        weights = np.full((n, 3), 1 / 3)
+        weights, total = np.full(n, 0.5), np.bincount(group, weights=often, minlength=n)
         for _ in range(rounds):
-            shares = weights[group] * parts
-            shares *= (often / shares.sum(1))[:, None]
-            sums = np.stack([np.bincount(group, weights=shares[:, k], minlength=n) for k in range(3)], 1) + 1 / 3
-            weights = sums / sums.sum(1, keepdims=True)
+            share = weights[group] * ratio
+            share = often * share / (share + 1 - weights[group])
+            weights = (np.bincount(group, weights=share, minlength=n) + 0.5) / (total + 1)
         return weights
 
-    if not len(cells):
-        return np.full((BUCKETS, 3), 1 / 3)
-    general = run(np.zeros(len(cells), np.int64), 1)
-    weights = run(bucket, BUCKETS)
-    seen = np.bincount(bucket, weights=often, minlength=BUCKETS) > 0
-    weights = np.where(seen[:, None], weights, general)
-    weights[0] = [0, *(weights[0][1:] / weights[0][1:].sum())]  # an unseen context has no bigram estimate
+    weights = np.where(np.bincount(bucket, weights=often, minlength=BUCKETS) > 0, run(bucket, BUCKETS), run(np.zeros(len(bucket), np.int64), 1)[0])
+    weights[0] = 0
+    return weights
+
+
+def mixed(weights: list[np.ndarray], v: int, estimates: list[np.ndarray], buckets_of: list[np.ndarray]) -> np.ndarray:
+    """Probabilities by the levels whose weights are given, from the estimates of all levels, the lowest first."""
+    p = np.full(len(estimates[0]), 1 / (v + 1))
+    for w, estimate, bucket in zip(weights, estimates, buckets_of):
+        p = w[bucket] * estimate + (1 - w[bucket]) * p
+    return p
+
+
+def _learned(evidence: DataFrame, v: int) -> list[np.ndarray]:
+    """Weights of the three levels, each from a pass over the evidence that gives a histogram."""
+    weights: list[np.ndarray] = []
+    for level in range(3):
+
+        def histogram(batches: Iterator[pa.RecordBatch], level: int = level, weights: tuple = tuple(weights)) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    estimates = [unpack(row[c], "<f4").astype(np.float64) for c in ("one", "two", "three")]
+                    buckets_of = [np.frombuffer(row[c], np.uint8).astype(np.int64) for c in ("bucket_one", "bucket_two", "bucket_three")]
+                    ratio = estimates[level] / mixed(weights, v, estimates, buckets_of)
+                    cells, at, often = np.unique(buckets_of[level] * LEVELS + level_of(ratio), return_inverse=True, return_counts=True)
+                    logs = np.bincount(at, weights=np.log(np.where(ratio > 0, ratio, 1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(often, pa.int64()), pa.array(logs)], ["cell", "often", "logs"])
+
+        found = evidence.mapInArrow(histogram, "cell long, often long, logs double").groupBy("cell").agg(F.sum("often").alias("often"), F.sum("logs").alias("logs"))
+        cells = sorted(found.collect())  # at most BUCKETS * LEVELS
+        weights.append(learn(np.array([r.cell for r in cells], np.int64), np.array([r.often for r in cells], float), np.array([r.logs for r in cells], float)))
     return weights
 
 
@@ -211,49 +285,52 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: i
     """Log10 probabilities of all whole texts, by the mixture and by the additive base model.
 
     Training documents are those whose crc32(doc_id) modulo ``fold`` isn't ``judged``; one in
-    ``held_of`` of these is held out for the weights. Null and empty texts are the end mark
-    alone. Repeated rows count and are scored each for itself; other columns aren't read.
-    Without training documents the base is uniform over one unknown word and so is the mix.
+    ``held_of`` of these is held out for the weights. ``score`` of a training document is by
+    the counts of all others; ``base_score`` and ``n_known`` are by all counts. Null and empty
+    texts are the end mark alone. Repeated rows count and are scored each for itself; other
+    columns aren't read. Without (other) training documents the mix is uniform, over the
+    training words and one unknown word. An empty table gives no rows.
     """
     spark = df.sparkSession
     store = materialize(chunks(df, id_col, text_col, fold, judged, held_of), "chunks")
+    tokens, n_chunks = store.agg(F.coalesce(F.sum(F.octet_length("stream") / 4), F.lit(0)).cast("long"), F.count("*")).first()
     if not parts:
-        tokens = store.agg(F.coalesce(F.sum(F.octet_length("stream") / 4), F.lit(0)).cast("long")).first()[0]
         parts = max(shuffle_partitions(spark), -(-tokens // PART_TOKENS))
-    answers = materialize(answer(_dealt(ask(store, parts), 2 * parts)), "counts")
+    bits = min(64, max(32, int(tokens).bit_length() + SPARE_BITS))
+    answers = materialize(answer(_dealt(ask(store, parts, bits), 3 * parts)), "counts")
     sums = answers.where("chunk = -1")
     n, n_held, v = sums.where(F.col("part") < parts).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_held"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     given = answers.where("chunk >= 0").select("chunk", "kind", "part", "total", "held")
+    tasks = max(shuffle_partitions(spark), n_chunks)
+
+    def together(mine: DataFrame, theirs: DataFrame, run, schema: str) -> DataFrame:
+        one, two = (x.repartition(tasks, "chunk").groupBy("chunk") for x in (mine, theirs))
+        return one.cogroup(two).applyInArrow(run, schema)
 
     def evidence(key: tuple, mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        chunk, words, pairs = _told(mine, theirs, parts, "total")
-        _, held_words, held_pairs = _told(mine, theirs, parts, "held")
-        words, pairs = words - held_words, pairs - held_pairs
-        context = words[chunk.before]
-        uniform = 1 / (v + 1)
-        two = _level(_over(pairs[chunk.pair], context) / uniform)
-        one = _level(words[chunk.stream] / max(n - n_held, 1) / uniform)
-        cells, often = np.unique((buckets(context) * LEVELS + two) * LEVELS + one, return_counts=True)
-        return pa.table({"cell": pa.array(cells, pa.int64()), "often": pa.array(often, pa.int64())})
+        told = Told(mine, theirs, parts, "total")
+        told.take(Told(mine, theirs, parts, "held"))
+        estimates, buckets_of = told.levels(np.full(len(told.one), float(n - n_held)))
+        out = [b.astype(np.uint8).tobytes() for b in buckets_of] + [pack(e.astype("<f4")) for e in estimates]
+        return pa.Table.from_arrays([pa.array([x], pa.binary()) for x in out], names=[c.split(" ")[0] for c in EVIDENCE.split(", ")])
 
     held_store, held_given = (x.where(F.col("kind") == HELD) for x in (store, given))
-    seen = held_store.groupBy("chunk").cogroup(held_given.groupBy("chunk")).applyInArrow(evidence, "cell long, often long")
-    rows = seen.groupBy("cell").agg(F.sum("often").alias("often")).collect()  # at most BUCKETS * LEVELS^2 cells
-    rows.sort()
-    weights = learn(np.array([r.cell for r in rows], np.int64), np.array([r.often for r in rows], float))
+    weights = _learned(materialize(together(held_store, held_given, evidence, EVIDENCE), "evidence"), v)
 
     def judge(key: tuple, mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        chunk, words, pairs = _told(mine, theirs, parts, "total")
-        kind = mine.column("kind")[0].as_py()
-        own, context = words[chunk.stream], words[chunk.before]
-        mixed = weights[buckets(context)]
-        p = mixed[:, 0] * _over(pairs[chunk.pair], context) + mixed[:, 1] * own / max(n, 1) + mixed[:, 2] / (v + 1)
-        base = np.log10((words + 0.5) / (n + 0.5 * (v + 1)))[chunk.stream]
+        told = Told(mine, theirs, parts, "total")
+        chunk, kind = told.chunk, mine.column("kind")[0].as_py()
+        known, base = told.one > 0, np.log10((told.one + 0.5) / (n + 0.5 * (v + 1)))
+        tokens = np.full(len(known), float(n))
+        if kind != JUDGED:
+            told.delete_own()
+            tokens -= np.repeat(chunk.sizes, chunk.sizes)
+        p = mixed(weights, v, *told.levels(tokens))
         add = lambda x: np.add.reduceat(x, chunk.starts)
         size = len(chunk.doc_ids)
         return pa.table({
-            "doc_id": pa.array(chunk.doc_ids, pa.int64()), "held_out": pa.array([kind == JUDGED] * size), "n_tokens": pa.array(chunk.sizes), "n_known": pa.array(add((own > 0).astype(np.int64))),
+            "doc_id": pa.array(chunk.doc_ids, pa.int64()), "held_out": pa.array([kind == JUDGED] * size), "n_tokens": pa.array(chunk.sizes), "n_known": pa.array(add(known.astype(np.int64))),
             "train_tokens": pa.array([int(n)] * size, pa.int64()), "base_score": pa.array(add(base)), "score": pa.array(add(np.log10(p))),
         })
 
-    return store.groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(judge, SCORES)
+    return together(store, given, judge, SCORES)

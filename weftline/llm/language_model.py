@@ -29,17 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import blocks, materialize, shuffle_partitions, texts
-from weftline.llm.packed import pack, slices_by_bucket, unpack
+from weftline.llm.packed import slices_by_bucket, squeeze, squeeze_keys, unsqueeze, unsqueeze_keys
 from weftline.llm.tokens import mix, word_hashes
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 PART_TOKENS = 1 << 20  # per range of keys, at least: bounds what a range adds up
 KEPT, HELD, JUDGED = 0, 1, 2  # training counts; training documents that weights are learned on; scored only
 END, BEGIN = np.uint64(0x5EED_0000_0000_0001), np.uint64(0x5EED_0000_0000_0002)
 BUCKETS = 40  # of context frequency, by powers of two
 STEP, LEVELS = 0.01, 2400  # the grid of held-out evidence: log10 of an estimate over that of the levels below it
 SPARE_BITS = 14  # of a bigram's or trigram's key, beyond those that count the corpus's tokens
-STORE = "chunk long, kind int, doc_ids array<long>, sizes binary, words binary, stream binary"
+STORE = "chunk long, kind int, tokens long, doc_ids array<long>, sizes binary, words binary, stream binary"
 ASKED = "part int, chunk long, kind int, keys binary, own binary"
 EVIDENCE = "bucket_one binary, bucket_two binary, bucket_three binary, one binary, two binary, three binary"
 ANSWERS = "chunk long, kind int, part int, total binary, held binary, n long, n_held long, v long"
@@ -63,11 +63,11 @@ def chunks(df: DataFrame, id_col: str, text_col: str, fold: int, judged: int, he
             words, sizes = (np.concatenate([p[i] for p in waiting[kind]]) for i in (1, 2))
             stream = np.insert(words, np.cumsum(sizes), END)
             distinct, places = np.unique(stream, return_inverse=True)
-            row = [number, kind, ids, pack((sizes + 1).astype("<u4")), pack(distinct), pack(places.astype("<u4"))]
+            row = [number, kind, len(stream), ids, squeeze((sizes + 1).astype("<u4")), squeeze_keys(distinct, 64), squeeze(places.astype("<u4"))]
             waiting[kind].clear()
             held[kind] = 0
             number += 1
-            types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], [c.split(" ")[0] for c in STORE.split(", ")])
 
         for block in blocks(batches):
@@ -91,9 +91,9 @@ class Chunk:
     """A stored chunk with its bigrams and trigrams."""
 
     def __init__(self, doc_ids: list, sizes: bytes, words: bytes, stream: bytes):
-        self.doc_ids, self.sizes = doc_ids, unpack(sizes, "<u4").astype(np.int64)
-        self.words = np.append(unpack(words, "<u8"), BEGIN)  # the last is the context of first words
-        self.stream = unpack(stream, "<u4").astype(np.int64)
+        self.doc_ids, self.sizes = doc_ids, unsqueeze(sizes, "<u4").astype(np.int64)
+        self.words = np.append(unsqueeze_keys(words, 64), BEGIN)  # the last is the context of first words
+        self.stream = unsqueeze(stream, "<u4").astype(np.int32)
         self.starts = np.cumsum(self.sizes) - self.sizes
         n = len(self.words)
         self.before = self._previous(self.stream, n - 1)
@@ -103,18 +103,18 @@ class Chunk:
 
     def _previous(self, ids: np.ndarray, none: int) -> np.ndarray:
         """Of each token, the id of the token before it in its document."""
-        before = np.concatenate(([none], ids[:-1]))
+        before = np.concatenate((np.array([none], np.int32), ids[:-1]))
         before[self.starts] = none
         return before
 
     def _joined(self, before: np.ndarray, context_keys: np.ndarray, weight: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each token, the place of it and its context among the chunk's sorted keys of these; the keys."""
         n = len(self.words)
-        codes, at = np.unique(before * n + self.stream, return_inverse=True)
+        codes, at = np.unique(before.astype(np.int64) * n + self.stream, return_inverse=True)
         keys = mix(mix(context_keys[codes // n]) + self.words[codes % n] * np.uint64(weight))
         order = np.argsort(keys, kind="stable")
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         return place[at], keys[order]
 
     def counts(self) -> list[np.ndarray]:
@@ -123,7 +123,7 @@ class Chunk:
 
     def own(self, ids: np.ndarray) -> np.ndarray:
         """Of each token, how often its id occurs in its document."""
-        document = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        document = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         order = np.argsort(ids, kind="stable")  # a document's equal ids stay together
         ids, document = ids[order], document[order]
         first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (document[1:] != document[:-1]))))
@@ -136,19 +136,18 @@ class Chunk:
 class Told:
     """A chunk with the corpus counts of each token, its bigram, its trigram and their contexts."""
 
-    def __init__(self, store: pa.Table, answers: pa.Table, parts: int, column: str):
+    def __init__(self, store: pa.Table, answers: pa.Table, parts: int, without_held: bool = False):
         row = store.to_pylist()[0]
         self.chunk = chunk = Chunk(row["doc_ids"], row["sizes"], row["words"], row["stream"])
-        rows = sorted(answers.select(["part", column]).to_pylist(), key=lambda r: r["part"])
-        words, pairs, triples = (np.concatenate([unpack(r[column], "<u8") for r in rows if r["part"] // parts == k]).astype(np.float64) for k in range(3))
+        levels: list[list[np.ndarray]] = [[], [], []]
+        for r in sorted(answers.select(["part", "total", "held"]).to_pylist(), key=lambda r: r["part"]):
+            counts = unsqueeze(r["total"], "<u8")
+            levels[r["part"] // parts].append(counts - unsqueeze(r["held"], "<u8") if without_held else counts)
+        words, pairs, triples = (np.concatenate(x).astype(np.float64) for x in levels)
         end = words[int(np.searchsorted(chunk.words[:-1], END))]  # the begin mark stands once before each document
         self.one, self.two, self.three = words[chunk.stream], pairs[chunk.pair], triples[chunk.triple]
         self.context_two, self.context_three = np.append(words, end)[chunk.before], np.append(pairs, end)[chunk.pair_before]
 
-    def take(self, other: Told) -> None:
-        for name in ("one", "two", "three", "context_two", "context_three"):
-            setattr(self, name, getattr(self, name) - getattr(other, name))
-
     def delete_own(self) -> None:
         """Take each document's own counts away."""
         chunk = self.chunk
@@ -165,21 +164,20 @@ class Told:
 
 def ask(store: DataFrame, parts: int, bits: int) -> DataFrame:
     """Keys and own counts of each chunk by range of keys: parts 0.. for words, ``parts``.. for bigrams, 2 ``parts``.. for trigrams."""
-    kept = np.uint64((2**bits - 1) << (64 - bits))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk(row["doc_ids"], row["sizes"], row["words"], row["stream"])
-                for level, keys, own in zip(range(3), (chunk.words[:-1], chunk.pair_keys & kept, chunk.triple_keys & kept), chunk.counts()):
-                    out = [(level * parts + int(b), row["chunk"], row["kind"], pack(keys[s:e]), pack(own[s:e].astype("<u4"))) for b, s, e in zip(*slices_by_bucket(keys, parts))]
+                for level, keys, own in zip(range(3), (chunk.words[:-1], chunk.pair_keys, chunk.triple_keys), chunk.counts()):
+                    size = bits if level else 64
+                    out = [(level * parts + int(b), row["chunk"], row["kind"], squeeze_keys(keys[s:e], size), squeeze(own[s:e].astype("<u4"))) for b, s, e in zip(*slices_by_bucket(keys, parts))]
                     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [c.split(" ")[0] for c in ASKED.split(", ")])
 
     return store.mapInArrow(run, ASKED)
 
 
-def answer(asked: DataFrame) -> DataFrame:
+def answer(asked: DataFrame, parts: int, bits: int) -> DataFrame:
     """Corpus counts for each chunk's keys (all training documents; those held out apart, for chunks of these).
 
     A row with chunk -1 per part has the part's number of training tokens, held-out ones and distinct keys.
@@ -187,10 +185,10 @@ def answer(asked: DataFrame) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        keys = [unpack(r["keys"], "<u8") for r in rows]
+        keys = [unsqueeze_keys(r["keys"], 64 if r["part"] < parts else bits) for r in rows]
         size = [len(k) for k in keys]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        own = np.concatenate([unpack(r["own"], "<u4") for r in rows]).astype(np.float64)
+        own = np.concatenate([unsqueeze(r["own"], "<u4") for r in rows]).astype(np.float64)
         kind = np.repeat([r["kind"] for r in rows], size)
         held = np.bincount(at, weights=own * (kind == HELD), minlength=len(distinct))
         total = held + np.bincount(at, weights=own * (kind == KEPT), minlength=len(distinct))
@@ -198,7 +196,7 @@ def answer(asked: DataFrame) -> DataFrame:
         for r, n in zip(rows, size):
             own_at = at[s : s + n]
             s += n
-            out.append((r["chunk"], r["kind"], r["part"], pack(total[own_at].astype("<u8")), pack(held[own_at].astype("<u8")) if r["kind"] == HELD else None, None, None, None))
+            out.append((r["chunk"], r["kind"], r["part"], squeeze(total[own_at].astype("<u8")), squeeze(held[own_at].astype("<u8")) if r["kind"] == HELD else None, None, None, None))
         out.append((-1, -1, rows[0]["part"], None, None, int(total.sum()), int(held.sum()), int((total > 0).sum())))
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[c.split(" ")[0] for c in ANSWERS.split(", ")])
@@ -268,8 +266,8 @@ def _learned(evidence: DataFrame, v: int) -> list[np.ndarray]:
         def histogram(batches: Iterator[pa.RecordBatch], level: int = level, weights: tuple = tuple(weights)) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
-                    estimates = [unpack(row[c], "<f4").astype(np.float64) for c in ("one", "two", "three")]
-                    buckets_of = [np.frombuffer(row[c], np.uint8).astype(np.int64) for c in ("bucket_one", "bucket_two", "bucket_three")]
+                    estimates = [unsqueeze(row[c], "<f4").astype(np.float64) for c in ("one", "two", "three")]
+                    buckets_of = [unsqueeze(row[c], "u1").astype(np.int64) for c in ("bucket_one", "bucket_two", "bucket_three")]
                     ratio = estimates[level] / mixed(weights, v, estimates, buckets_of)
                     cells, at, often = np.unique(buckets_of[level] * LEVELS + level_of(ratio), return_inverse=True, return_counts=True)
                     logs = np.bincount(at, weights=np.log(np.where(ratio > 0, ratio, 1)))
@@ -293,11 +291,11 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: i
     """
     spark = df.sparkSession
     store = materialize(chunks(df, id_col, text_col, fold, judged, held_of), "chunks")
-    tokens, n_chunks = store.agg(F.coalesce(F.sum(F.octet_length("stream") / 4), F.lit(0)).cast("long"), F.count("*")).first()
+    tokens, n_chunks = store.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     if not parts:
         parts = max(shuffle_partitions(spark), -(-tokens // PART_TOKENS))
     bits = min(64, max(32, int(tokens).bit_length() + SPARE_BITS))
-    answers = materialize(answer(_dealt(ask(store, parts, bits), 3 * parts)), "counts")
+    answers = materialize(answer(_dealt(ask(store, parts, bits), 3 * parts), parts, bits), "counts")
     sums = answers.where("chunk = -1")
     n, n_held, v = sums.where(F.col("part") < parts).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_held"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     given = answers.where("chunk >= 0").select("chunk", "kind", "part", "total", "held")
@@ -308,17 +306,16 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: i
         return one.cogroup(two).applyInArrow(run, schema)
 
     def evidence(key: tuple, mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        told = Told(mine, theirs, parts, "total")
-        told.take(Told(mine, theirs, parts, "held"))
+        told = Told(mine, theirs, parts, without_held=True)
         estimates, buckets_of = told.levels(np.full(len(told.one), float(n - n_held)))
-        out = [b.astype(np.uint8).tobytes() for b in buckets_of] + [pack(e.astype("<f4")) for e in estimates]
+        out = [squeeze(b.astype(np.uint8)) for b in buckets_of] + [squeeze(e.astype("<f4")) for e in estimates]
         return pa.Table.from_arrays([pa.array([x], pa.binary()) for x in out], names=[c.split(" ")[0] for c in EVIDENCE.split(", ")])
 
     held_store, held_given = (x.where(F.col("kind") == HELD) for x in (store, given))
     weights = _learned(materialize(together(held_store, held_given, evidence, EVIDENCE), "evidence"), v)
 
     def judge(key: tuple, mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        told = Told(mine, theirs, parts, "total")
+        told = Told(mine, theirs, parts)
         chunk, kind = told.chunk, mine.column("kind")[0].as_py()
         known, base = told.one > 0, np.log10((told.one + 0.5) / (n + 0.5 * (v + 1)))
         tokens = np.full(len(known), float(n))

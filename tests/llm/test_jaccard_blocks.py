@@ -92,3 +92,23 @@ def test_files_give_rows_keys_of_their_own(spark, tmp_path):
     want = [(i, c) for i, _, c in brute(texts)]
     assert got == sorted([*want, want[0], want[0]])
     assert sorted(r.doc_id for r in jj.keep_one(docs, row=row).collect()) == sorted({c for _, c in want})
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    from weftline.llm.common import BATCH_SETTING, bounded
+
+    spark.conf.unset(BATCH_SETTING)
+    rows = bounded(spark.range(0, 300, 1, 1).selectExpr("repeat('x', 100000) as text"))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    found = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) == 300 and max(found) < 50
+    spark.conf.set(BATCH_SETTING, "1m")
+    bounded(rows)
+    assert spark.conf.get(BATCH_SETTING) == "1m"  # a bound of the session's own stays
+    spark.conf.unset(BATCH_SETTING)

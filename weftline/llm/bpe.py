@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
-from weftline.llm.common import blocks, texts
+from weftline.llm.common import blocks, bounded, texts
 
 #: Pre-tokenisation of byte-level BPE (fixed value of the format).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -222,7 +222,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             ids = bpe.encode_many(texts(block))
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
 
-    return source.mapInArrow(run, "doc_id long, ids binary, decoded string")
+    return bounded(source).mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

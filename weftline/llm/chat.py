@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import blocks
+from weftline.llm.common import blocks, bounded
 
 #: Turn marks. Fixed values of this format; all are escaped in texts.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]")
@@ -389,7 +389,7 @@ def format_turns(df: DataFrame, template: str = TEMPLATE) -> DataFrame:
         if held is not None:
             yield made([piece(True)])
 
-    return dealt.mapInArrow(run, PIECES)
+    return bounded(dealt).mapInArrow(run, PIECES)
 
 
 _TURN = re.compile(r"<s>\[ROLE\](.*?)\[/ROLE\](.*?)</s>", re.S)
@@ -444,4 +444,4 @@ def read_back(pieces: DataFrame) -> DataFrame:
             done.append((last, n, turns.hexdigest(), loss, learned.hexdigest(), chars))
             yield batch()
 
-    return pieces.mapInArrow(run, READ)
+    return bounded(pieces).mapInArrow(run, READ)

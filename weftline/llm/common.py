@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from weftline.storage import materialize, release, shared_folder  # noqa: F401
 
 BLOCK_BYTES = 1 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+UNBOUNDED = ("-1", "-1b", "0", "0b", str(2**63 - 1), f"{2**63 - 1}b", str(2**31 - 1), f"{2**31 - 1}b")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +26,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are bounded by bytes, not by rows alone, which may be long.
+
+    Sets ``spark.sql.execution.arrow.maxBytesPerBatch`` where the session has no bound of its own; a batch goes
+    over it by one row at most.
+    """
+    conf = df.sparkSession.conf
+    if (conf.get(BATCH_SETTING, None) or "-1") in UNBOUNDED:
+        conf.set(BATCH_SETTING, str(4 * BLOCK_BYTES))
+    return df
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` holds about ``limit`` bytes in each (one row at least)."""
     for batch in batches:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import blocks, shuffle_partitions, texts
+from weftline.llm.common import blocks, bounded, shuffle_partitions, texts
 
 P = (1 << 31) - 1
 BASE = 1_000_003_937 % P
@@ -190,7 +190,7 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if pairs:
                 yield describe(pairs)
 
-    return with_following(df, id_col, text_col, parts).mapInArrow(run, SCHEMA)
+    return bounded(with_following(df, id_col, text_col, parts)).mapInArrow(run, SCHEMA)
 
 
 def describe(rows: list[tuple[int, str, str]]) -> pa.RecordBatch:

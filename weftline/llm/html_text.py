@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import blocks, texts
+from weftline.llm.common import blocks, bounded, texts
 
 #: Names of HTML elements and roles (fixed values of the format).
 BLOCK = frozenset(
@@ -285,4 +285,4 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
             found = [main_text(h) for h in texts(block, "html")]
             yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return source.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return bounded(source).mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import BLOCK_BYTES, blocks, materialize, release, shuffle_partitions, texts, whole_units
+from weftline.llm.common import BLOCK_BYTES, blocks, bounded, materialize, release, shuffle_partitions, texts, whole_units
 from weftline.llm.components import components, stars
 from weftline.llm.packed import pack, unpack
 from weftline.llm.tokens import mix, shingle_sets
@@ -106,7 +106,7 @@ def count_table(rows: DataFrame, width: int = WIDTH) -> np.ndarray:
         total = sum(unpack(c, "<i8") for c in group.column("counts").to_pylist())
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([key[1].as_py()], pa.int64()), "counts": pa.array([pack(total)], pa.binary())})
 
-    tables = rows.select("text").mapInArrow(run, kind)
+    tables = bounded(rows.select("text")).mapInArrow(run, kind)
     n = rows.rdd.getNumPartitions()
     while True:
         n = -(-n // FAN)
@@ -169,7 +169,7 @@ def describe(rows: DataFrame, table: np.ndarray, width: int = WIDTH, percent: in
             given = [block.column(block.schema.get_field_index(c)) for c in ("row", "tie", "doc_id")]
             yield pa.RecordBatch.from_arrays([*given, *made], kind.names)
 
-    return rows.mapInArrow(run, kind)
+    return bounded(rows).mapInArrow(run, kind)
 
 
 def fitting_blocks(sizes: np.ndarray, weights: np.ndarray, percent: int) -> list[tuple[int, int, int, int]]:
@@ -251,7 +251,7 @@ def meetings(groups: DataFrame, table: np.ndarray, percent: int, parts: int) ->
                 places.append(np.full(len(both), mix(keys[s : s + 1] + mix(np.array([i + 1], np.uint64)))[0]))
         return pa.table({"place": pa.array(np.concatenate(places).view(np.int64)), "group_key": pa.array(np.concatenate(found))})
 
-    posted = groups.select("group_key", "n", "weight", "prefix").mapInArrow(post, "part int, keys binary, owners binary, sizes binary, weights binary")
+    posted = bounded(groups.select("group_key", "n", "weight", "prefix")).mapInArrow(post, "part int, keys binary, owners binary, sizes binary, weights binary")
     return posted.groupBy("part").applyInArrow(meet, "place long, group_key long")
 
 
@@ -401,7 +401,7 @@ def verified(rows: DataFrame, members: DataFrame, width: int, percent: int) -> D
                 b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
 
-    return joined.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
+    return bounded(joined.repartition("unit").sortWithinPartitions("unit")).mapInArrow(run, "a long, b long")
 
 
 def grouped(some: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:

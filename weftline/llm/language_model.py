@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import blocks, materialize, shuffle_partitions, texts
+from weftline.llm.common import blocks, bounded, materialize, shuffle_partitions, texts
 from weftline.llm.packed import slices_by_bucket, squeeze, squeeze_keys, unsqueeze, unsqueeze_keys
 from weftline.llm.tokens import mix, word_hashes
 
@@ -84,7 +84,7 @@ def chunks(df: DataFrame, id_col: str, text_col: str, fold: int, judged: int, he
             if waiting[k]:
                 yield close(k)
 
-    return rows.mapInArrow(run, STORE)
+    return bounded(rows).mapInArrow(run, STORE)
 
 
 class Chunk:
@@ -174,7 +174,7 @@ def ask(store: DataFrame, parts: int, bits: int) -> DataFrame:
                     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [c.split(" ")[0] for c in ASKED.split(", ")])
 
-    return store.mapInArrow(run, ASKED)
+    return bounded(store).mapInArrow(run, ASKED)
 
 
 def answer(asked: DataFrame, parts: int, bits: int) -> DataFrame:

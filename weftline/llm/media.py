@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import blocks, texts
+from weftline.llm.common import blocks, bounded, texts
 
 #: Boxes that hold boxes (fixed values of the format).
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
@@ -257,7 +257,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             raw = [t.encode() for t in texts(block)]
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(map(len, raw), pa.int64()), pa.array([mux(padded(r)) for r in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return source.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return bounded(source).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 INSPECTED = "doc_id long, n_bytes long, codec string, timescale long, duration long, n_samples long, key_starts array<long>, key_ends array<long>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tracks array<struct<codec:string,timescale:long,duration:long,n_samples:long,key_starts:array<long>,key_ends:array<long>>>, error string"
@@ -297,7 +297,7 @@ def inspect(stored: DataFrame) -> DataFrame:
             cols = [block.column(c) if c in ("doc_id", "n_bytes") else pa.array([f.get(c) for f in found], kinds.get(c, pa.int64())) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, INSPECTED)
+    return bounded(stored.select("doc_id", "n_bytes", "media")).mapInArrow(run, INSPECTED)
 
 
 def digests(inspected: DataFrame) -> DataFrame:

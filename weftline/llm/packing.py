@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import WORDS, byte_symbols
-from weftline.llm.common import blocks, texts
+from weftline.llm.common import blocks, bounded, texts
 
 POOL = 20_000
 
@@ -181,7 +181,7 @@ def pack(df: DataFrame, path: str, window: int = 1024, end_id: int = 0, id_col:
         while out:
             yield flush()
 
-    return source.mapInArrow(run, SCHEMA)
+    return bounded(source).mapInArrow(run, SCHEMA)
 
 
 def digests(pieces: DataFrame) -> DataFrame:

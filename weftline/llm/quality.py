@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import blocks, extended, remainder, texts
+from weftline.llm.common import blocks, bounded, extended, remainder, texts
 from weftline.llm.tokens import mix, word_hashes
 
 THRESHOLD = 0.3
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 5, held_out: int = 0, sh
             n = len(part)
             yield pa.RecordBatch.from_arrays([pa.array([c] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(part)], ["quality", "place", "part"])
 
-    described = source.mapInArrow(describe, "doc_id long, x array<double>")
+    described = bounded(source).mapInArrow(describe, "doc_id long, x array<double>")
     parts = described.join(known, "doc_id").select("quality", "x").mapInArrow(add, "quality int, place int, part double")
     moments: dict[int, np.ndarray] = {}
     d = len(NAMES)
@@ -163,4 +163,4 @@ def score(df: DataFrame, model: Model, text_col: str = "text", column: str = "sc
         for block in blocks(batches, text_col):
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(model.score(features(texts(block, text_col))))], [*names, column])
 
-    return kept.mapInArrow(run, extended(kept, column, "double"))
+    return bounded(kept).mapInArrow(run, extended(kept, column, "double"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import blocks, extended
+from weftline.llm.common import blocks, bounded, extended
 
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -219,7 +219,7 @@ def find(df: DataFrame, text_col: str = "text", least: float = LEAST, rewrite: b
                 cols[at] = pa.array([redact(t, f) if f else t for t, f in zip(many, found)], pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array([[s._asdict() for s in f] for f in found], _KIND)], [*names, "secrets"])
 
-    return kept.mapInArrow(run, extended(kept, "secrets", SPANS))
+    return bounded(kept).mapInArrow(run, extended(kept, "secrets", SPANS))
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -59,3 +59,11 @@ def test_row_files(spark, tmp_path, array):
     rows = read_rows(spark, str(tmp_path), SOURCE, array).orderBy("place").collect()
     assert [r.raw.replace(" ", "") for r in rows] == (['{"id":1}', '{"id":2}', ""] if array else ['{"id":1}', '{"id":2}', '{"id":3', "", '{"id":4}'])
     assert len({r.place for r in rows}) == len(rows)
+
+
+def test_rows_beyond_variant_are_refused(spark):
+    good = '{"id": "r", "traceId": "n", "metadata": {}, "in": %s}'
+    raws = [good % "1", good % "1" + " x", good % '"\\ud800"', good % "1e999", good % ("[" * 32 + "]" * 32), good % ("[" * 31 + "]" * 31)]
+    df = spark.createDataFrame([(SOURCE, str(i), raw, TRACE) for i, raw in enumerate(raws)], "source string, place string, raw string, trace string")
+    got = normalize(df, spark.createDataFrame([(SOURCE, "langfuse-observations/1")], "id string, profile string"), "lineage", "vlw_" + "w" * 21)
+    assert [r.error.code if r.error else None for r in got.orderBy("place").collect()] == [None, *["JSON_INVALID"] * 4, None]

@@ -1,6 +1,7 @@
 """Vendor exports: row files, and their three profiles as projections over VARIANT.
 
-Rows are read as text and parsed once into VARIANT, which refuses duplicate members; only
+Rows are read as text and parsed once into VARIANT, which refuses duplicate members; text
+beyond the first value, half pairs, numbers and nesting out of bounds are refused beside it. Only
 the fields a profile names are projected, so payloads, secrets and times are pruned here.
 Every row keeps its place, so the first error of a file is defined.
 """
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import checks
 from weftline.functions.canonical import STEP, digest, sorted_by_json
+from weftline.functions.strict import beyond_variant
 from weftline.functions.types import ATTACHMENT, BODY, LINEAGE, OFFER, PARENT
 
 ROW_BYTES = 1 << 20
@@ -111,10 +113,10 @@ def normalize(rows: DataFrame, sources: DataFrame, metadata_key: str, workspace:
     parsed once, whatever its profile; no shuffle but the join with the (small) sources.
     """
     known = rows.join(sources.select(F.col("id").alias("source"), "profile"), "source", "left")
-    parsed = settled(known.withColumn("v", F.try_parse_json("raw")).withColumn("bytes", F.octet_length("raw")).drop("raw"))
+    parsed = settled(known.withColumn("v", F.try_parse_json("raw")).withColumn("bytes", F.octet_length("raw")).withColumn("odd", beyond_variant("raw").isNotNull()).drop("raw"))
     get = lambda path: F.try_variant_get("v", f"$.{path}", "variant")
     members = settled(parsed.select(
-        "place", "source", "trace", "profile", "bytes", F.col("v").isNull().alias("unread"), _is(_kind(F.col("v")), "OBJECT").alias("is_object"),
+        "place", "source", "trace", "profile", "bytes", (F.col("v").isNull() | F.col("odd")).alias("unread"), _is(_kind(F.col("v")), "OBJECT").alias("is_object"),
         _by_profile(lambda p, record, *_: get(record)).alias("a"), _by_profile(lambda p, r, trace, *_: get(trace)).alias("b"), _by_profile(lambda p, r, t, span, *_: get(span)).alias("c"),
         _by_profile(lambda p, r, t, s, parent, *_: get(parent)).alias("d"), _by_profile(lambda p, r, t, s, q, holder: _is(_kind(get(holder)), "OBJECT")).alias("held"),
         _by_profile(lambda p, r, t, s, q, holder: get(f"{holder}.{metadata_key}")).alias("inner"),

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from weftline.functions.canonical import ZERO, base64url, canonical, digest_text, escape_pointer, from_base64url, sha256_text, short
 from weftline.operators import graph, resolve, streams, trust
 from weftline.operators.path import Paths, paths
+from weftline.functions.strict import json_fault
 from weftline.functions.types import OFFER
-from weftline.plans import inventory, ledger
+from weftline.plans import inventory, ledger, verification
 from weftline.plans.reduction import Reduced, manifests, reduce_steps
 from weftline.sources.vendor import clean, normalize
 from weftline.storage import materialize
@@ -385,11 +386,77 @@ def prunable_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.prunable(rows, 3)
 
 
+def json_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as JSON, most of them spoiled in a way that depends on the document."""
+    nested = lambda n: F.concat(F.lit('{"t":' + "[" * (n - 1)), text, F.lit("]" * (n - 1) + "}"))
+    listed = lambda n: F.concat(F.lit('{"t":['), text, F.lit(",0" * (n - 1) + "]}"))
+    with_member = lambda m: F.concat(F.lit('{"t":'), text, F.lit(f",{m}}}"))
+    text = F.concat(F.lit('"'), F.regexp_extract(F.to_json(F.array(F.coalesce("text", F.lit("")))), r'(?s)^\["(.*)"\]$', 1), F.lit('"'))
+    made = [
+        with_member('"u":-0.5e3'), F.concat(with_member('"u":1'), F.lit(" x")), with_member('"t":1'), with_member('"u":"\\ud800"'), with_member('"u":1e999'), nested(32), nested(33),
+        with_member(",".join(f'"{i}":{i}' for i in range(1024))), listed(4096), listed(4097),
+    ]
+    case = F.element_at(F.array(*made), (F.col("doc_id") % len(made) + 1).cast("int"))
+    return _table(spark, sf_dir, "documents").select("doc_id", case.alias("raw")).select("doc_id", json_fault("raw").alias("fault"))
+
+
+def path_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all paths of events, and a last line for each path."""
+    found = _paths(spark, sf_dir)
+    work = _work(spark, sf_dir)
+    agent = F.when(F.col("k") % 5 > 0, F.struct(F.lit("lab").alias("namespace"), F.lit(None).cast("string").alias("principal"), F.col("event_type").alias("subject")))
+    policy = F.when(F.col("k") % 4 > 0, F.struct(F.when(F.col("k") % 4 == 1, "ALLOW").otherwise("REVIEW").alias("decision")))
+    steps = work.select("trace", F.col("hash").alias("node"), "source", "record", agent.alias("agent"), policy.alias("policy"))
+    nodes = found.nodes.join(steps, ["trace", "node"]).select("request", F.lit(0).alias("position"), F.col("node").alias("hash"), "source", "record", "agent", "policy")
+    edges = found.edges.select("request", "child", F.when(F.col("parent") < F.col("child"), "NATIVE_PARENT").otherwise("DELEGATES").alias("kind"), F.col("parent").alias("hash"))
+    attested = found.nodes.join(work.where("k % 3 = 0").select("trace", F.col("hash").alias("node")), ["trace", "node"]).select("request", F.col("node").alias("step"))
+    answers = found.answers.where("error is null").select("request", "trace", F.lit("1").alias("revision"), F.col("action").alias("graph"), F.col("verdict").alias("structural"), F.lit("UNSIGNED").alias("evidence"))
+    gaps = found.gaps.select("request", F.when(F.col("code") == "PARENT_AMBIGUOUS", "ORIGIN_FORK").otherwise(F.col("code")).alias("code"))
+    return verification.path_lines(nodes, edges, attested).select("request", "line").unionByName(verification.path_footers(answers, gaps))
+
+
+def audit_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as bundles, their line items as audit entries; the last one binds the graph or fails to."""
+    name = F.col("l_orderkey").cast("string")
+    case = F.col("l_orderkey") % 7
+    data = F.struct(
+        F.when(case == 1, "other").otherwise(name).alias("graph"), F.when(F.col("l_orderkey") % 2 == 0, "TraceCreated").otherwise("ImportCommitted").alias("kind"), F.when(case == 2, "9").otherwise(F.col("l_linenumber").cast("string")).alias("revision"), name.alias("trace"),
+    )
+    log = _table(spark, sf_dir, "lineitem").select(name.alias("bundle"), F.when((case == 3) & (F.col("l_linenumber") == 1), "other").otherwise(WORKSPACE).alias("workspace"), F.col("l_linenumber").cast("long").alias("n"), canonical(data).alias("data"))
+    key = F.col("o_orderkey").cast("string")
+    bundles = _table(spark, sf_dir, "orders").select(key.alias("bundle"), F.lit(WORKSPACE).alias("workspace"), key.alias("trace"), (F.col("o_orderkey") % 4).cast("string").alias("revision"), key.alias("graph"))
+    return verification.audit_bindings(log, bundles)
+
+
+def unneeded_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of a user's stream after the last one that attests a purchase, or a view for every third user."""
+    links = _links(spark, sf_dir).withColumn("bundle", F.col("stream"))
+    third = F.col("stream").cast("long") % 3 == 0
+    steps = links.select("bundle", F.when(third, "view").otherwise("purchase").alias("hash")).distinct()
+    return verification.unneeded_origins(links, steps).distinct()
+
+
+def verification_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as bundles whose phases and chains end in every way, with their reports."""
+    key = F.col("o_orderkey")
+    one = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
+    failed = one(("none", *verification.PHASES, "none", "none", "none", "none", "none"), key)
+    origin, audit = (one(values, F.col("o_custkey") + key) for values in (("TRUSTED_AT_PIN", "CONFLICTED", "UNSIGNED", "TRUSTED_AT_PIN", "INCOMPLETE"), ("TRUSTED_AT_PIN", "UNTRUSTED", "CONFLICTED", "UNSIGNED")))
+    reasons = lambda verdict, names: F.when(verdict == "TRUSTED_AT_PIN", F.array().cast("array<string>")).otherwise(F.array(*map(F.lit, names)))
+    summary = _table(spark, sf_dir, "orders").select(
+        key.cast("string").alias("bundle"), *((failed == name).alias(name) for name in verification.PHASES), one(("COMPLETE_RELATIVE", "CONFLICTED", "COMPLETE_RELATIVE"), key).alias("structural"),
+        F.when(key % 13 == 0, "INVALID").otherwise("VALID").alias("audit_integrity"), audit.alias("audit_verdict"), reasons(audit, ("PIN_AHEAD", "AUDIT_GAP")).alias("audit_reasons"),
+        F.when(key % 17 == 0, "INVALID").otherwise("VALID").alias("origin_integrity"), origin.alias("origin_verdict"), reasons(origin, ("PIN_AHEAD", "ORIGIN_GAP")).alias("origin_reasons"),
+    )
+    out = verification.verdicts(summary)
+    return out.select("bundle", "integrity", "structural", "origin", "audit", F.array_join("reasons", ",").alias("reasons"), F.col("exit_code").cast("long").alias("exit_code"), sha256_text(verification.verdict_text()).alias("report_sha256"))
+
+
 flagship = lineage_reduced
 
 _NAMES = (
     lineage_run_steps, lineage_span_steps, lineage_native_edges, lineage_parent_gaps, lineage_conflicts, lineage_delegations, lineage_cycles, lineage_acyclic_edges, lineage_ancestors, lineage_topological,
-    lineage_stream_breaks, lineage_stream_forks, lineage_pinned, lineage_manifests, lineage_encodings, lineage_reduced, path_nodes, path_edges, path_gaps, structural_verdict, pin_interval_join, head_pin_status, commit_counters, binding_conflicts, inventory_diff, audit_head, request_standing, prunable_revisions,
+    lineage_stream_breaks, lineage_stream_forks, lineage_pinned, lineage_manifests, lineage_encodings, lineage_reduced, path_nodes, path_edges, path_gaps, structural_verdict, pin_interval_join, head_pin_status, commit_counters, binding_conflicts, inventory_diff, audit_head, request_standing, prunable_revisions, json_faults, path_report, audit_bindings, unneeded_origins, verification_verdicts,
 )
 QUERIES: dict = {f.__name__: f for f in _NAMES}
 
@@ -442,6 +509,26 @@ _ITEMS = f"""SELECT DISTINCT {_sql_trace("(l_orderkey % 97)")} AS trace, l_order
 _NATION_STREAM = "CASE WHEN {} % 2 = 0 THEN '" + RUNS + "' ELSE '" + SPANS + "' END"
 
 ORACLE_SQL: dict = {
+    "json_faults": "SELECT doc_id, ([NULL, 'TRAILING', 'SYNTAX', 'SURROGATE', 'NUMBER', NULL, 'DEPTH', 'MEMBERS', NULL, 'ELEMENTS'])[doc_id % 10 + 1] AS fault FROM documents",
+    "path_report": f"""{_PATHS}, i AS (SELECT m.request, m.node, string_agg(CASE WHEN e.parent < e.child THEN 'NATIVE_PARENT' ELSE 'DELEGATES' END, '+' ORDER BY e.parent) AS kinds FROM m JOIN e ON e.trace = m.trace AND e.child = m.node JOIN m p ON p.request = m.request AND p.node = e.parent GROUP BY ALL),
+      t AS (SELECT m.request, w.hash, w.record, w.event_type, w.k, coalesce(i.kinds, '-') AS kinds FROM m JOIN w ON w.trace = m.trace AND w.hash = m.node LEFT JOIN i ON i.request = m.request AND i.node = m.node),
+      c AS (SELECT request, count_if(code = 'PARENT_MISSING') AS missing, count_if(code = 'PARENT_AMBIGUOUS') AS forks FROM g GROUP BY request)
+      SELECT request, left(hash, 12) || '  ' || rpad('{SPANS[4:12]}:' || record, 22, ' ') || ' ' || rpad(CASE WHEN k % 5 > 0 THEN 'lab/' || event_type ELSE '-' END, 13, ' ') || ' ' || rpad((['UNKNOWN', 'ALLOW', 'REVIEW', 'REVIEW'])[k % 4 + 1], 9, ' ') || ' '
+        || rpad(kinds, greatest(16, len(kinds))::int, ' ') || ' ' || CASE WHEN k % 3 = 0 THEN 'SIGNED' ELSE 'CLAIMED' END AS line FROM t
+      UNION ALL SELECT a.request, 'trace ' || a.trace || ' revision 1 graph ' || left(a.hash, 12) || ' — ' || coalesce(missing, 0) || ' missing reference(s), ' || coalesce(forks, 0) || ' fork(s), relative to disclosed exports ['
+        || CASE WHEN forks > 0 THEN 'CONFLICTED' WHEN missing > 0 THEN 'INCOMPLETE' ELSE 'COMPLETE_RELATIVE' END || '/UNSIGNED]' FROM a LEFT JOIN c ON c.request = a.request WHERE a.request NOT IN (SELECT request FROM l)""",
+    "audit_bindings": """WITH z AS (SELECT l_orderkey AS k, max(l_linenumber) AS n, min(l_linenumber) AS first FROM lineitem GROUP BY ALL)
+      SELECT o_orderkey::varchar AS bundle, coalesce(n IS NOT NULL AND o_orderkey % 7 <> 1 AND NOT (o_orderkey % 7 = 3 AND first = 1) AND CASE WHEN o_orderkey % 4 = 0 THEN true WHEN o_orderkey % 2 = 0 THEN false ELSE o_orderkey % 7 <> 2 AND n = o_orderkey % 4 END, false) AS bound FROM orders LEFT JOIN z ON k = o_orderkey""",
+    "unneeded_origins": f"""WITH l AS ({_LINKS}), p AS (SELECT stream, max(n) AS last FROM l WHERE step = CASE WHEN stream::bigint % 3 = 0 THEN 'view' ELSE 'purchase' END GROUP BY stream)
+      SELECT DISTINCT l.stream AS bundle, hash FROM l LEFT JOIN p ON p.stream = l.stream WHERE last IS NULL OR n > last""",
+    "verification_verdicts": """WITH b AS (SELECT o_orderkey AS k, o_orderkey % 11 AS f, CASE WHEN k % 3 = 1 THEN 'CONFLICTED' ELSE 'COMPLETE_RELATIVE' END AS s, (['TRUSTED_AT_PIN', 'CONFLICTED', 'UNSIGNED', 'TRUSTED_AT_PIN', 'INCOMPLETE'])[(o_custkey + k) % 5 + 1] AS o, (['TRUSTED_AT_PIN', 'UNTRUSTED', 'UNTRUSTED', 'INCOMPLETE'])[(o_custkey + k) % 4 + 1] AS a FROM orders),
+      e AS (SELECT *, f BETWEEN 1 AND 5 AS early, f NOT BETWEEN 1 AND 5 AND k % 13 = 0 AS forged FROM b),
+      v AS (SELECT k::varchar AS bundle, CASE WHEN early OR forged OR k % 17 = 0 THEN 'INVALID' ELSE 'VALID' END AS integrity, CASE WHEN f BETWEEN 1 AND 3 THEN 'INCOMPLETE' ELSE s END AS structural, CASE WHEN early OR forged THEN 'UNTRUSTED' ELSE o END AS origin, CASE WHEN early OR forged THEN 'UNTRUSTED' ELSE a END AS audit,
+        CASE WHEN early THEN (['INVENTORY_MISMATCH', 'INVENTORY_MISMATCH', 'GRAPH_MISMATCH', 'PATH_MISMATCH', 'AUDIT_BINDING_MISMATCH'])[f] WHEN forged THEN CASE WHEN a = 'TRUSTED_AT_PIN' THEN '' ELSE 'AUDIT_GAP,PIN_AHEAD' END WHEN k % 17 = 0 THEN CASE WHEN o = 'TRUSTED_AT_PIN' THEN '' ELSE 'ORIGIN_GAP,PIN_AHEAD' END
+        WHEN a <> 'TRUSTED_AT_PIN' AND o <> 'TRUSTED_AT_PIN' THEN 'AUDIT_GAP,ORIGIN_GAP,PIN_AHEAD' WHEN a <> 'TRUSTED_AT_PIN' THEN 'AUDIT_GAP,PIN_AHEAD' WHEN o <> 'TRUSTED_AT_PIN' THEN 'ORIGIN_GAP,PIN_AHEAD' ELSE '' END AS reasons FROM e)
+      SELECT *, (CASE WHEN integrity = 'INVALID' THEN 3 WHEN structural = 'CONFLICTED' OR origin = 'CONFLICTED' THEN 5 WHEN origin = 'TRUSTED_AT_PIN' AND audit = 'TRUSTED_AT_PIN' AND structural = 'COMPLETE_RELATIVE' THEN 0 ELSE 4 END)::bigint AS exit_code,
+        sha256('integrity: ' || integrity || chr(10) || 'structural: ' || structural || chr(10) || 'origin: ' || origin || chr(10) || 'audit: ' || audit || chr(10) || 'disclosure: NORMALIZED_ONLY (normalized metadata only — no raw provider payloads)' || chr(10) || 'semantics: NOT_VERIFIED (structural evidence, never real-world truth)' || chr(10)
+        || 'current_authority: UNKNOWN (no live authority)' || chr(10) || 'reasons: ' || CASE WHEN reasons = '' THEN 'none' ELSE replace(reasons, ',', ', ') END) AS report_sha256 FROM v""",
     "commit_counters": f"""WITH i AS ({_ITEMS}), s AS (SELECT DISTINCT hash FROM i WHERE l_suppkey % 4 <> 1), r AS (SELECT DISTINCT record FROM i WHERE l_suppkey % 4 <> 1),
       a AS (SELECT i.*, hash IN (SELECT hash FROM s) AS have, record IN (SELECT record FROM r) AS prior FROM i WHERE l_suppkey % 3 <> 0), t AS (SELECT *, row_number() OVER (PARTITION BY record, have ORDER BY hash) AS turn FROM a)
       SELECT trace, count_if(NOT have)::bigint AS added, count_if(have)::bigint AS duplicates, count_if(NOT have AND (prior OR turn > 1))::bigint AS conflicts FROM t GROUP BY trace""",

@@ -1,4 +1,4 @@
-"""Verdicts on proof bundles from their phases, many bundles in one plan, and readable reports.
+"""Proof bundles: assembly, verdicts from their phases, readable reports; many bundles in one plan.
 
 The phases themselves are table operations: inventories and attachments (``inventory``), graphs
 (``graph_faults``), paths (``operators.path``), chains (``operators.trust``). Here the first phase
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.canonical import short
+from weftline.functions.canonical import BUNDLE, GRAPH, canonical, digest_text, sha256_text, short
 
 #: Phases that a bundle can fail outright, in order, with the reason each gives (fixed values of the data format).
 PHASES = {"inventory": "INVENTORY_MISMATCH", "scope": "INVENTORY_MISMATCH", "graph": "GRAPH_MISMATCH", "path": "PATH_MISMATCH", "binding": "AUDIT_BINDING_MISMATCH"}
@@ -19,6 +19,50 @@ KNOWN_PATH = ("path", "binding")
 #: Columns that say the same of every bundle.
 FIXED = {"disclosure": "NORMALIZED_ONLY", "semantics": "NOT_VERIFIED", "current_authority": "UNKNOWN"}
 
+BUNDLE_BYTES = 64 << 20
+
+
+def assemble(heads: DataFrame, envelopes: DataFrame, refs: DataFrame, artifacts: DataFrame, format: str, limit: int = BUNDLE_BYTES) -> DataFrame:
+    """(bundle, hash, document, bytes, handoff, error) of each bundle: one canonical JSON document and its summary.
+
+    ``heads``: bundle, workspace, trace, revision, attachment_policy, and as canonical JSON graph, path_request,
+    path and action. ``envelopes``: bundle, kind (step, origin or audit), hash, n (an audit entry's position), json.
+    ``refs``: bundle, digest, bytes of attachments referred to; of repeated digests the least bytes count.
+    ``artifacts``: bundle, digest, json; left out where the policy isn't INCLUDE. A bundle is one document by
+    the format; one above ``limit`` bytes is BUNDLE_LIMIT, without document and handoff.
+    """
+    place = F.when(F.col("kind") == "step", F.col("hash")).when(F.col("kind") == "audit", F.lpad(F.col("n").cast("string"), 20, "0")).otherwise(F.col("json"))
+    item = lambda kind, digest, size: F.struct(kind.alias("kind"), digest.alias("digest"), size.alias("bytes"))
+    sealed = envelopes.select("bundle", "kind", place.alias("place"), "json", item(F.col("kind"), sha256_text("json"), F.octet_length("json").cast("string")).alias("item"))
+    own = refs.groupBy("bundle", "digest").agg(F.min("bytes").alias("bytes"))
+    listed = own.select("bundle", F.lit("listed").alias("kind"), F.lit("").alias("place"), F.lit(None).cast("string").alias("json"), item(F.lit("attachment"), F.col("digest"), F.col("bytes")).alias("item"))
+    included = heads.where("attachment_policy = 'INCLUDE'").select("bundle")
+    files = artifacts.join(included, "bundle", "left_semi").select("bundle", F.lit("attachment").alias("kind"), F.col("digest").alias("place"), "json", F.lit(None).cast("struct<kind:string,digest:string,bytes:string>").alias("item"))
+    parts = sealed.unionByName(listed).unionByName(files)
+    kinds = ("attachment", "audit", "origin", "step")
+    ordered = [F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("place", "json")))), lambda x: x["json"]), ","), F.lit("]")).alias(f"all_{k}") for k in kinds]
+    items = F.transform(F.array_sort(F.collect_list("item")), lambda i: F.struct(i["bytes"].alias("bytes"), i["digest"].alias("digest"), i["kind"].alias("kind")))
+    gathered = heads.join(parts.groupBy("bundle").agg(*ordered, canonical(items).alias("items")), "bundle", "left")
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    some = lambda c: F.coalesce(c, F.lit("[]"))
+
+    def document(**members: Column) -> Column:
+        return F.concat(*(x for i, (k, v) in enumerate(members.items()) for x in (F.lit(("," if i else "{") + f'"{k}":'), v)), F.lit("}"))
+
+    disclosure = F.lit(f'"{FIXED["disclosure"]}"')
+    body = document(
+        attachment_policy=text(F.col("attachment_policy")), disclosure=disclosure, format=F.lit(f'"{format}"'), graph=F.col("graph"), inventory=some("items"), path=F.col("path"), path_request=F.col("path_request"),
+        revision=text(F.col("revision")), trace=text(F.col("trace")), trust_required=F.lit("true"), v=F.lit("1"), workspace=text(F.col("workspace")),
+    )
+    bodies = gathered.withColumn("body", body).withColumn("hash", digest_text(BUNDLE, "body"))
+    whole = bodies.withColumn("document", document(attachments=some("all_attachment"), audit=some("all_audit"), body=F.col("body"), hash=text(F.col("hash")), origins=some("all_origin"), steps=some("all_step")))
+    handoff = document(
+        action=F.col("action"), bundle=text(F.col("hash")), disclosure=disclosure, format=F.lit(f'"{format}"'), graph=text(digest_text(GRAPH, "graph")), kind=F.lit('"action-lineage"'),
+        semantics=F.lit(f'"{FIXED["semantics"]}"'), trace=text(F.col("trace")), v=F.lit("1"),
+    )
+    fits = F.octet_length("document") <= limit
+    return whole.select("bundle", "hash", F.when(fits, F.col("document")).alias("document"), F.octet_length("document").cast("long").alias("bytes"), F.when(fits, handoff).alias("handoff"), F.when(~fits, "BUNDLE_LIMIT").alias("error"))
+
 
 def audit_bindings(log: DataFrame, bundles: DataFrame) -> DataFrame:
     """(bundle, bound): whether the last entry of a bundle's audit part binds its graph.
@@ -43,6 +87,26 @@ def unneeded_origins(origins: DataFrame, steps: DataFrame) -> DataFrame:
     return origins.join(last, ["bundle", "source", "stream"], "left").where(F.col("last").isNull() | (F.col("seq").cast("long") > F.col("last"))).select("bundle", "hash")
 
 
+def summarize(bundles: DataFrame, faults: dict[str, DataFrame], chains: dict[str, DataFrame]) -> DataFrame:
+    """What ``verdicts`` takes, of bundles (bundle, structural).
+
+    ``faults``: for each phase a table with a column bundle, the bundles that fail it (repeats count once); a
+    phase that isn't named fails none. ``chains``: ``chain_verdict``'s result for audit and origin, with
+    bundle for trace; a bundle that isn't there has no chain, which is unsigned and for audit incomplete.
+    """
+    out = bundles.select("bundle", "structural")
+    for phase in PHASES:
+        if phase in faults:
+            out = out.join(faults[phase].select("bundle").distinct().withColumn(phase, F.lit(True)), "bundle", "left")
+        else:
+            out = out.withColumn(phase, F.lit(None).cast("boolean"))
+    for role, lone in (("audit", ("INCOMPLETE", "AUDIT_GAP")), ("origin", ("UNSIGNED", "ORIGIN_UNSIGNED"))):
+        out = out.join(chains[role].select("bundle", *(F.col(c).alias(f"{role}_{c}") for c in ("integrity", "verdict", "reasons"))), "bundle", "left")
+        none = F.col(f"{role}_integrity").isNull()
+        out = out.withColumn(f"{role}_verdict", F.coalesce(f"{role}_verdict", F.lit(lone[0]))).withColumn(f"{role}_reasons", F.when(none, F.array(F.lit(lone[1]))).otherwise(F.col(f"{role}_reasons"))).withColumn(f"{role}_integrity", F.coalesce(f"{role}_integrity", F.lit("VALID")))
+    return out
+
+
 def verdicts(summary: DataFrame) -> DataFrame:
     """Verification of each bundle: integrity, structural, origin, audit, the fixed columns, reasons in order, exit code.
 

@@ -452,11 +452,25 @@ def verification_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("bundle", "integrity", "structural", "origin", "audit", F.array_join("reasons", ",").alias("reasons"), F.col("exit_code").cast("long").alias("exit_code"), sha256_text(verification.verdict_text()).alias("report_sha256"))
 
 
+def bundle_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as bundles: what users say are steps, assistants attest, the rest is audit; greetings are attachments."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    key = F.col("conv_id").cast("string")
+    kind = F.when(F.col("role") == "user", "step").when(F.col("role") == "assistant", "origin").otherwise("audit")
+    envelopes = turns.select(key.alias("bundle"), kind.alias("kind"), sha256_text("text").alias("hash"), F.col("turn").cast("long").alias("n"), canonical(F.struct(sha256_text("text").alias("hash"), F.col("turn").cast("long").alias("turn"))).alias("json"))
+    first = turns.where("turn = 0")
+    refs = first.select(key.alias("bundle"), sha256_text("text").alias("digest"), F.octet_length("text").cast("string").alias("bytes"))
+    artifacts = first.select(key.alias("bundle"), sha256_text("text").alias("digest"), canonical(F.struct(sha256_text("text").alias("digest"))).alias("json")).distinct()
+    policy = F.when(F.col("conv_id") % 2 == 0, "INCLUDE").otherwise("OMIT")
+    heads = turns.select("conv_id").distinct().select(key.alias("bundle"), F.lit(WORKSPACE).alias("workspace"), _trace("conv_id").alias("trace"), F.lit("1").alias("revision"), policy.alias("attachment_policy"), *(F.lit("{}").alias(c) for c in ("graph", "path_request", "path", "action")))
+    return verification.assemble(heads, envelopes, refs, artifacts, "lineage-bundle/1", limit=1500).select("bundle", "hash", "bytes", "error", sha256_text(F.coalesce("document", F.lit(""))).alias("document_sha256"), "handoff")
+
+
 flagship = lineage_reduced
 
 _NAMES = (
     lineage_run_steps, lineage_span_steps, lineage_native_edges, lineage_parent_gaps, lineage_conflicts, lineage_delegations, lineage_cycles, lineage_acyclic_edges, lineage_ancestors, lineage_topological,
-    lineage_stream_breaks, lineage_stream_forks, lineage_pinned, lineage_manifests, lineage_encodings, lineage_reduced, path_nodes, path_edges, path_gaps, structural_verdict, pin_interval_join, head_pin_status, commit_counters, binding_conflicts, inventory_diff, audit_head, request_standing, prunable_revisions, json_faults, path_report, audit_bindings, unneeded_origins, verification_verdicts,
+    lineage_stream_breaks, lineage_stream_forks, lineage_pinned, lineage_manifests, lineage_encodings, lineage_reduced, path_nodes, path_edges, path_gaps, structural_verdict, pin_interval_join, head_pin_status, commit_counters, binding_conflicts, inventory_diff, audit_head, request_standing, prunable_revisions, json_faults, path_report, audit_bindings, unneeded_origins, verification_verdicts, bundle_hashes,
 )
 QUERIES: dict = {f.__name__: f for f in _NAMES}
 
@@ -509,6 +523,17 @@ _ITEMS = f"""SELECT DISTINCT {_sql_trace("(l_orderkey % 97)")} AS trace, l_order
 _NATION_STREAM = "CASE WHEN {} % 2 = 0 THEN '" + RUNS + "' ELSE '" + SPANS + "' END"
 
 ORACLE_SQL: dict = {
+    "bundle_hashes": f"""WITH t AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+      e AS (SELECT conv_id, CASE role WHEN 'user' THEN 'step' WHEN 'assistant' THEN 'origin' ELSE 'audit' END AS kind, sha256(text) AS hash, turn, '{{"hash":"' || sha256(text) || '","turn":' || turn || '}}' AS j FROM t),
+      r AS (SELECT conv_id, sha256(text) AS digest, min(strlen(text)::varchar) AS bytes FROM t WHERE turn = 0 GROUP BY ALL),
+      i AS (SELECT conv_id, '[' || string_agg('{{"bytes":"' || bytes || '","digest":"' || digest || '","kind":"' || kind || '"}}', ',' ORDER BY kind, digest, bytes) || ']' AS items FROM (SELECT conv_id, kind, sha256(j) AS digest, strlen(j)::varchar AS bytes FROM e UNION ALL SELECT conv_id, 'attachment', digest, bytes FROM r) GROUP BY conv_id),
+      g AS (SELECT conv_id, coalesce(string_agg(j, ',' ORDER BY hash, j) FILTER (kind = 'step'), '') AS steps, coalesce(string_agg(j, ',' ORDER BY j) FILTER (kind = 'origin'), '') AS origins, coalesce(string_agg(j, ',' ORDER BY turn, j) FILTER (kind = 'audit'), '') AS audit FROM e GROUP BY conv_id),
+      f AS (SELECT conv_id, string_agg('{{"digest":"' || digest || '"}}', ',' ORDER BY digest) AS files FROM r WHERE conv_id % 2 = 0 GROUP BY conv_id),
+      b AS (SELECT g.*, coalesce(files, '') AS files, '{{"attachment_policy":"' || CASE WHEN g.conv_id % 2 = 0 THEN 'INCLUDE' ELSE 'OMIT' END || '","disclosure":"NORMALIZED_ONLY","format":"lineage-bundle/1","graph":{{}},"inventory":' || items || ',"path":{{}},"path_request":{{}},"revision":"1","trace":"'
+        || {_sql_trace("g.conv_id")} || '","trust_required":true,"v":1,"workspace":"{WORKSPACE}"}}' AS body FROM g JOIN i ON i.conv_id = g.conv_id LEFT JOIN f ON f.conv_id = g.conv_id),
+      h AS (SELECT *, {_tagged("VL-BUNDLE/1", "body")} AS hash FROM b), d AS (SELECT *, '{{"attachments":[' || files || '],"audit":[' || audit || '],"body":' || body || ',"hash":"' || hash || '","origins":[' || origins || '],"steps":[' || steps || ']}}' AS document FROM h)
+      SELECT conv_id::varchar AS bundle, hash, strlen(document)::bigint AS bytes, CASE WHEN strlen(document) > 1500 THEN 'BUNDLE_LIMIT' END AS error, sha256(CASE WHEN strlen(document) > 1500 THEN '' ELSE document END) AS document_sha256, CASE WHEN strlen(document) <= 1500 THEN
+        '{{"action":{{}},"bundle":"' || hash || '","disclosure":"NORMALIZED_ONLY","format":"lineage-bundle/1","graph":"' || {_tagged("VL-GRAPH/1", "'{}'")} || '","kind":"action-lineage","semantics":"NOT_VERIFIED","trace":"' || {_sql_trace("conv_id")} || '","v":1}}' END AS handoff FROM d""",
     "json_faults": "SELECT doc_id, ([NULL, 'TRAILING', 'SYNTAX', 'SURROGATE', 'NUMBER', NULL, 'DEPTH', 'MEMBERS', NULL, 'ELEMENTS'])[doc_id % 10 + 1] AS fault FROM documents",
     "path_report": f"""{_PATHS}, i AS (SELECT m.request, m.node, string_agg(CASE WHEN e.parent < e.child THEN 'NATIVE_PARENT' ELSE 'DELEGATES' END, '+' ORDER BY e.parent) AS kinds FROM m JOIN e ON e.trace = m.trace AND e.child = m.node JOIN m p ON p.request = m.request AND p.node = e.parent GROUP BY ALL),
       t AS (SELECT m.request, w.hash, w.record, w.event_type, w.k, coalesce(i.kinds, '-') AS kinds FROM m JOIN w ON w.trace = m.trace AND w.hash = m.node LEFT JOIN i ON i.request = m.request AND i.node = m.node),

@@ -25,6 +25,8 @@ def test_commits_and_bindings(spark):
     stored = spark.createDataFrame([("t", "0", "s", "a", "n", "h1"), ("u", "0", "s", "b", "m", "h2")], kind)
     staged = spark.createDataFrame([("t", "1", "s", "a", "n", "h1"), ("t", "2", "s", "a", "n", "h3"), ("t", "3", "s", "c", "n", "h4"), ("t", "4", "s", "c", "n", "h5"), ("t", "5", "s", "d", "m", "h6")], kind)
     assert [tuple(r) for r in ledger.commit_counters(staged, stored).collect()] == [("t", 4, 1, 2)]
+    again = staged.unionByName(staged.where("hash = 'h3'")).unionByName(spark.createDataFrame([("t", "6", "s", "e", "n", "h7")] * 3, kind))
+    assert [tuple(r) for r in ledger.commit_counters(again, stored).collect()] == [("t", 5, 4, 2)]  # a step staged three times is added once
     assert sorted(r.hash for r in ledger.new_steps(staged, stored).collect()) == ["h3", "h4", "h5", "h6"]
     assert [tuple(r) for r in ledger.binding_conflicts(staged, stored).collect()] == [("t", "s", "native", "m")]
     heads = spark.createDataFrame([("t", 3)], "trace string, revision int")
@@ -36,6 +38,18 @@ def test_commits_and_bindings(spark):
     assert (warned.warnings, warned.native_traces) == (["METADATA_ABSENT"], 2)
 
 
+def test_what_may_be_pruned(spark):
+    """By number, never the latest; leased revisions and what they refer to stay."""
+    revisions = spark.createDataFrame([("t", n, n == 1) for n in (1, 2, 3, 5, 8, 9)] + [("u", 4, False)], "trace string, revision long, pruned boolean")
+    leased = spark.createDataFrame([("t", 3)], "trace string, revision long")
+    standing = lambda *args: {(r.trace, r.revision): r.standing for r in ledger.prune_standing(revisions, *args).collect()}
+    assert standing(2, 8, leased) == {("t", 1): "PRUNED", ("t", 2): "PRUNE", ("t", 3): "LEASED", ("t", 5): "PRUNE", ("t", 8): "NEWER", ("t", 9): "LATEST", ("u", 4): "LATEST"}
+    assert standing(5)["t", 5] == "WINDOW" and sorted(map(tuple, ledger.prunable(revisions.drop("pruned"), 0).select("trace", "revision").collect())) == [("t", n) for n in (1, 2, 3, 5, 8)]
+    artifacts = spark.createDataFrame([("a", "AVAILABLE", 5), ("b", "AVAILABLE", 5), ("c", "AVAILABLE", 6), ("d", "PRUNED", 1), ("e", "AVAILABLE", 5)], "digest string, state string, created_at long")
+    named = lambda *d: spark.createDataFrame([(x,) for x in d], "digest string")
+    assert [r.digest for r in ledger.prunable_artifacts(artifacts, named("b"), named("e", "e"), 5).collect()] == ["a"]
+
+
 def test_audit_chain(spark):
     entries = spark.createDataFrame([("w", f"{i:03d}", f"q{i}", "k", '{"kind":"X"}') for i in range(5)] + [("v", "000", "q", "k", "{}")], "workspace string, place string, request string, key string, data string")
     heads = spark.createDataFrame([("w", 7, "1" * 64)], "workspace string, n long, hash string")
@@ -47,6 +61,8 @@ def test_audit_chain(spark):
     assert {(r.workspace, r.n, r.hash) for r in ledger.audit_head(log).collect()} == {("v", 1, rows[0][3]), ("w", 12, rows[-1][3])}
     changed = log.withColumn("body", F.when(F.col("n") == 10, F.replace("body", F.lit("X"), F.lit("Y"))).otherwise(F.col("body"))).where("n <> 9")
     assert {(r.workspace, r.n, r.fault) for r in ledger.audit_faults(changed).collect()} == {("w", 8, "LINK"), ("w", 10, "LINK"), ("w", 10, "HASH")}
+    other = log.withColumn("n", F.when(F.col("n") == 12, 12).otherwise(F.col("n"))).withColumn("workspace", F.lit("u")).where("n > 7")
+    assert {(r.n, r.fault) for r in ledger.audit_faults(other).collect()} == {(8, "LINK"), *((n, "BODY") for n in range(8, 13))}
     assert ledger.audit_prefix(log, spark.createDataFrame([("w", 9)], "workspace string, n long")).count() == 2
 
 

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from weftline.queries import ORACLE_SQL, QUERIES
+from weftline.registry import ORACLE_SQL, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

@@ -21,11 +21,6 @@ def canonical(value: Column | str) -> Column:
     return F.to_json(value, {"ignoreNullFields": "false"})
 
 
-def json_string(value: Column | str) -> Column:
-    """A string as canonical JSON text."""
-    return F.regexp_extract(F.to_json(F.array(value)), r"(?s)^\[(.*)\]$", 1)
-
-
 def sha256_text(text: Column | str) -> Column:
     return F.sha2(F.encode(text, "utf-8"), 256)
 

@@ -11,13 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftline.functions.canonical import ZERO, from_base64url
+from weftline.functions.canonical import from_base64url
 
 #: Codes of derived gaps (fixed values of the data format).
 GAP_CODES = (
     "ACCEPT_MISSING", "CYCLE", "DELEGATION_MISMATCH", "DELEGATION_REUSED", "OFFER_MISSING", "ORIGIN_FORK",
     "ORIGIN_GAP", "PARENT_AMBIGUOUS", "PARENT_HASH_MISMATCH", "PARENT_MISSING", "SOURCE_CONFLICT",
 )
+#: Values of members of the objects, and prefixes of ids (fixed values of the data format).
 DECISIONS = ("ALLOW", "REVIEW", "DENY", "UNKNOWN")
 EDGE_KINDS = ("NATIVE_PARENT", "DELEGATES")
 PROFILES = ("langsmith-runs/1", "langfuse-observations/1", "braintrust-spans/1")
@@ -81,10 +82,6 @@ def bad(ok: Column, field: str, code: str = "SCHEMA_INVALID") -> tuple[Column, s
     return ~ok, code, field
 
 
-def bad_unless_null(c: Column, ok: Column, field: str, code: str = "SCHEMA_INVALID") -> tuple[Column, str, str]:
-    return c.isNotNull() & ~ok, code, field
-
-
 def agent_rules(a: Column, at: str) -> list[tuple[Column, str, str]]:
     here = a.isNotNull()
     return [
@@ -132,55 +129,3 @@ def lineage_rules(m: Column, at: str) -> list[tuple[Column, str, str]]:
         (here & ~distinct(F.transform(m["attachments"], lambda r: F.struct(r["format"], r["digest"]))), "SCHEMA_INVALID", f"{at}/attachments"),
     ]
     return rules
-
-
-def step_rules(prefix: str = "") -> list[tuple[Column, str, str]]:
-    """Rules of a normalized step's own columns."""
-    c = lambda name: F.col(f"{prefix}{name}")
-    return [
-        (c("v") != 1, "UNSUPPORTED_VERSION", "/v"),
-        bad(is_typed_id(c("workspace"), "vlw_"), "/workspace", "ID_INVALID"),
-        bad(is_typed_id(c("trace"), "vlt_"), "/trace", "ID_INVALID"),
-        bad(is_typed_id(c("source"), "vls_"), "/source", "ID_INVALID"),
-        bad(is_one_of(c("profile"), PROFILES), "/profile", "PROFILE_MISMATCH"),
-        bad(is_text(c("record")), "/record"),
-        bad(is_text(c("native_trace")), "/native_trace"),
-        bad(is_text(c("native_span")), "/native_span"),
-        (F.size(c("parents")) > 16, "SCHEMA_INVALID", "/parents"),
-        bad(each(c("parents"), lambda p: is_text(p["value"]) & is_one_of(p["kind"], ("record", "span"))), "/parents"),
-        bad(distinct(c("parents")), "/parents"),
-    ]
-
-
-def origin_rules() -> list[tuple[Column, str, str]]:
-    """Rules of an attestation's columns: seq from 1, and seq 1 exactly where prev is zero."""
-    return [
-        bad(is_typed_id("workspace", "vlw_"), "/workspace", "ID_INVALID"),
-        bad(is_typed_id("source", "vls_"), "/source", "ID_INVALID"),
-        bad(is_text("stream"), "/stream"),
-        bad(is_counter("seq") & (F.col("seq") != "0"), "/seq"),
-        bad(is_hash("prev"), "/prev"),
-        ((F.col("seq") == "1") != (F.col("prev") == ZERO), "SCHEMA_INVALID", "/prev"),
-        bad(is_hash("step"), "/step"),
-        bad(is_typed_id("key", "vlk_"), "/key", "ID_INVALID"),
-        bad(is_signature("signature"), "/signature"),
-    ]
-
-
-def source_rules() -> list[tuple[Column, str, str]]:
-    return [bad(is_typed_id("id", "vls_"), "/id", "ID_INVALID"), bad(is_one_of("profile", PROFILES), "/profile", "PROFILE_MISMATCH"), bad(is_namespace("namespace"), "/namespace"), bad(is_text("project"), "/project")]
-
-
-def path_request_rules(max_depth: int = 256, max_nodes: int = 4096) -> list[tuple[Column, str, str]]:
-    return [
-        bad(is_typed_id("trace", "vlt_"), "/trace", "ID_INVALID"), bad(is_counter("revision"), "/revision"), bad(is_typed_id("source", "vls_"), "/action/source", "ID_INVALID"), bad(is_text("record"), "/action/record"),
-        bad(_so(F.col("max_depth").between(1, max_depth)), "/max_depth"), bad(_so(F.col("max_nodes").between(1, max_nodes)), "/max_nodes"),
-    ]
-
-
-def key_pin_rules() -> list[tuple[Column, str, str]]:
-    return [
-        bad(is_typed_id("id", "vlk_"), "/id", "ID_INVALID"), bad(is_public_key("public"), "/public"), bad(is_one_of("role", ("origin", "audit")), "/role"), bad(is_one_of("status", ("ACTIVE", "RETIRED", "COMPROMISED")), "/status"),
-        bad(is_counter("first_seq") & is_counter("last_seq"), "/first_seq"), (F.col("first_seq").try_cast("bigint") > F.col("last_seq").try_cast("bigint"), "SCHEMA_INVALID", "/last_seq"),
-        ((F.col("role") == "origin") != F.col("source").isNotNull(), "SCHEMA_INVALID", "/source"),
-    ]

@@ -52,10 +52,9 @@ def attachment_faults(refs: DataFrame, artifacts: DataFrame, include: bool = Tru
 def graph_faults(heads: DataFrame, steps: DataFrame, origins: DataFrame | None = None) -> DataFrame:
     """(trace, graph, stored): traces whose stored graph hash (trace, graph) isn't what reducing their steps gives; one plan for all.
 
-    ``origins`` are those pinned to each trace, with a column ``trace``.
+    ``origins`` are those pinned to each trace, with a column ``trace``; those of one trace have no bearing on another.
     """
-    streams = None if origins is None else origins.drop("trace").distinct()
-    made = manifests(steps, reduce_steps(steps, streams), origins).select("trace", "graph")
+    made = manifests(steps, reduce_steps(steps, origins), origins).select("trace", "graph")
     return made.join(heads.select("trace", F.col("graph").alias("stored")), "trace", "full_outer").where("not (graph <=> stored)").select("trace", "graph", "stored")
 
 

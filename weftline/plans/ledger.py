@@ -60,17 +60,19 @@ def new_origins(staged: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def commit_counters(staged: DataFrame, stored: DataFrame) -> DataFrame:
-    """(trace, added, duplicates, conflicts) of a commit of staged steps (trace, place, source, record, hash).
+    """(trace, added, duplicates, conflicts) of a commit of staged steps (trace, source, record, hash).
 
-    A conflict is an added step whose record has a stored version, or one that was added before it.
+    A step is added once, however often it is staged; all other rows are duplicates. A conflict is an added step whose
+    record has a stored version, or one that was added before it: all but the first of a record, whatever their order.
+    Two aggregates, no window.
     """
     known = stored.select("hash").distinct().withColumn("have", F.lit(True))
-    records = stored.select("source", "record").distinct().withColumn("prior", F.lit(True))
-    rows = staged.join(known, "hash", "left").join(records, ["source", "record"], "left")
-    turn = F.row_number().over(Window.partitionBy("source", "record", F.col("have").isNull()).orderBy("place", "hash"))
-    rows = rows.withColumn("added", F.col("have").isNull()).withColumn("again", F.col("prior").isNotNull() | (turn > 1))
-    count = lambda c: F.count_if(c).cast("long")
-    return rows.groupBy("trace").agg(count(F.col("added")).alias("added"), count(~F.col("added")).alias("duplicates"), count(F.col("added") & F.col("again")).alias("conflicts"))
+    records = stored.select("source", "record").distinct().withColumn("prior", F.lit(1))
+    steps = staged.groupBy("trace", "source", "record", "hash").agg(F.count("*").alias("rows")).join(known, "hash", "left")
+    new = F.col("have").isNull()
+    each = steps.groupBy("trace", "source", "record").agg(F.sum("rows").alias("rows"), F.count_if(new).alias("added")).join(records, ["source", "record"], "left")
+    again = F.greatest(F.col("added") - 1 + F.coalesce("prior", F.lit(0)), F.lit(0))
+    return each.groupBy("trace").agg(F.sum("added").cast("long").alias("added"), F.sum(F.col("rows") - F.col("added")).cast("long").alias("duplicates"), F.sum(F.when(F.col("added") > 0, again).otherwise(0)).cast("long").alias("conflicts"))
 
 
 def binding_conflicts(staged: DataFrame, stored: DataFrame) -> DataFrame:
@@ -104,9 +106,35 @@ def import_states(imports: DataFrame, now: int) -> DataFrame:
     return imports.withColumn("reason", F.when(over, "EXPIRED").otherwise(F.col("reason"))).withColumn("state", F.when(over, "CANCELLED").otherwise(F.col("state")))
 
 
-def prunable(revisions: DataFrame, keep: int) -> DataFrame:
-    """Revisions (trace, revision, ...) but the last ``keep`` of each trace."""
-    return revisions.withColumn("rank", F.row_number().over(Window.partitionBy("trace").orderBy(F.desc("revision")))).where(F.col("rank") > keep).drop("rank")
+def prune_standing(revisions: DataFrame, keep: int, before: int | None = None, leased: DataFrame | None = None) -> DataFrame:
+    """``revisions`` (trace, revision; a boolean ``pruned``, if there is the column) with ``standing``.
+
+    PRUNED already, LATEST of its trace (never pruned), NEWER than ``before`` or equal to it, within the WINDOW of the
+    last ``keep`` numbers, LEASED (``leased``: trace, revision), or else PRUNE. Revisions count by number, pruned ones too.
+    """
+    last = revisions.groupBy("trace").agg(F.max("revision").alias("latest"))
+    rows = revisions.join(last, "trace")
+    held = F.lit(False)
+    if leased is not None:
+        rows = rows.join(leased.select("trace", "revision").distinct().withColumn("held", F.lit(True)), ["trace", "revision"], "left")
+        held = F.coalesce("held", F.lit(False))
+    done = F.coalesce("pruned", F.lit(False)) if "pruned" in revisions.columns else F.lit(False)
+    newer = F.lit(False) if before is None else F.col("revision") >= before
+    standing = (
+        F.when(done, "PRUNED").when(F.col("revision") == F.col("latest"), "LATEST").when(newer, "NEWER").when(F.col("revision") >= F.col("latest") - keep + 1, "WINDOW").when(held, "LEASED").otherwise("PRUNE")
+    )
+    return rows.select(*revisions.columns, standing.alias("standing"))
+
+
+def prunable(revisions: DataFrame, keep: int, before: int | None = None, leased: DataFrame | None = None) -> DataFrame:
+    """Revisions (trace, revision, ...) that may go: see ``prune_standing``."""
+    return prune_standing(revisions, keep, before, leased).where("standing = 'PRUNE'").drop("standing")
+
+
+def prunable_artifacts(artifacts: DataFrame, staged: DataFrame, held: DataFrame, cutoff: int) -> DataFrame:
+    """(digest): available artifacts (digest, state, created_at) of up to ``cutoff`` that no import stages and no leased revision's step refers to (both: digest)."""
+    old = artifacts.where((F.col("state") == "AVAILABLE") & (F.col("created_at") <= cutoff)).select("digest").distinct()
+    return old.join(staged.select("digest"), "digest", "left_anti").join(held.select("digest"), "digest", "left_anti")
 
 
 AUDIT_ROW = "workspace string, n long, prev string, hash string, body string"
@@ -140,10 +168,16 @@ def append_audit(entries: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def audit_faults(log: DataFrame) -> DataFrame:
-    """(workspace, n, fault): entries that don't follow their predecessor (LINK) or whose hash isn't their body's (HASH)."""
+    """(workspace, n, fault) of a log's entries (workspace, n, prev, hash, body).
+
+    LINK where an entry doesn't follow its predecessor, HASH where its hash isn't its body's, BODY where its columns
+    aren't what the body says.
+    """
     linked = link_check(log, ["workspace"])
-    wrong = linked.select("workspace", "n", F.explode(F.array_compact(F.array(F.when(~F.col("linked"), F.lit("LINK")), F.when(digest_text(AUDIT, "body") != F.col("hash"), F.lit("HASH"))))).alias("fault"))
-    return wrong
+    said = lambda name: F.get_json_object("body", f"$.{name}")
+    agrees = said("seq").eqNullSafe(F.col("n").cast("string")) & said("prev").eqNullSafe(F.col("prev")) & said("workspace").eqNullSafe(F.col("workspace"))
+    faults = F.array(F.when(~F.col("linked"), "LINK"), F.when(~digest_text(AUDIT, "body").eqNullSafe(F.col("hash")), "HASH"), F.when(~agrees, "BODY"))
+    return linked.select("workspace", "n", F.explode(F.array_compact(faults)).alias("fault"))
 
 
 def audit_head(log: DataFrame) -> DataFrame:

@@ -381,7 +381,7 @@ def request_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prunable_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as revisions of their customers, but the last three."""
+    """Orders as revisions of their customers, but those within three numbers of the last."""
     rows = _table(spark, sf_dir, "orders").select(_trace("o_custkey").alias("trace"), F.col("o_orderkey").alias("revision"))
     return ledger.prunable(rows, 3)
 
@@ -564,7 +564,7 @@ ORACLE_SQL: dict = {
       SELECT bundle, 'attachment' AS kind, digest, CASE WHEN e AND NOT a THEN 'MISSING' WHEN a AND NOT e THEN 'UNEXPECTED' WHEN twice THEN 'TWICE' ELSE 'BYTES' END AS fault FROM x WHERE (e OR a) AND (NOT e OR NOT a OR twice OR other)""",
     "audit_head": "SELECT c_mktsegment AS workspace, count(*)::bigint AS n, 0::bigint AS faults FROM customer GROUP BY ALL",
     "request_standing": "SELECT o_orderkey::varchar AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'NEW' WHEN o_orderkey % 5 = 0 THEN 'IDEMPOTENCY_CONFLICT' ELSE 'REPLAY' END AS standing FROM orders",
-    "prunable_revisions": f"SELECT trace, revision FROM (SELECT {_sql_trace('o_custkey')} AS trace, o_orderkey AS revision, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders) WHERE k > 3",
+    "prunable_revisions": f"SELECT {_sql_trace('o_custkey')} AS trace, o_orderkey AS revision FROM orders JOIN (SELECT o_custkey AS c, max(o_orderkey) AS last FROM orders GROUP BY o_custkey) ON c = o_custkey WHERE o_orderkey <= last - 3",
     "path_nodes": f"{_PATHS} SELECT request, node, depth::bigint AS depth FROM m",
     "path_edges": f"{_PATHS} SELECT c.request, e.parent, e.child FROM e JOIN m c ON c.trace = e.trace AND c.node = e.child JOIN m p ON p.request = c.request AND p.node = e.parent",
     "path_gaps": f"{_PATHS} SELECT request, code, subject FROM g",

@@ -2,8 +2,11 @@
 
 import json
 
+import lineage_case as case
 import pytest
+from pyspark.sql import functions as F
 
+from weftline.sources import vendor
 from weftline.sources.vendor import normalize, read_rows
 
 SOURCE, TRACE = "vls_" + "a" * 21, "vlt_" + "t" * 21
@@ -67,3 +70,32 @@ def test_rows_beyond_variant_are_refused(spark):
     df = spark.createDataFrame([(SOURCE, str(i), raw, TRACE) for i, raw in enumerate(raws)], "source string, place string, raw string, trace string")
     got = normalize(df, spark.createDataFrame([(SOURCE, "langfuse-observations/1")], "id string, profile string"), "lineage", "vlw_" + "w" * 21)
     assert [r.error.code if r.error else None for r in got.orderBy("place").collect()] == [None, *["JSON_INVALID"] * 4, None]
+
+
+def test_lines_keep_their_places_however_files_are_split(spark, tmp_path):
+    """A file of many splits, blank and long lines, line ends of both kinds, multi-byte characters at split borders."""
+    lines = [("é" * (i % 40)) + str(i) + ("\r" if i % 7 == 0 else "") for i in range(3000)]
+    lines[5], lines[6], lines[100] = "", "\r", "x" * 20_000
+    (tmp_path / "big.jsonl").write_bytes("\n".join(lines).encode() + b"\n")
+    (tmp_path / "one.jsonl").write_bytes(b'{"id":1}')
+    want = {("big.jsonl", i, x.removesuffix("\r")) for i, x in enumerate(lines)} | {("one.jsonl", 0, '{"id":1}')}
+    for size in ("64m", "3000", "777"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = vendor.read_rows(spark, str(tmp_path), "s")
+        parts = rows.rdd.getNumPartitions()
+        got = {(r.place.rsplit("/", 1)[1].rsplit(":", 1)[0], int(r.place.rsplit(":", 1)[1]), r.raw) for r in rows.collect()}
+        assert got == want and (size == "64m" or spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10), (size, parts)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_broken_bytes_are_refused(spark, tmp_path):
+    """Two rows that differ in a broken byte and its replacement must not meet."""
+    good = '{"id":"r�","trace_id":"n","parent_run_id":null}'.encode()
+    (tmp_path / "rows.jsonl").write_bytes(good + b"\n" + good.replace("�".encode(), b"\xff") + b"\n")
+    rows = vendor.read_rows(spark, str(tmp_path), case.SA).withColumn("trace", F.lit(case.T))
+    got = vendor.normalize(rows, spark.createDataFrame(case.SOURCES, "id string, profile string"), case.KEY, case.W).orderBy("place").collect()
+    assert [r.error and (r.error.code, r.error.field) for r in got] == [None, ("JSON_INVALID", "/row")]
+    (tmp_path / "rows.jsonl").write_bytes(b" \n [" + good + b"]")
+    assert vendor.is_array(spark, str(tmp_path)).first().array and vendor.read_rows(spark, str(tmp_path), "s", array=True).count() == 1
+    (tmp_path / "rows.jsonl").write_bytes(b'["\xff"]')
+    assert [r.raw for r in vendor.read_rows(spark, str(tmp_path), "s", array=True).collect()] == [""]

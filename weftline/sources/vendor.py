@@ -8,13 +8,14 @@ Every row keeps its place, so the first error of a file is defined.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import checks
 from weftline.functions.canonical import STEP, digest, sorted_by_json
 from weftline.functions.strict import beyond_variant
 from weftline.functions.types import ATTACHMENT, BODY, LINEAGE, OFFER, PARENT
+from weftline.storage import materialize
 
 ROW_BYTES = 1 << 20
 #: Per profile: paths of record, native trace, native span, parents, and the object that holds the metadata.
@@ -25,23 +26,48 @@ PROFILES = {
 }
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, raw): lines of files, split by Spark at any byte, numbered from 0 within their file.
+
+    A split holds the lines that begin in it. Lines are counted a split, and what stands before a split in its file is
+    the sum over those before it, so numbers are the same however files are split. One row a split is shuffled for it.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    lines = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    # counted once and written: ids of a second reading of the same splits are the same
+    placed = materialize(splits.withColumn("before", F.coalesce(before, F.lit(0))), "splits")
+    joined = lines.join(placed, ["file", "start"])
+    within = F.col("id") - F.col("first")
+    at = F.when(within.between(0, F.col("n") - 1), F.col("before") + within).otherwise(F.raise_error(F.lit("files changed while they were read")))
+    bare = F.when(F.endswith("value", F.lit("\r")), F.substr("value", F.lit(1), F.char_length("value") - 1)).otherwise(F.col("value"))  # keeps broken bytes, as a pattern wouldn't
+    return joined.select("file", at.alias("at"), bare.alias("raw"))
+
+
+def is_array(spark: SparkSession, path: str) -> DataFrame:
+    """(file, array): whether the first character of a file that isn't blank opens an array."""
+    lines = _lines(spark, path).withColumn("text", F.ltrim(F.col("raw"), F.lit(" \t\r"))).where("text <> ''")
+    return lines.groupBy("file").agg(F.min_by(F.substring("text", 1, 1), "at").alias("c")).select("file", (F.col("c") == "[").alias("array"))
+
+
 def read_rows(spark: SparkSession, path: str, source: str, array: bool = False) -> DataFrame:
     """(source, place, raw): rows of a JSON-lines file or folder, or with ``array`` of JSON arrays, a document each.
 
-    ``place`` orders rows: file, then the line or element, stable from reading to reading.
-    Lines are counted within a file, which is one task's work: a file of lines is read whole.
-    Blank lines stay, they are invalid rows; a document that is no array is one row that doesn't parse.
+    ``place`` orders rows: file, then the line or element, stable from reading to reading. Files of lines are split at
+    any byte, so one of any size spreads over tasks; an array is one document, and one task's work. Blank lines stay,
+    they are invalid rows, as is a line with broken UTF-8 (``normalize`` refuses it); a document that is no array, or
+    has broken UTF-8, is one row that doesn't parse. The line end after the last line is no row.
     """
-    files = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     if array:
-        parsed = F.try_parse_json("value")
+        files = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
+        parsed = F.when(F.is_valid_utf8("value"), F.try_parse_json("value"))
         rows = F.when(F.coalesce(F.schema_of_variant(parsed).startswith("ARRAY"), F.lit(False)), parsed.cast("array<variant>"))
         split = files.select("file", F.posexplode_outer(rows).alias("at", "row"), rows.isNull().alias("odd")).where("odd or row is not null")
-        raw = F.when(F.col("odd"), F.lit("")).otherwise(F.to_json("row"))
+        lines = split.select("file", "at", F.when(F.col("odd"), F.lit("")).otherwise(F.to_json("row")).alias("raw"))
     else:
-        split = files.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), r"\r?\n")).alias("at", "raw"))
-        raw = F.col("raw")
-    return split.select(F.lit(source).alias("source"), F.concat_ws(":", "file", F.lpad(F.coalesce("at", F.lit(0)).cast("string"), 12, "0")).alias("place"), raw.alias("raw"))
+        lines = _lines(spark, path)
+    return lines.select(F.lit(source).alias("source"), F.concat_ws(":", "file", F.lpad(F.coalesce("at", F.lit(0)).cast("string"), 12, "0")).alias("place"), "raw")
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -109,11 +135,11 @@ def normalize(rows: DataFrame, sources: DataFrame, metadata_key: str, workspace:
     ``rows`` has source, place, raw and trace (the target); ``sources`` has id and profile.
     ``metadata_key`` is the member that holds the lineage metadata in a vendor's metadata
     object. ``error`` is null for clean rows, otherwise the first code and field; rows with one
-    have no hash. Null rows and rows of unknown sources are errors too. Each row is read and
+    have no hash. Null rows, rows with broken UTF-8 and rows of unknown sources are errors too. Each row is read and
     parsed once, whatever its profile; no shuffle but the join with the (small) sources.
     """
     known = rows.join(sources.select(F.col("id").alias("source"), "profile"), "source", "left")
-    parsed = settled(known.withColumn("v", F.try_parse_json("raw")).withColumn("bytes", F.octet_length("raw")).withColumn("odd", beyond_variant("raw").isNotNull()).drop("raw"))
+    parsed = settled(known.withColumn("v", F.try_parse_json("raw")).withColumn("bytes", F.octet_length("raw")).withColumn("odd", ~F.is_valid_utf8("raw") | beyond_variant("raw").isNotNull()).drop("raw"))
     get = lambda path: F.try_variant_get("v", f"$.{path}", "variant")
     members = settled(parsed.select(
         "place", "source", "trace", "profile", "bytes", (F.col("v").isNull() | F.col("odd")).alias("unread"), _is(_kind(F.col("v")), "OBJECT").alias("is_object"),

@@ -111,10 +111,10 @@ def _origin_gaps(origins: DataFrame, steps: DataFrame) -> DataFrame:
     odd = materialize(late.select(*keys).unionByName(streams.forks(origins).select(*keys)).distinct(), "odd-streams")
     of = origins.join(odd, keys, "left_semi")
     seen = of.select(*keys, F.col("step").alias("hash")).distinct().join(steps.select("trace", "hash", "first"), ["trace", "hash"])
-    spans = materialize(_spans(of.select(*keys, F.col("first").alias("at")).unionByName(seen.select(*keys, F.col("first").alias("at"))), keys).withColumn("key", F.concat_ws("/", *keys, F.col("since").cast("string"))), "spans")
-    there = lambda df: df.join(spans, keys).where("first <= since").drop("trace").withColumnRenamed("key", "trace")
+    spans = materialize(_spans(of.select(*keys, F.col("first").alias("at")).unionByName(seen.select(*keys, F.col("first").alias("at"))), keys).withColumn("span", F.concat_ws("/", *keys, F.col("since").cast("string"))), "spans")
+    there = lambda df: df.join(spans, keys).where("first <= since").drop("trace").withColumnRenamed("span", "trace")  # noqa: E731  (an attestation has a key of its own)
     gaps = streams.origin_gaps(there(of), there(seen).select("trace", "hash"))
-    return gaps.withColumnRenamed("trace", "key").join(spans, "key").select(*GAP, "since", "until")
+    return gaps.withColumnRenamed("trace", "span").join(spans, "span").select(*GAP, "since", "until")
 
 
 def reduce_revisions(steps: DataFrame, origins: DataFrame | None = None) -> Reduced:
@@ -179,8 +179,7 @@ def artifact_faults(artifacts: DataFrame, files: DataFrame) -> DataFrame:
 
 def stored_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, digest) of all files of a folder, paths below it; digests are made where the files are read."""
-    base = F.lit(folder.rstrip("/") + "/")
-    below = F.regexp_replace(F.substring_index(F.col("path"), base, -1), "^/+", "")
+    below = F.substring_index(F.col("path"), folder.rstrip("/") + "/", -1)
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(below.alias("path"), F.sha2("content", 256).alias("digest"))
 
 

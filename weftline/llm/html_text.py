@@ -5,8 +5,9 @@ of tags; lines below menus, notices, forms and the like are marked by tag, role,
 and id. A marked region that holds most of the running text by the smoothed ratios is the
 page's wrapper: its mark doesn't count. The text-to-tag ratios of the other lines are
 smoothed with a Gaussian, and the lines above the ratios' threshold are the content
-cluster. The article that holds most of the cluster is the text; without one, the lines
-that the cluster spans are, short ones beside it too, up to the next line of links.
+cluster. Articles that hold most of the cluster are the text, but teasers beside a larger
+one; without them, the lines that the cluster spans are, short ones beside it too, from the
+headline on where little stands before it, up to the next line of links.
 """
 
 from __future__ import annotations
@@ -36,11 +37,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 #: Words in class and id values that mark what is no article text, also inside an article.
 STRONG = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar cookie cookies consent gdpr popup modal "
-    "newsletter subscribe subscription comments disqus replies share sharing pagination pager".split()
+    "newsletter subscribe subscription comment comments commentlist disqus reply replies related recommended notice notices share sharing pagination pager".split()
 )
 #: Words that mark it outside articles only.
 MARKS = STRONG | frozenset(
-    "promotion banner header masthead footer aside rail widget notice notices overlay signup login comment reply social related recommended search form copyright legal skip".split()
+    "promotion banner header masthead footer aside rail widget overlay signup login social search form copyright legal skip".split()
 )
 #: Words beside them that change nothing; with any other word, such as in form-factor or related-work, the value is no mark.
 NEUTRAL = frozenset(
@@ -50,14 +51,14 @@ NEUTRAL = frozenset(
 #: With one of these, a header is the article's own.
 OWN_HEADER = frozenset("article entry post story content text title".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-_OPEN_END = re.compile(r"<(?:[/!?]?[a-zA-Z][^<>]*|!--(?:(?!-->).)*|/?)\Z", re.S)
 #: Marks that no amount of text lifts: menus by tag or role, and what isn't shown.
 FIXED = frozenset("nav footer menu dialog button select textarea".split())
 FIXED_ROLES = frozenset("navigation alert alertdialog dialog menu menubar toolbar".split())
 #: Words for what readers wrote, which is running text too: only an article in it lifts them.
-REPLIES = frozenset("comment comments disqus replies reply".split())
+REPLIES = frozenset("comment comments commentlist disqus replies reply".split())
 HEADER = frozenset(("header",))
 SMOOTH = 1.0
+PEER = 0.25  # of the largest article's content: what another article holds at least that is no teaser
 RUNNING = 10.0  # characters a tag, smoothed, of running text in a marked region
 NONE, FOR_GOOD = 0, -1  # marks; others are numbers of regions
 
@@ -70,6 +71,7 @@ class Lines(HTMLParser):
         self.tags = 0
         self.lines: list[tuple[str, int, int, int]] = []  # text, tags, mark, container
         self.linked: set[int] = set()  # lines that are mostly links
+        self.heads: set[int] = set()  # lines in a headline of the first level
         self.link = 0
         self.regions: list[tuple[int, bool]] = [(NONE, False)]  # the mark around it, whether only an article lifts it
         self.containers: list[tuple[str, int]] = [("", -1)]  # tag, the container around it
@@ -82,6 +84,8 @@ class Lines(HTMLParser):
             if text:
                 if 2 * self.link > len(text):
                     self.linked.add(len(self.lines))
+                if self.where.get("h1"):
+                    self.heads.add(len(self.lines))
                 self.lines.append((text, self.tags, self.state[1], self.state[2]))
                 self.tags = 0
             self.link = 0
@@ -229,11 +233,24 @@ def lifted(parser: Lines) -> set[int]:
     return out
 
 
+def _articles(parser: Lines, mass: np.ndarray) -> list[int]:
+    """The outermost articles that hold content, but teasers beside a larger one; else the innermost ``main`` that holds most."""
+    around = [-1] * len(parser.containers)  # the outermost article that each container stands in
+    for c, (tag, up) in enumerate(parser.containers):
+        around[c] = around[up] if up >= 0 and around[up] >= 0 else c if tag == "article" else -1
+    outer = [c for c in range(len(parser.containers)) if around[c] == c and mass[c] > 0]
+    if outer:
+        largest = max(mass[c] for c in outer)
+        return [c for c in outer if mass[c] >= PEER * largest]
+    return [c for c, (tag, _) in enumerate(parser.containers) if tag == "main" and mass[c] >= 0.5 * mass[0]][-1:]
+
+
 def main_text(html: str) -> str:
     """The page's article: its blocks, white space made one, joined by an empty line."""
     parser = Lines()
-    cut = max(0, len(html) - 4096)  # a tag that the page's end cuts off is no text
-    parser.feed(html[:cut] + _OPEN_END.sub("", html[cut:]))
+    parser.feed(html)
+    if parser.rawdata.startswith("<"):  # a tag or comment that the page's end cuts off is no text
+        parser.rawdata = ""
     parser.close()
     parser.flush()
     counted = lifted(parser)
@@ -245,19 +262,15 @@ def main_text(html: str) -> str:
     content = smooth >= min(smooth.std(), smooth.max()) if len(lines) > 1 else np.ones(1, bool)
     mass = np.zeros(len(parser.containers))
     np.add.at(mass, [x[4] for x in lines], size * content)
-    depth = np.zeros(len(parser.containers), int)
-    for c in range(1, len(parser.containers)):  # containers are listed after those around them
-        depth[c] = depth[parser.containers[c][1]] + 1
-    for c in range(len(parser.containers) - 1, 0, -1):
+    for c in range(len(parser.containers) - 1, 0, -1):  # containers are listed after those around them
         mass[parser.containers[c][1]] += mass[c]
     total = mass[0]
-    named = [c for c, (tag, _) in enumerate(parser.containers) if tag in ("article", "main") and mass[c] >= 0.5 * total > 0]
-    if named:  # all of the innermost article that holds most of the content
-        region = max(named, key=lambda c: (parser.containers[c][0] == "article", -depth[c], mass[c]))
+    named = _articles(parser, mass) if total > 0 else []
+    if sum(mass[c] for c in named) >= 0.5 * total > 0:  # all of the articles that hold most of the content
         inside = np.zeros(len(parser.containers), bool)
-        inside[region] = True
-        for c in range(region + 1, len(parser.containers)):
-            inside[c] = inside[parser.containers[c][1]]
+        inside[named] = True
+        for c in range(1, len(parser.containers)):
+            inside[c] |= inside[parser.containers[c][1]]
         return "\n\n".join(x[1] for x in lines if inside[x[4]])
     # else the lines from the first to the last of the content cluster, whatever containers they stand in,
     # and those before and after up to one of links
@@ -267,6 +280,9 @@ def main_text(html: str) -> str:
     first, last = int(chosen[0]), int(chosen[-1])
     while first > 0 and lines[first - 1][0] not in parser.linked:
         first -= 1
+    # what stands before the headline, and is little, is a column beside the text
+    before = np.cumsum(size * content) - size * content
+    first = max([first, *(i for i, x in enumerate(lines) if x[0] in parser.heads and i <= last and before[i] <= 0.25 * total)])
     while last + 1 < len(lines) and lines[last + 1][0] not in parser.linked:
         last += 1
     return "\n\n".join(x[1] for x in lines[first : last + 1])

@@ -65,3 +65,30 @@ def test_dictionary_of_a_vocabulary():
     words = S.ranks(path)
     assert len(words) > 10_000 and all(words[w] == i + 1 for i, w in enumerate(S.WORDS))
     assert S.guess_cost("correcthorsebattery", path)[0] < S.guess_cost("correcthorsebattery")[0]
+
+
+def test_contexts_that_expect_a_credential():
+    from weftline.llm.secrets import scan
+
+    def found(text):
+        return [text[s.start : s.end] for s in scan(text) if s.kind == "guess"]
+
+    for before, value, after in (
+        ("DB_PASS='", "s3cr3t!Vq9#kd", "'"), ("pass: ", "Vq9#kd!x83Lm", "\n"), ("Authorization: Basic ", "dXNlcjpWcTkja2QheDgz", "\r\n"), ("Authorization: Bearer ", "aa.Vq9-kd_x83Lm77", ""),
+        ("see postgres://admin:", "Vq9#kd!x83Lm", "@db.example.net:5432/x"), ("apiKey ", "9f8GhT21kdQ83LmZ", " was given"), ("password = ", "Ünlü#Vq9kd83", " "), ("secret key ", "9f8GhT21kdQ83LmZ77", "."),
+    ):
+        text = f"Text {before}{value}{after} and more"
+        assert found(text) == [value], text
+    for clean in (
+        "PWD=/usr/local/lib/python3.13/site", "pass: the salt", "They pass = hand on", "password: ~/keys/old.txt", "the token Thursday was", "http://example.net:8080/a@b", "mail http://user@example.net", "the key 1234567890123456789 fits", "PWD=C:\\Users\\tom\\work",
+        "bypass: somewhere", "api key abcdefghijklmnopqrst",
+    ):
+        assert found(clean) == [], clean
+
+
+def test_very_long_texts_are_scanned_whole():
+    from weftline.llm.secrets import scan
+
+    text = "word " * 400_000 + "DB_PASS=s3cr3t!Vq9#kd " + "://a:b " * 50_000 + "password: " + "x" * 100_000
+    got = scan(text)
+    assert [text[s.start : s.end] for s in got if s.kind == "guess"][:1] == ["s3cr3t!Vq9#kd"] and got[-1].end == len(text)

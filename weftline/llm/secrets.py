@@ -27,10 +27,17 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_HINTS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 #: Words after which a credential may follow, and how (the method's context).
 CONTEXT = re.compile(
-    r"""(?ai:(?<![A-Za-z0-9])(pass(?:word|wd|phrase|code)|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credentials?|bearer|authorization))"""
-    r"""["']?(?:\x20?(?:=>|->|:=|[:=])\x20*|\x20(?:is|was)\x20(?=["'`]|[^\s"'`]*[0-9]))["'`]?((?:Bearer\x20)?[\x21\x23-\x26\x28-\x5F\x61-\x7E]{8,})"""
+    r"""(?ai:(?<![A-Za-z0-9])(pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credentials?|bearer|authorization))"""
+    r"""["']?(?:\x20?(?:=>|->|:=|[:=])\x20*|\x20(?:is|was)\x20(?=["'`]|[^\s"'`]*[0-9]))["'`]?((?:(?:Bearer|Basic)\x20)?(?:[\x21\x23-\x26\x28-\x5F\x61-\x7E]{8,}|(?=[^\s"'`]*[0-9])[^\s"'`]{8,}))"""
 )
-CONTEXT_HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"bearer", b"authorization")
+#: Keys and tokens that stand beside their name; letters and digits, as prose hardly has them.
+BESIDE = re.compile(r"""(?ai:(?<![A-Za-z0-9])(token|(?:api|access|private|secret)[_ -]?key))["']?\x20["'`]?((?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{16,})""")
+#: A password in the address of a host.
+ADDRESS = re.compile(r"""://([^\s:/@"'`<>]{1,64}):([^\s/@"'`<>]{8,})@(?=[A-Za-z0-9\[])""")
+CONTEXT_HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"bearer", b"authorization", b"://")
+#: A path of a file system: names of words, with numbers after them.
+NAME = r"[._-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[._-]+(?:[A-Z]?[a-z]+|[A-Z]+))*[0-9._-]*"
+PATH = re.compile(rf"(?:~|\.{{1,2}}|[A-Za-z]:)?(?:[/\\]{NAME}){{2,}}[/\\]?")
 LEAST = 10.0
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -170,14 +177,15 @@ def scan(text: str, least: float = LEAST, dictionary: str | None = None) -> list
     out += (Span("hex", *m.span(), *m.span(), None) for m in HEX.finditer(text))
     if any(h in raw for h in CONTEXT_HINTS):
         taken = [(s.value_start, s.value_end) for s in out]
-        for m in CONTEXT.finditer(text):
+        for m in (*CONTEXT.finditer(text), *BESIDE.finditer(text), *ADDRESS.finditer(text)):
             start, end = m.span(2)
-            if m[2].startswith("Bearer "):
-                start += 7
-            while end > start and text[end - 1] in ".,;:!?)]}>":
+            if m.re is CONTEXT and m[2].startswith(("Bearer ", "Basic ")):
+                start = text.index(" ", start) + 1
+            while end > start and text[end - 1] in ".,;:!?)]}>" and m.re is not ADDRESS:
                 end -= 1
-            if end - start < 8 or any(s <= start and end <= e for s, e in taken):
+            if end - start < 8 or any(s <= start and end <= e for s, e in taken) or PATH.fullmatch(text, start, end):
                 continue  # a base value holds all of it; a longer one is reported beside the base value
+            taken.append((start, end))
             cost = guess_cost(text[start:end], dictionary)[0]
             if cost >= least:
                 out.append(Span("guess", start, end, start, end, cost))

@@ -20,6 +20,18 @@ def test_batch_hash_whatever_the_order(spark):
         assert [tuple(r) for r in ledger.batch_hash(rows).collect()] == [("i", "2c7686a3bef575039478fc56d4431a9f1b41d3f9b3fe5382b220407895ccde1c")]
 
 
+def test_bounds_of_a_stage_and_of_sources(spark):
+    rows = lambda name, kind, n, size=9: [(name, kind, i, size if i == n - 1 else 1) for i in range(n)]
+    long = ledger.STAGE_BYTES + 1
+    staged = rows("good", "row", 1000) + rows("many", "row", 1001) + rows("o", "row", 1) + rows("o", "origin", 4097) + rows("a", "row", 2) + rows("a", "artifact", 65) + rows("r", "row", 4, long) + rows("f", "row", 1) + rows("f", "artifact", 3, long) + rows("none", "origin", 1)
+    got = {r["import"]: (r.code, r.field) for r in ledger.stage_faults(spark.createDataFrame(staged, "import string, kind string, place int, bytes long")).collect()}
+    limit = lambda at: ("ROW_LIMIT", f"/params/{at}")
+    assert got == {"many": limit("rows"), "o": limit("origins"), "a": limit("artifacts"), "r": limit("rows/3"), "f": limit("artifacts/2"), "none": ("SCHEMA_INVALID", "/params/rows")}
+    stored = spark.createDataFrame([(f"s{i}", "{}") for i in range(3)], "id string, json string")
+    asked = spark.createDataFrame([(0, "s0", "{}"), (1, "s1", "[]"), (2, "n", "{}"), (3, "n", "{}"), (4, "n", "[]"), (5, "m", "{}"), (6, "k", "{}")], "place int, id string, json string")
+    assert [r.standing for r in ledger.source_standing(asked, stored, 5).orderBy("place").collect()] == ["SAME", "SOURCE_CONFLICT", "NEW", "SAME", "SOURCE_CONFLICT", "NEW", "TRACE_LIMIT"]
+
+
 def test_commits_and_bindings(spark):
     kind = "trace string, place string, source string, record string, native_trace string, hash string"
     stored = spark.createDataFrame([("t", "0", "s", "a", "n", "h1"), ("u", "0", "s", "b", "m", "h2")], kind)

@@ -51,7 +51,21 @@ def test_omitted_attachments_and_limit(spark):
     got = json.loads(assembled(spark, "OMIT")[0]["b"].document)
     assert got["attachments"] == [] and sum(i["kind"] == "attachment" for i in got["body"]["inventory"]) == 2
     over = assembled(spark, limit=1000)[0]
-    assert (over["b"].error, over["b"].document, over["b"].handoff) == ("BUNDLE_LIMIT", None, None) and over["empty"].error is None
+    assert (over["b"].error, over["b"].document, over["b"].handoff, over["b"].bytes) == ("BUNDLE_LIMIT", None, None, None) and over["empty"].error is None
+    whole = len(assembled(spark)[0]["b"].document.encode())
+    for limit, error in ((whole, None), (whole - 1, "BUNDLE_LIMIT")):
+        assert assembled(spark, limit=limit)[0]["b"].error == error
+
+
+def test_attachments_that_are_not_there(spark):
+    """An error where they are to be included; of repeated references the first in place counts."""
+    head = ("w", "t", "3", "INCLUDE", "{}", "{}", "{}", '""')
+    heads = spark.createDataFrame([("b", *head), ("c", *head[:3], "OMIT", *head[4:])], HEAD)
+    refs = spark.createDataFrame([(b, sha("x"), n, p) for b in "bc" for n, p in (("2", 1), ("9", 0), ("1", 2))], "bundle string, digest string, bytes string, place int")
+    none = spark.createDataFrame([], "bundle string, digest string, json string")
+    got = {r.bundle: r for r in verification.assemble(heads, spark.createDataFrame([], PARTS), refs, none, "f/1").collect()}
+    assert (got["b"].error, got["b"].document, got["b"].handoff) == ("ARTIFACT_UNAVAILABLE", None, None)
+    assert [i["bytes"] for i in json.loads(got["c"].document)["body"]["inventory"]] == ["9"]
 
 
 def test_first_failing_phase_decides(spark):

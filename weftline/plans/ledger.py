@@ -31,14 +31,54 @@ def step_json() -> Column:
     return envelope_json(F.struct(*BODY), "hash")
 
 
+#: Most that an import stages, and the bytes of each row and artifact (fixed values of the data format; rows can be set).
+STAGE_ROWS, STAGE_ORIGINS, STAGE_ARTIFACTS, STAGE_BYTES = 1000, 4096, 64, 1 << 20
+
+
+def stage_faults(staged: DataFrame, rows: int = STAGE_ROWS) -> DataFrame:
+    """(import, code, field): the first bound of the format that an import is beyond; counted in one aggregate, nothing is gathered.
+
+    ``staged``: import, kind (row, origin or artifact), place (from 0), bytes. An import without rows is SCHEMA_INVALID.
+    """
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    long = lambda kind: F.min(F.when((F.col("kind") == kind) & (F.col("bytes") > STAGE_BYTES), F.col("place")))
+    sums = staged.groupBy("import").agg(of("row").alias("r"), of("origin").alias("o"), of("artifact").alias("a"), long("row").alias("long_row"), long("artifact").alias("long_artifact"))
+    fault = lambda code, field: F.struct(F.lit(code).alias("code"), (F.lit(field) if isinstance(field, str) else field).alias("field"))
+    found = F.coalesce(
+        F.when(F.col("r") == 0, fault("SCHEMA_INVALID", "/params/rows")), F.when(F.col("r") > rows, fault("ROW_LIMIT", "/params/rows")), F.when(F.col("o") > STAGE_ORIGINS, fault("ROW_LIMIT", "/params/origins")),
+        F.when(F.col("a") > STAGE_ARTIFACTS, fault("ROW_LIMIT", "/params/artifacts")), F.when(F.col("long_row").isNotNull(), fault("ROW_LIMIT", F.concat(F.lit("/params/rows/"), F.col("long_row").cast("string")))),
+        F.when(F.col("long_artifact").isNotNull(), fault("ROW_LIMIT", F.concat(F.lit("/params/artifacts/"), F.col("long_artifact").cast("string")))),
+    )
+    return sums.select("import", found.alias("f")).where("f is not null").select("import", "f.code", "f.field")
+
+
+def source_standing(asked: DataFrame, stored: DataFrame, most: int = 256) -> DataFrame:
+    """``asked`` sources (id, json, place; ``stored``: id, json) with ``standing``: NEW, SAME, SOURCE_CONFLICT, or TRACE_LIMIT beyond ``most`` sources.
+
+    Requests stand in the order of ``place``; of an id asked for several times the first is new.
+    """
+    first = asked.groupBy("id").agg(F.min_by("json", "place").alias("first"), F.min("place").alias("at"))
+    known = first.join(stored.select("id", F.col("json").alias("held")), "id", "left")
+    # new ids are at most ``most`` where one is taken at all, so their turn is that of a small table
+    turn = known.where("held is null").select("id", F.row_number().over(Window.orderBy("at")).alias("turn"))
+    room = most - stored.select("id").distinct().count()
+    joined = asked.join(known, "id").join(turn, "id", "left")
+    same = F.when(F.col("json") == F.coalesce("held", "first"), "SAME").otherwise("SOURCE_CONFLICT")
+    standing = F.when(F.col("held").isNotNull(), same).when(F.col("turn") > room, "TRACE_LIMIT").when(F.col("place") == F.col("at"), "NEW").otherwise(same)
+    return joined.select(*asked.columns, standing.alias("standing"))
+
+
 def batch_hash(batches: DataFrame) -> DataFrame:
     """(import, batch): hash of what an import stages, whatever its order.
 
     ``batches``: import, trace, source, kind (step, origin or artifact), json (an envelope's
-    canonical JSON). An import's envelopes are one document, as its size limit allows.
+    canonical JSON). An import's envelopes are one document, as ``stage_faults``'s bounds allow; one with more of
+    a kind is left out.
     """
+    most = {"step": STAGE_ROWS, "origin": STAGE_ORIGINS, "artifact": STAGE_ARTIFACTS}
+    over = batches.groupBy("import").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in most)).where(" or ".join(f"{k} > {n}" for k, n in most.items())).select("import")
     listed = lambda kind: F.array_join(F.array_sort(F.filter("all", lambda e: e["kind"] == kind)).getField("json"), ",")
-    gathered = batches.groupBy("import", "trace", "source").agg(F.collect_list(F.struct("kind", "json")).alias("all"))
+    gathered = batches.join(over, "import", "left_anti").groupBy("import", "trace", "source").agg(F.collect_list(F.struct("kind", "json")).alias("all"))
     text = F.concat(F.lit('{"artifacts":['), listed("artifact"), F.lit('],"origins":['), listed("origin"), F.lit('],"source":"'), "source", F.lit('","steps":['), listed("step"), F.lit('],"trace":"'), "trace", F.lit('"}'))
     return gathered.select("import", digest_text(BATCH, text).alias("batch"))
 

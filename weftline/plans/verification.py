@@ -23,26 +23,34 @@ BUNDLE_BYTES = 64 << 20
 
 
 def assemble(heads: DataFrame, envelopes: DataFrame, refs: DataFrame, artifacts: DataFrame, format: str, limit: int = BUNDLE_BYTES) -> DataFrame:
-    """(bundle, hash, document, bytes, handoff, error) of each bundle: one canonical JSON document and its summary.
+    """(bundle, hash, document, bytes, handoff, error) of each bundle: one canonical JSON document and its summary; hash and bytes where it was put together.
 
     ``heads``: bundle, workspace, trace, revision, attachment_policy, and as canonical JSON graph, path_request,
     path and action. ``envelopes``: bundle, kind (step, origin or audit), hash, n (an audit entry's position), json.
-    ``refs``: bundle, digest, bytes of attachments referred to; of repeated digests the least bytes count.
-    ``artifacts``: bundle, digest, json; left out where the policy isn't INCLUDE. A bundle is one document by
-    the format; one above ``limit`` bytes is BUNDLE_LIMIT, without document and handoff.
+    ``refs``: bundle, digest, bytes of attachments referred to; of repeated digests the first by ``place``, if there
+    is the column, counts, else the least bytes. ``artifacts``: bundle, digest, json; left out where the policy isn't
+    INCLUDE. A bundle is one document by the format; one above ``limit`` bytes is BUNDLE_LIMIT, and one that refers to
+    what isn't there under INCLUDE is ARTIFACT_UNAVAILABLE, without document and handoff. Parts are summed before any is
+    gathered: of a bundle that can't fit none is.
     """
     place = F.when(F.col("kind") == "step", F.col("hash")).when(F.col("kind") == "audit", F.lpad(F.col("n").cast("string"), 20, "0")).otherwise(F.col("json"))
     item = lambda kind, digest, size: F.struct(kind.alias("kind"), digest.alias("digest"), size.alias("bytes"))
     sealed = envelopes.select("bundle", "kind", place.alias("place"), "json", item(F.col("kind"), sha256_text("json"), F.octet_length("json").cast("string")).alias("item"))
-    own = refs.groupBy("bundle", "digest").agg(F.min("bytes").alias("bytes"))
+    own = refs.groupBy("bundle", "digest").agg((F.min_by("bytes", "place") if "place" in refs.columns else F.min("bytes")).alias("bytes"))
     listed = own.select("bundle", F.lit("listed").alias("kind"), F.lit("").alias("place"), F.lit(None).cast("string").alias("json"), item(F.lit("attachment"), F.col("digest"), F.col("bytes")).alias("item"))
     included = heads.where("attachment_policy = 'INCLUDE'").select("bundle")
     files = artifacts.join(included, "bundle", "left_semi").select("bundle", F.lit("attachment").alias("kind"), F.col("digest").alias("place"), "json", F.lit(None).cast("struct<kind:string,digest:string,bytes:string>").alias("item"))
     parts = sealed.unionByName(listed).unionByName(files)
+    # a document is no shorter than its parts and their items
+    item_bytes = F.coalesce(F.octet_length(canonical("item")) + 1, F.lit(0))
+    sums = parts.groupBy("bundle").agg(F.sum(F.coalesce(F.octet_length("json") + 1, F.lit(0)) + item_bytes).alias("least"))
+    over = sums.where(F.col("least") > limit + 4).select("bundle", F.col("least").cast("long").alias("least"))
+    lacking = own.join(included, "bundle", "left_semi").join(artifacts.select("bundle", "digest"), ["bundle", "digest"], "left_anti").select("bundle").distinct().withColumn("lacking", F.lit(True))
+    parts = parts.join(over, "bundle", "left_anti").join(lacking, "bundle", "left_anti")
     kinds = ("attachment", "audit", "origin", "step")
     ordered = [F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("place", "json")))), lambda x: x["json"]), ","), F.lit("]")).alias(f"all_{k}") for k in kinds]
     items = F.transform(F.array_sort(F.collect_list("item")), lambda i: F.struct(i["bytes"].alias("bytes"), i["digest"].alias("digest"), i["kind"].alias("kind")))
-    gathered = heads.join(parts.groupBy("bundle").agg(*ordered, canonical(items).alias("items")), "bundle", "left")
+    gathered = heads.join(parts.groupBy("bundle").agg(*ordered, canonical(items).alias("items")), "bundle", "left").join(over, "bundle", "left").join(lacking, "bundle", "left")
     text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     some = lambda c: F.coalesce(c, F.lit("[]"))
 
@@ -60,8 +68,11 @@ def assemble(heads: DataFrame, envelopes: DataFrame, refs: DataFrame, artifacts:
         action=F.col("action"), bundle=text(F.col("hash")), disclosure=disclosure, format=F.lit(f'"{format}"'), graph=text(digest_text(GRAPH, "graph")), kind=F.lit('"action-lineage"'),
         semantics=F.lit(f'"{FIXED["semantics"]}"'), trace=text(F.col("trace")), v=F.lit("1"),
     )
-    fits = F.octet_length("document") <= limit
-    return whole.select("bundle", "hash", F.when(fits, F.col("document")).alias("document"), F.octet_length("document").cast("long").alias("bytes"), F.when(fits, handoff).alias("handoff"), F.when(~fits, "BUNDLE_LIMIT").alias("error"))
+    error = F.when(F.col("lacking"), "ARTIFACT_UNAVAILABLE").when(F.col("least").isNotNull() | (F.octet_length("document") > limit), "BUNDLE_LIMIT")
+    made = whole.withColumn("error", error)
+    fits = F.col("error").isNull()
+    size = F.when(F.col("least").isNull() & F.col("lacking").isNull(), F.octet_length("document").cast("long"))
+    return made.select("bundle", F.when(size.isNotNull(), F.col("hash")).alias("hash"), F.when(fits, F.col("document")).alias("document"), size.alias("bytes"), F.when(fits, handoff).alias("handoff"), "error")
 
 
 def audit_bindings(log: DataFrame, bundles: DataFrame) -> DataFrame:

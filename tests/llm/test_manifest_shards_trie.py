@@ -52,6 +52,8 @@ def plain_manifest(docs: list[tuple], claims: dict[int, str]) -> list[tuple]:
     by_lang: dict = {}
     for i, d in enumerate(docs):
         by_lang.setdefault(d[2], []).append((d[0] is not None, d[0] or 0, leaf(d), i))
+    if not docs:
+        return []
     langs = sorted(by_lang, key=lambda x: (x is not None, (x or "").encode()))
     trees = {x: plain_proofs([t[2] for t in sorted(by_lang[x])]) for x in langs}
     root, crown = plain_proofs([trees[x][0] for x in langs])

@@ -23,3 +23,21 @@ def test_ancestors_of_large_traces_and_in_shares(spark, monkeypatch, limit):
     monkeypatch.setattr(graph, "PAIRS", 5)
     monkeypatch.setattr(graph, "MAX_EDGES", 4)  # trace a by levels, b and c in shares
     assert sorted(map(repr, graph.ancestors(edges, starts, limit).collect())) == whole
+
+
+def test_cycle_sets_of_large_traces(spark):
+    """By colours over tables as by a task: rings in rings, loops, tails, several traces."""
+    import random
+
+    r = random.Random(7)
+    pairs = [("ring", f"r{i}", f"r{(i + 1) % 9}") for i in range(9)] + [("ring", "r3", "s0"), ("ring", "s0", "s1"), ("ring", "s1", "s0"), ("ring", "s1", "tail"), ("ring", "loop", "loop"), ("ring", "r0", "loop")]
+    pairs += [(f"t{t}", f"n{r.randrange(14)}", f"n{r.randrange(14)}") for t in range(6) for _ in range(18)]
+    edges = spark.createDataFrame(pairs, "trace string, parent string, child string")
+    want = sorted((t, m) for t in {p[0] for p in pairs} for m in graph.strong_components([(a, b) for x, a, b in pairs if x == t]))
+    assert sorted((x.trace, x.members) for x in graph.coloured_cycles(edges).collect()) == want and len(want) > 5
+
+
+def test_cycles_of_traces_beyond_a_task(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MAX_EDGES", 3)
+    edges = spark.createDataFrame([("a", str(i), str((i + 1) % 5)) for i in range(5)] + [("b", "x", "y"), ("b", "y", "x")], "trace string, parent string, child string")
+    assert sorted((x.trace, x.members) for x in graph.cycles(edges).collect()) == [("a", list("01234")), ("b", ["x", "y"])]

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.storage import materialize
+from weftline.storage import materialize, release
 
 MAX_STEPS, MAX_EDGES = 100_000, 400_000
 PEELS = 2
@@ -80,15 +80,71 @@ def strong_components(pairs: Iterable[tuple[str, str]]) -> list[list[str]]:
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """(trace, members): the sets of steps on a common cycle, members sorted."""
+    """(trace, members): the sets of steps on a common cycle, members sorted.
+
+    A grouped map per trace, of edges that may lie on a cycle; traces with more than ``MAX_EDGES`` of these go through
+    ``coloured_cycles``.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_EDGES:
-            raise ValueError(f"a trace has more than {MAX_EDGES} edges")
         found = strong_components(zip(pdf["parent"], pdf["child"]))
         return pd.DataFrame({"trace": pd.Series([pdf["trace"].iloc[0]] * len(found), dtype=object), "members": pd.Series(found, dtype=object)})
 
-    return peel(edges).groupBy("trace").applyInPandas(run, "trace string, members array<string>")
+    left = materialize(peel(edges), "peeled")
+    large = left.groupBy("trace").agg(F.count("*").alias("n")).where(F.col("n") > MAX_EDGES).select("trace")
+    small = left.join(large, "trace", "left_anti").groupBy("trace").applyInPandas(run, "trace string, members array<string>")
+    if large.isEmpty():
+        return small
+    return small.unionByName(coloured_cycles(left.join(large, "trace", "left_semi")))
+
+
+def _until_stable(rows: DataFrame, step, name: str) -> DataFrame:
+    """``step`` of a table (trace, node, value) until no value changes; each round is written, and the one before removed."""
+    now = materialize(rows, name)
+    while True:
+        after = materialize(step(now), name)
+        changed = after.join(now.withColumnRenamed("value", "old"), ["trace", "node"], "left").where("not (value <=> old)")
+        settled = changed.isEmpty()
+        release(now)
+        now = after
+        if settled:
+            return now
+
+
+def coloured_cycles(edges: DataFrame) -> DataFrame:
+    """What ``cycles`` gives, over whole tables: for traces too large for a task.
+
+    Each round gives every node the largest name that reaches it as its colour. The node that is its own colour and all
+    of the colour that reach it are one set; edges between colours and those of sets found go, then edges that lie on no
+    cycle. Rounds within a round go edge by edge, so they are as many as the longest way they have to go.
+    """
+    left = materialize(edges.select("trace", "parent", "child").distinct(), "coloured")
+    found = left.sparkSession.createDataFrame([], "trace string, members array<string>")
+    while not left.isEmpty():
+        ends = left
+
+        def spread(now: DataFrame) -> DataFrame:
+            sent = ends.join(now.withColumnRenamed("node", "parent"), ["trace", "parent"]).select("trace", F.col("child").alias("node"), "value")
+            return now.unionByName(sent).groupBy("trace", "node").agg(F.max("value").alias("value"))
+
+        nodes = left.select("trace", F.explode(F.array("parent", "child")).alias("node")).distinct()
+        colour = _until_stable(nodes.withColumn("value", F.col("node")), spread, "colours")
+        named = lambda end: colour.select("trace", F.col("node").alias(end), F.col("value").alias(f"{end}_colour"))
+        inside = materialize(left.join(named("parent"), ["trace", "parent"]).join(named("child"), ["trace", "child"]).where("parent_colour = child_colour").select("trace", "parent", "child", F.col("child_colour").alias("value")), "inside")
+
+        def back(now: DataFrame) -> DataFrame:
+            sent = inside.join(now.withColumnRenamed("node", "child"), ["trace", "child", "value"]).select("trace", F.col("parent").alias("node"), "value")
+            return now.unionByName(sent).distinct()
+
+        marked = _until_stable(colour.where("node = value"), back, "marked")
+        loops = left.where("parent = child").select("trace", F.col("parent").alias("value"), F.lit(True).alias("loop"))
+        sets = marked.groupBy("trace", "value").agg(F.array_sort(F.collect_set("node")).alias("members")).join(loops, ["trace", "value"], "left").where("size(members) > 1 or loop").select("trace", "members")
+        found = found.unionByName(materialize(sets, "sets"))
+        gone = marked.select("trace", "node")
+        rest = inside.join(gone.withColumnRenamed("node", "parent"), ["trace", "parent"], "left_anti").join(gone.withColumnRenamed("node", "child"), ["trace", "child"], "left_anti")
+        done, left = left, materialize(peel(rest), "coloured")
+        release(done, colour, inside, marked)
+    return found
 
 
 def without_cycles(edges: DataFrame, found: DataFrame) -> DataFrame:

@@ -466,8 +466,6 @@ def bundle_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verification.assemble(heads, envelopes, refs, artifacts, "lineage-bundle/1", limit=1500).select("bundle", "hash", "bytes", "error", sha256_text(F.coalesce("document", F.lit(""))).alias("document_sha256"), "handoff")
 
 
-flagship = lineage_reduced
-
 _NAMES = (
     lineage_run_steps, lineage_span_steps, lineage_native_edges, lineage_parent_gaps, lineage_conflicts, lineage_delegations, lineage_cycles, lineage_acyclic_edges, lineage_ancestors, lineage_topological,
     lineage_stream_breaks, lineage_stream_forks, lineage_pinned, lineage_manifests, lineage_encodings, lineage_reduced, path_nodes, path_edges, path_gaps, structural_verdict, pin_interval_join, head_pin_status, commit_counters, binding_conflicts, inventory_diff, audit_head, request_standing, prunable_revisions, json_faults, path_report, audit_bindings, unneeded_origins, verification_verdicts, bundle_hashes,

@@ -6,4 +6,4 @@ from weftline import proof_queries, queries
 
 QUERIES = {**queries.QUERIES, **proof_queries.QUERIES}
 ORACLE_SQL = {**queries.ORACLE_SQL, **proof_queries.ORACLE_SQL}
-flagship = queries.flagship
+flagship = proof_queries.reduced_outcomes

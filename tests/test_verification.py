@@ -51,9 +51,10 @@ def test_omitted_attachments_and_limit(spark):
     got = json.loads(assembled(spark, "OMIT")[0]["b"].document)
     assert got["attachments"] == [] and sum(i["kind"] == "attachment" for i in got["body"]["inventory"]) == 2
     over = assembled(spark, limit=1000)[0]
-    assert (over["b"].error, over["b"].document, over["b"].handoff, over["b"].bytes) == ("BUNDLE_LIMIT", None, None, None) and over["empty"].error is None
-    whole = len(assembled(spark)[0]["b"].document.encode())
-    for limit, error in ((whole, None), (whole - 1, "BUNDLE_LIMIT")):
+    whole = assembled(spark)[0]["b"]
+    size = len(whole.document.encode())
+    assert (over["b"].error, over["b"].document, over["b"].handoff, over["b"].bytes, over["b"].hash) == ("BUNDLE_LIMIT", None, None, size, whole.hash) and over["empty"].error is None
+    for limit, error in ((size, None), (size - 1, "BUNDLE_LIMIT")):
         assert assembled(spark, limit=limit)[0]["b"].error == error
 
 

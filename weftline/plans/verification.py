@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.canonical import BUNDLE, GRAPH, canonical, digest_text, sha256_text, short
+from weftline.storage import materialize
 
 #: Phases that a bundle can fail outright, in order, with the reason each gives (fixed values of the data format).
 PHASES = {"inventory": "INVENTORY_MISMATCH", "scope": "INVENTORY_MISMATCH", "graph": "GRAPH_MISMATCH", "path": "PATH_MISMATCH", "binding": "AUDIT_BINDING_MISMATCH"}
@@ -23,7 +24,7 @@ BUNDLE_BYTES = 64 << 20
 
 
 def assemble(heads: DataFrame, envelopes: DataFrame, refs: DataFrame, artifacts: DataFrame, format: str, limit: int = BUNDLE_BYTES) -> DataFrame:
-    """(bundle, hash, document, bytes, handoff, error) of each bundle: one canonical JSON document and its summary; hash and bytes where it was put together.
+    """(bundle, hash, document, bytes, handoff, error) of each bundle: one canonical JSON document and its summary.
 
     ``heads``: bundle, workspace, trace, revision, attachment_policy, and as canonical JSON graph, path_request,
     path and action. ``envelopes``: bundle, kind (step, origin or audit), hash, n (an audit entry's position), json.
@@ -31,7 +32,7 @@ def assemble(heads: DataFrame, envelopes: DataFrame, refs: DataFrame, artifacts:
     is the column, counts, else the least bytes. ``artifacts``: bundle, digest, json; left out where the policy isn't
     INCLUDE. A bundle is one document by the format; one above ``limit`` bytes is BUNDLE_LIMIT, and one that refers to
     what isn't there under INCLUDE is ARTIFACT_UNAVAILABLE, without document and handoff. Parts are summed before any is
-    gathered: of a bundle that can't fit none is.
+    gathered: of a bundle that doesn't fit only the inventory is, for its hash.
     """
     place = F.when(F.col("kind") == "step", F.col("hash")).when(F.col("kind") == "audit", F.lpad(F.col("n").cast("string"), 20, "0")).otherwise(F.col("json"))
     item = lambda kind, digest, size: F.struct(kind.alias("kind"), digest.alias("digest"), size.alias("bytes"))
@@ -41,38 +42,42 @@ def assemble(heads: DataFrame, envelopes: DataFrame, refs: DataFrame, artifacts:
     included = heads.where("attachment_policy = 'INCLUDE'").select("bundle")
     files = artifacts.join(included, "bundle", "left_semi").select("bundle", F.lit("attachment").alias("kind"), F.col("digest").alias("place"), "json", F.lit(None).cast("struct<kind:string,digest:string,bytes:string>").alias("item"))
     parts = sealed.unionByName(listed).unionByName(files)
-    # a document is no shorter than its parts and their items
-    item_bytes = F.coalesce(F.octet_length(canonical("item")) + 1, F.lit(0))
-    sums = parts.groupBy("bundle").agg(F.sum(F.coalesce(F.octet_length("json") + 1, F.lit(0)) + item_bytes).alias("least"))
-    over = sums.where(F.col("least") > limit + 4).select("bundle", F.col("least").cast("long").alias("least"))
     lacking = own.join(included, "bundle", "left_semi").join(artifacts.select("bundle", "digest"), ["bundle", "digest"], "left_anti").select("bundle").distinct().withColumn("lacking", F.lit(True))
-    parts = parts.join(over, "bundle", "left_anti").join(lacking, "bundle", "left_anti")
     kinds = ("attachment", "audit", "origin", "step")
-    ordered = [F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("place", "json")))), lambda x: x["json"]), ","), F.lit("]")).alias(f"all_{k}") for k in kinds]
+    of = lambda kind: F.when(F.col("kind") == kind, F.octet_length("json"))
+    # an array is its elements and the commas between them
+    inner = sum((F.coalesce(F.sum(of(k)), F.lit(0)) + F.greatest(F.count(of(k)) - 1, F.lit(0)) for k in kinds), F.lit(0))
     items = F.transform(F.array_sort(F.collect_list("item")), lambda i: F.struct(i["bytes"].alias("bytes"), i["digest"].alias("digest"), i["kind"].alias("kind")))
-    gathered = heads.join(parts.groupBy("bundle").agg(*ordered, canonical(items).alias("items")), "bundle", "left").join(over, "bundle", "left").join(lacking, "bundle", "left")
+    sums = parts.groupBy("bundle").agg(canonical(items).alias("items"), inner.alias("inner"))
     text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     some = lambda c: F.coalesce(c, F.lit("[]"))
 
     def document(**members: Column) -> Column:
         return F.concat(*(x for i, (k, v) in enumerate(members.items()) for x in (F.lit(("," if i else "{") + f'"{k}":'), v)), F.lit("}"))
 
+    def bundle(**arrays: Column) -> Column:
+        array = lambda k: arrays.get(k, F.lit("[]"))
+        return document(attachments=array("attachment"), audit=array("audit"), body=F.col("body"), hash=text(F.col("hash")), origins=array("origin"), steps=array("step"))
+
     disclosure = F.lit(f'"{FIXED["disclosure"]}"')
     body = document(
         attachment_policy=text(F.col("attachment_policy")), disclosure=disclosure, format=F.lit(f'"{format}"'), graph=F.col("graph"), inventory=some("items"), path=F.col("path"), path_request=F.col("path_request"),
         revision=text(F.col("revision")), trace=text(F.col("trace")), trust_required=F.lit("true"), v=F.lit("1"), workspace=text(F.col("workspace")),
     )
-    bodies = gathered.withColumn("body", body).withColumn("hash", digest_text(BUNDLE, "body"))
-    whole = bodies.withColumn("document", document(attachments=some("all_attachment"), audit=some("all_audit"), body=F.col("body"), hash=text(F.col("hash")), origins=some("all_origin"), steps=some("all_step")))
+    bodies = heads.join(sums, "bundle", "left").join(lacking, "bundle", "left").withColumn("body", body).withColumn("hash", digest_text(BUNDLE, "body"))
+    size = (F.octet_length(bundle()) + F.coalesce("inner", F.lit(0))).cast("long")
+    error = F.when(F.col("lacking"), "ARTIFACT_UNAVAILABLE").when(F.col("bytes") > limit, "BUNDLE_LIMIT")
+    sized = materialize(bodies.withColumn("bytes", F.when(F.col("lacking").isNull(), size)).withColumn("error", error), "bodies")
+    ordered = [F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("place", "json")))), lambda x: x["json"]), ","), F.lit("]")).alias(f"all_{k}") for k in kinds]
+    arrays = parts.join(sized.where("error is null").select("bundle"), "bundle", "left_semi").groupBy("bundle").agg(*ordered)
     handoff = document(
         action=F.col("action"), bundle=text(F.col("hash")), disclosure=disclosure, format=F.lit(f'"{format}"'), graph=text(digest_text(GRAPH, "graph")), kind=F.lit('"action-lineage"'),
         semantics=F.lit(f'"{FIXED["semantics"]}"'), trace=text(F.col("trace")), v=F.lit("1"),
     )
-    error = F.when(F.col("lacking"), "ARTIFACT_UNAVAILABLE").when(F.col("least").isNotNull() | (F.octet_length("document") > limit), "BUNDLE_LIMIT")
-    made = whole.withColumn("error", error)
     fits = F.col("error").isNull()
-    size = F.when(F.col("least").isNull() & F.col("lacking").isNull(), F.octet_length("document").cast("long"))
-    return made.select("bundle", F.when(size.isNotNull(), F.col("hash")).alias("hash"), F.when(fits, F.col("document")).alias("document"), size.alias("bytes"), F.when(fits, handoff).alias("handoff"), "error")
+    made = bundle(**{k: some(f"all_{k}") for k in kinds})
+    whole = sized.join(arrays, "bundle", "left")
+    return whole.select("bundle", F.when(F.col("lacking").isNull(), F.col("hash")).alias("hash"), F.when(fits, made).alias("document"), "bytes", F.when(fits, handoff).alias("handoff"), "error")
 
 
 def audit_bindings(log: DataFrame, bundles: DataFrame) -> DataFrame:

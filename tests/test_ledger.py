@@ -40,6 +40,8 @@ def test_commits_and_bindings(spark):
     again = staged.unionByName(staged.where("hash = 'h3'")).unionByName(spark.createDataFrame([("t", "6", "s", "e", "n", "h7")] * 3, kind))
     assert [tuple(r) for r in ledger.commit_counters(again, stored).collect()] == [("t", 5, 4, 2)]  # a step staged three times is added once
     assert sorted(r.hash for r in ledger.new_steps(staged, stored).collect()) == ["h3", "h4", "h5", "h6"]
+    origins = lambda *d: spark.createDataFrame([(x, h) for x, h in d], "digest string, hash string")
+    assert sorted(tuple(r) for r in ledger.new_origins(origins(("d1", "h"), ("d2", "h"), ("d2", "h"), ("d3", "g")), origins(("d3", "g"))).collect()) == [("d1", "h"), ("d2", "h")]
     assert [tuple(r) for r in ledger.binding_conflicts(staged, stored).collect()] == [("t", "s", "native", "m")]
     heads = spark.createDataFrame([("t", 3)], "trace string, revision int")
     commits = spark.createDataFrame([("i", "t", 3), ("j", "t", 3), ("k", "t", 2), ("l", "x", 0)], "import string, trace string, expected int")

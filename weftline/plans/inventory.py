@@ -56,8 +56,3 @@ def graph_faults(heads: DataFrame, steps: DataFrame, origins: DataFrame | None =
     """
     made = manifests(steps, reduce_steps(steps, origins), origins).select("trace", "graph")
     return made.join(heads.select("trace", F.col("graph").alias("stored")), "trace", "full_outer").where("not (graph <=> stored)").select("trace", "graph", "stored")
-
-
-def orphans(artifacts: DataFrame, steps: DataFrame) -> DataFrame:
-    """Artifacts (digest) that no step refers to."""
-    return artifacts.join(steps.select(F.explode("attachments").alias("a")).select(F.col("a.digest").alias("digest")).distinct(), "digest", "left_anti")

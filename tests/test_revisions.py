@@ -78,8 +78,8 @@ def test_deep_check(spark, tmp_path):
     path = lambda x: f"{digest(x)[:2]}/{digest(x)[2:6]}/{digest(x)}"
     assert written == {digest(b"one"): path(b"one"), digest(b"two"): path(b"two"), digest(b"three"): None}
     (tmp_path / "files" / path(b"two")).write_bytes(b"changed")
-    (tmp_path / "files" / "stray").write_bytes(b"")
-    artifacts = spark.createDataFrame([(digest(x), "AVAILABLE", path(x)) for x in (b"one", b"two", b"gone")] + [(digest(b"old"), "PRUNED", None)], "digest string, state string, path string")
+    (tmp_path / "files" / "stray").write_bytes(b"x")
+    artifacts = spark.createDataFrame([(digest(x), "AVAILABLE", path(x)) for x in (b"one", b"two", b"gone", b"")] + [(digest(b"old"), "PRUNED", None)], "digest string, state string, path string")
     wrong = steps.withColumn("hash", F.when(F.col("record") == "c", case.ONE).otherwise(F.col("hash")))
     held = revisions.stored_files(spark, str(tmp_path / "files"))
     log = spark.createDataFrame([(case.W, 1, case.ZERO, case.ONE, "{}")], "workspace string, n long, prev string, hash string, body string")

@@ -39,7 +39,7 @@ def read_documents(spark: SparkSession, path: str, limit: int = FILE_BYTES) -> D
     """(bundle, document, error): files as documents, named by their paths.
 
     A file above ``limit`` bytes is FILE_LIMIT, without being read; one with a byte order mark or broken UTF-8 is
-    JSON_INVALID. Either has no document.
+    JSON_INVALID. Either has no document. Spark's reader passes over files without content: they have no row.
     """
     files = spark.read.format("binaryFile").load(path)
     bad = ~F.is_valid_utf8(F.col("content").cast("string")) | F.startswith(F.col("content"), F.lit(b"\xef\xbb\xbf"))

@@ -168,17 +168,18 @@ def step_faults(steps: DataFrame) -> DataFrame:
 def artifact_faults(artifacts: DataFrame, files: DataFrame) -> DataFrame:
     """(name, fault): available artifacts (digest, state, path) that have no file (path, digest), or one of another digest, and files of no artifact.
 
-    ``stored_files`` reads files and their digests.
+    ``stored_files`` reads files and their digests. Spark's reader passes over files without content, so an artifact of no
+    bytes isn't held against its file, and an empty file is no orphan.
     """
     there = files.select("path", F.col("digest").alias("own"))
-    held = artifacts.where("state = 'AVAILABLE'").join(there, "path", "left")
+    held = artifacts.where((F.col("state") == "AVAILABLE") & (F.col("digest") != F.sha2(F.lit(b""), 256))).join(there, "path", "left")
     fault = F.when(F.col("own").isNull(), "ARTIFACT_MISSING").when(F.col("own") != F.col("digest"), "ARTIFACT_HASH")
     orphans = there.join(artifacts.where("path is not null").select("path"), "path", "left_anti").select(F.col("path").alias("name"), F.lit("ARTIFACT_ORPHAN").alias("fault"))
     return held.select(F.col("digest").alias("name"), fault.alias("fault")).where("fault is not null").unionByName(orphans)
 
 
 def stored_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, digest) of all files of a folder, paths below it; digests are made where the files are read."""
+    """(path, digest) of all files of a folder that have content, paths below it; digests are made where the files are read."""
     below = F.substring_index(F.col("path"), folder.rstrip("/") + "/", -1)
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(below.alias("path"), F.sha2("content", 256).alias("digest"))
 

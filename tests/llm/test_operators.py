@@ -204,6 +204,24 @@ def test_language_model_odd_tables(spark):
     assert len({r.score for r in rows if r.n_tokens == 3}) == 1
 
 
+def test_language_model_tasks_take_groups_in_turn(spark, monkeypatch):
+    """One task, and so one file, for a few ranges of keys or chunks; many ranges and chunks change no figure."""
+    from pathlib import Path
+
+    docs = docs_of(spark, corpus(seed=9)).repartition(40).cache()  # a chunk of each kind in each partition
+    whole = {r.doc_id: r for r in language_model.score(docs, parts=1).collect()}
+    kept = {}
+    monkeypatch.setattr(language_model, "materialize", lambda df, name, f=language_model.materialize: kept.setdefault(name, f(df, name)))
+    scored = language_model.score(docs, parts=40)
+    got, n_chunks = {r.doc_id: r for r in scored.collect()}, kept["chunks"].count()
+    assert n_chunks > 40 and kept["counts"].where("chunk = -1").count() > 60
+    assert len(list(Path(kept["counts"]._folder.removeprefix("file://")).glob("part-*"))) <= 15
+    assert scored.rdd.getNumPartitions() <= n_chunks // 4 + 1
+    assert got.keys() == whole.keys()
+    for i, r in got.items():
+        assert r.score == pytest.approx(whole[i].score, rel=1e-6) and r.base_score == pytest.approx(whole[i].base_score, rel=1e-9) and r[1:5] == whole[i][1:5]
+
+
 def test_packing_keeps_every_id_once(spark):
     texts = corpus(seed=4, n=40)
     rows = packing.pack(docs_of(spark, texts), VOCABULARY, window=256).collect()

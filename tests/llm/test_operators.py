@@ -222,6 +222,14 @@ def test_language_model_tasks_take_groups_in_turn(spark, monkeypatch):
         assert r.score == pytest.approx(whole[i].score, rel=1e-6) and r.base_score == pytest.approx(whole[i].base_score, rel=1e-9) and r[1:5] == whole[i][1:5]
 
 
+@pytest.mark.parametrize("partitions, each, tasks", [(32, 3, 211), (32, 8, 60), (211, 1, 53), (1, 1000, 250), (5, 7, 1), (60, 60, 900)])
+def test_language_model_chunks_are_dealt_evenly(spark, partitions, each, tasks):
+    chunks = spark.createDataFrame([((p << 32) + k,) for p in range(partitions) for k in range(each)], "chunk long")
+    dealt = chunks.withColumn("task", language_model._task_of(tasks)).groupBy("task").count().collect()
+    assert all(0 <= r.task < tasks for r in dealt)
+    assert max(r["count"] for r in dealt) <= partitions * each // tasks + 3
+
+
 def test_packing_keeps_every_id_once(spark):
     texts = corpus(seed=4, n=40)
     rows = packing.pack(docs_of(spark, texts), VOCABULARY, window=256).collect()

@@ -102,3 +102,29 @@ def test_stored_graphs(spark):
     assert inventory.graph_faults(heads, steps, origins).count() == 0
     wrong = inventory.graph_faults(heads, steps.where(F.col("record") != "c"), origins.limit(2)).collect()
     assert [r.trace for r in wrong] == [case.T]
+
+
+def test_commit_counters_deal_rows_once_for_each_join(spark):
+    from weftline.plans import ledger
+
+    rows = spark.range(40).selectExpr("cast(id % 3 as string) trace", "'s' source", "cast(id % 9 as string) record", "cast(id % 20 as string) hash")
+    staged, stored = rows.where("hash < '5'"), rows.where("hash > '3'")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ledger.commit_counters(staged, stored)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") <= 5, plan  # staged, what is known, records twice, traces
+    have, prior = {r.hash for r in stored.collect()}, {(r.source, r.record) for r in stored.collect()}
+    new, want = {}, {}
+    for r in staged.collect():
+        w = want.setdefault(r.trace, [0, 0, 0])
+        key = (r.trace, r.source, r.record)
+        if r.hash in have or r.hash in new.get(key, ()):
+            w[1] += 1
+        else:
+            w[0] += 1
+            w[2] += (r.source, r.record) in prior or bool(new.get(key))
+            new.setdefault(key, set()).add(r.hash)
+    assert {r.trace: [r.added, r.duplicates, r.conflicts] for r in out.collect()} == want

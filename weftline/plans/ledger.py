@@ -104,13 +104,13 @@ def commit_counters(staged: DataFrame, stored: DataFrame) -> DataFrame:
 
     A step is added once, however often it is staged; all other rows are duplicates. A conflict is an added step whose
     record has a stored version, or one that was added before it: all but the first of a record, whatever their order.
-    Two aggregates, no window.
+    Two aggregates, no window. Rows are dealt by what they are joined by, which their aggregate can use too.
     """
     known = stored.select("hash").distinct().withColumn("have", F.lit(True))
     records = stored.select("source", "record").distinct().withColumn("prior", F.lit(1))
-    steps = staged.groupBy("trace", "source", "record", "hash").agg(F.count("*").alias("rows")).join(known, "hash", "left")
+    steps = staged.select("trace", "source", "record", "hash").repartition("hash").groupBy("trace", "source", "record", "hash").agg(F.count("*").alias("rows")).join(known, "hash", "left")
     new = F.col("have").isNull()
-    each = steps.groupBy("trace", "source", "record").agg(F.sum("rows").alias("rows"), F.count_if(new).alias("added")).join(records, ["source", "record"], "left")
+    each = steps.select("trace", "source", "record", "rows", "have").repartition("source", "record").groupBy("trace", "source", "record").agg(F.sum("rows").alias("rows"), F.count_if(new).alias("added")).join(records, ["source", "record"], "left")
     again = F.greatest(F.col("added") - 1 + F.coalesce("prior", F.lit(0)), F.lit(0))
     return each.groupBy("trace").agg(F.sum("added").cast("long").alias("added"), F.sum(F.col("rows") - F.col("added")).cast("long").alias("duplicates"), F.sum(F.when(F.col("added") > 0, again).otherwise(0)).cast("long").alias("conflicts"))
 

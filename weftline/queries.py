@@ -335,12 +335,14 @@ def _perturbed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as steps by part: place, trace (of the order's customer class), source, record, native trace, hash."""
-    lines = _table(spark, sf_dir, "lineitem")
     key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    place = F.concat_ws("/", key, F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"))
+    # the hash is the place's, so places are made distinct, before columns are made of them
+    lines = _table(spark, sf_dir, "lineitem").select(place.alias("place"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").dropDuplicates(["place"])
     return lines.select(
-        F.concat_ws("/", key, F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string")).alias("place"), F.concat(F.lit("vlt_"), F.lpad((F.col("l_orderkey") % 97).cast("string"), 21, "0")).alias("trace"),
-        F.lit(RUNS).alias("source"), key.alias("record"), F.col("l_partkey").cast("string").alias("native_trace"), sha256_text(F.concat_ws("/", key, F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"))).alias("hash"), "l_suppkey",
-    ).dropDuplicates(["hash"])
+        "place", F.concat(F.lit("vlt_"), F.lpad((F.col("l_orderkey") % 97).cast("string"), 21, "0")).alias("trace"),
+        F.lit(RUNS).alias("source"), key.alias("record"), F.col("l_partkey").cast("string").alias("native_trace"), sha256_text("place").alias("hash"), "l_suppkey",
+    )
 
 
 def commit_counters(spark: SparkSession, sf_dir: str) -> DataFrame:

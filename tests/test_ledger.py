@@ -107,7 +107,7 @@ def test_stored_graphs(spark):
 def test_commit_counters_deal_rows_once_for_each_join(spark):
     from weftline.plans import ledger
 
-    rows = spark.range(40).selectExpr("cast(id % 3 as string) trace", "'s' source", "cast(id % 9 as string) record", "cast(id % 20 as string) hash")
+    rows = spark.range(40).selectExpr("cast(id % 3 as string) trace", "cast(id % 2 as string) source", "cast(id % 9 as string) record", "cast(id % 20 as string) hash")
     staged, stored = rows.where("hash < '5'"), rows.where("hash > '3'")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

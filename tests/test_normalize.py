@@ -99,3 +99,15 @@ def test_broken_bytes_are_refused(spark, tmp_path):
     assert vendor.is_array(spark, str(tmp_path)).first().array and vendor.read_rows(spark, str(tmp_path), "s", array=True).count() == 1
     (tmp_path / "rows.jsonl").write_bytes(b'["\xff"]')
     assert [r.raw for r in vendor.read_rows(spark, str(tmp_path), "s", array=True).collect()] == [""]
+
+
+def test_text_after_the_row_is_refused_whatever_it_is(spark):
+    """A row and its digest are parsed as one array, so text that closes or continues that array is no row either."""
+    import hashlib
+
+    good = case.row_a(case.META_A)[1]
+    more = ["]", "] x", ",1", ',"' + hashlib.sha256(good.encode()).hexdigest() + '"]', "}", " {}", '"]', ","]
+    rows = [(case.SA, good + m) for m in more] + [(case.SA, f" {good}\r"), (case.SA, "]"), (case.SA, "1e999"), (case.SA, "[" + good + "]")]
+    got = {int(r.place): None if r.error is None else r.error.code for r in case.normalized(spark, rows).select("place", "error").collect()}
+    n = len(more)
+    assert got == {i: "JSON_INVALID" for i in range(n)} | {n: None, n + 1: "JSON_INVALID", n + 2: "JSON_INVALID", n + 3: "PROFILE_MISMATCH"}

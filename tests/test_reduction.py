@@ -116,3 +116,25 @@ def test_ignored_fields_do_not_survive(spark):
     extra = plain | {"inputs": {"secret": "s3cr3t"}, "start_time": "2020", "extra": {"metadata": {"other": 1}}}
     a, b = steps_of(spark, [(SA, json.dumps(plain))]).first(), steps_of(spark, [(SA, json.dumps(extra))]).first()
     assert a == b and a.hash == "e914beb56c6b8ff0cd07b12e64e6b7f33813c36b21254f6fdd510f31661dd911"
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    import subprocess
+
+    from weftline.storage import materialize
+
+    files = lambda: int(subprocess.run(f"find {spark.conf.get('spark.local.dir')} -name 'shuffle_*_0.data' | wc -l", shell=True, capture_output=True, text=True).stdout)
+    before = files()
+    table = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    assert files() <= before and table.count() == 7
+
+
+def test_sides_that_agree_are_judged_by_one_aggregate(spark):
+    from lineage_case import D2
+
+    from weftline.operators import resolve
+
+    steps = steps_of(spark, ROWS)
+    judged = resolve.delegation_outcomes(steps.unionByName(steps))
+    assert {(r.delegation, r.outcome, r.parent, r.child) for r in judged.collect()} == {(D1, "DELEGATES", HASH_A, HASH_B), (D2, "DELEGATES", HASH_B, HASH_C)}
+    assert "Join" not in judged._jdf.queryExecution().executedPlan().toString()

@@ -65,4 +65,4 @@ def short(text: Column | str) -> Column:
 def sorted_by_json(values: Column, key=None) -> Column:
     """An array in the order of its elements' canonical JSON (of ``key`` of each, if given)."""
     keyed = F.transform(values, lambda x: F.struct(canonical(key(x) if key else x).alias("k"), x.alias("x")))
-    return F.transform(F.array_sort(keyed), lambda p: p["x"])
+    return F.when(F.size(values) <= 1, values).otherwise(F.transform(F.array_sort(keyed), lambda p: p["x"]))

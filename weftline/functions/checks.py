@@ -102,11 +102,11 @@ def policy_rules(p: Column, at: str) -> list[tuple[Column, str, str]]:
 
 def each(items: Column, ok) -> Column:
     """Whether a predicate holds for all elements (also where there are none)."""
-    return F.coalesce(F.forall(items, ok), F.lit(True))
+    return F.when(F.size(items) > 0, F.coalesce(F.forall(items, ok), F.lit(True))).otherwise(True)
 
 
 def distinct(items: Column) -> Column:
-    return F.size(F.array_distinct(items)) == F.size(items)
+    return F.when(F.size(items) <= 1, True).otherwise(F.size(F.array_distinct(items)) == F.size(items))
 
 
 def lineage_rules(m: Column, at: str) -> list[tuple[Column, str, str]]:

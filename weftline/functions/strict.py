@@ -53,6 +53,33 @@ def beyond_variant(raw: Column | str) -> Column:
     return F.when(F.contains(raw, F.lit("\\u")) & paired.rlike(r"\\u[dD][89a-fA-F]"), "SURROGATE").otherwise(_bound(_bare(raw), lambda b: F.when(large(b), "NUMBER").otherwise(_shape_fault(b))))
 
 
+def is_small(raw: Column) -> Column:
+    """Whether an object's text that VARIANT takes as one value is good by its look alone.
+
+    It is too short for too many members and has too few brackets for too many levels, no escape of a half pair, and no
+    number that could be beyond a double. Text that looks otherwise may be good, too.
+    """
+    levels = rf"\A(?:[^{{\[]*+[{{\[]){{{MAX_DEPTH + 1}}}"
+    large = r"[:,\[ \t\r\n]-?(?:[0-9]{200}|[0-9][0-9.]*+[eE]\+?[0-9]{3})"
+    return (F.octet_length(raw) < 4 * MAX_MEMBERS) & F.startswith(raw, F.lit("{")) & ~F.contains(raw, F.lit("\\u")) & ~raw.rlike(levels) & ~raw.rlike(large)
+
+
+def beside_digest(raw: Column | str) -> Column:
+    """The text and its digest as two elements of a VARIANT array; null where that is no array.
+
+    The array has exactly these two only if the text is one value: whatever follows a value in the text gives an array
+    of another length or end, or none. So text that VARIANT would leave unread needs no reading of its own.
+    """
+    raw = F.col(raw) if isinstance(raw, str) else raw
+    return F.try_parse_json(F.concat(F.lit("["), raw, F.lit(',"'), F.sha2(raw.cast("binary"), 256), F.lit('"]')))
+
+
+def is_beside(both: Column | str, digest: Column | str) -> Column:
+    """Whether an array of ``beside_digest`` has the text as one value, and its digest."""
+    at = lambda i, kind: F.try_variant_get(both, f"$[{i}]", kind)
+    return F.coalesce((at(1, "string") == digest) & at(2, "variant").isNull(), F.lit(False))
+
+
 def json_fault(raw: Column | str) -> Column:
     """Why VARIANT or the rules here refuse a text: SYNTAX, SURROGATE, NUMBER, DEPTH, MEMBERS, ELEMENTS, TRAILING; null for good text.
 

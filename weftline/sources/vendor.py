@@ -8,12 +8,15 @@ Every row keeps its place, so the first error of a file is defined.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import checks
-from weftline.functions.canonical import STEP, digest, sorted_by_json
-from weftline.functions.strict import beyond_variant
+from weftline.functions.canonical import STEP, canonical, digest, sorted_by_json
+from weftline.functions.strict import beside_digest, beyond_variant, is_beside, is_small
 from weftline.functions.types import ATTACHMENT, BODY, LINEAGE, OFFER, PARENT
 from weftline.storage import materialize
 
@@ -129,6 +132,20 @@ def closed_rules(inner: Column, at: Column) -> list[tuple[Column, str, Column]]:
     return rules
 
 
+def plainly_closed(inner: Column, m: Column) -> Column:
+    """Whether a metadata object breaks none of ``closed_rules`` for sure: read as typed members ``m`` it has the same JSON text, and nothing that a rule needs is null.
+
+    Text that differs (``1.0`` for ``1``, say) breaks none either, maybe: the rules decide.
+    """
+    some = lambda x, *names: x.isNotNull() & reduce(and_, (x[n].isNotNull() for n in names))
+    free = lambda x, *names: x.isNull() | some(x, *names)
+    offers = checks.each(m["offers"], lambda o: some(o, "child_agent", "child_source", "id", "scope") & some(o["child_agent"], "namespace", "subject"))
+    files = checks.each(m["attachments"], lambda a: some(a, "bytes", "digest", "format"))
+    accept = m["accept"]
+    whole = some(m, "attachments", "offers", "trace_id", "v") & free(m["agent"], "namespace", "subject") & free(m["policy"], "decision", "digest", "version") & (accept.isNull() | (some(accept, "id", "parent", "scope") & some(accept["parent"], "hash", "record", "source")))
+    return F.coalesce(whole & offers & files & (F.to_json(inner) == canonical(m)), F.lit(False))
+
+
 def normalize(rows: DataFrame, sources: DataFrame, metadata_key: str, workspace: str) -> DataFrame:
     """Steps of vendor rows: the step's columns, ``hash``, ``place``, ``warnings`` and ``error``.
 
@@ -139,13 +156,15 @@ def normalize(rows: DataFrame, sources: DataFrame, metadata_key: str, workspace:
     parsed once, whatever its profile; no shuffle but the join with the (small) sources.
     """
     known = rows.join(sources.select(F.col("id").alias("source"), "profile"), "source", "left")
-    parsed = settled(known.withColumn("v", F.try_parse_json("raw")).withColumn("bytes", F.octet_length("raw")).withColumn("odd", ~F.is_valid_utf8("raw") | beyond_variant("raw").isNotNull()).drop("raw"))
-    get = lambda path: F.try_variant_get("v", f"$.{path}", "variant")
+    odd = ~F.is_valid_utf8("raw") | F.when(is_small(F.col("raw")), False).otherwise(beyond_variant("raw").isNotNull())
+    opens = F.startswith(F.ltrim(F.col("raw"), F.lit(" \t\r\n")), F.lit("{"))
+    parsed = settled(known.withColumn("v", beside_digest("raw")).withColumn("digest", F.sha2(F.col("raw").cast("binary"), 256)).withColumn("bytes", F.octet_length("raw")).withColumn("odd", odd).withColumn("is_object", opens).drop("raw"))
+    get = lambda path: F.try_variant_get("v", f"$[0].{path}", "variant")
+    # a member is found in objects only, so what holds the metadata is one where there is any
     members = settled(parsed.select(
-        "place", "source", "trace", "profile", "bytes", (F.col("v").isNull() | F.col("odd")).alias("unread"), _is(_kind(F.col("v")), "OBJECT").alias("is_object"),
+        "place", "source", "trace", "profile", "bytes", (F.col("odd") | ~is_beside("v", F.col("digest"))).alias("unread"), "is_object",
         _by_profile(lambda p, record, *_: get(record)).alias("a"), _by_profile(lambda p, r, trace, *_: get(trace)).alias("b"), _by_profile(lambda p, r, t, span, *_: get(span)).alias("c"),
-        _by_profile(lambda p, r, t, s, parent, *_: get(parent)).alias("d"), _by_profile(lambda p, r, t, s, q, holder: _is(_kind(get(holder)), "OBJECT")).alias("held"),
-        _by_profile(lambda p, r, t, s, q, holder: get(f"{holder}.{metadata_key}")).alias("inner"),
+        _by_profile(lambda p, r, t, s, parent, *_: get(parent)).alias("d"), _by_profile(lambda p, r, t, s, q, holder: get(f"{holder}.{metadata_key}")).alias("inner"),
     ))
     text = lambda c: F.try_variant_get(c, "$", "string")
     listed = F.try_variant_get("d", "$", "array<variant>")
@@ -155,14 +174,16 @@ def normalize(rows: DataFrame, sources: DataFrame, metadata_key: str, workspace:
     one = F.when(some, F.array(F.struct(F.lit("record").alias("kind"), text("d").alias("value")))).otherwise(F.array().cast(f"array<{PARENT}>"))
     odd_list = ~_is(_kind(F.col("d")), "ARRAY") | F.exists(listed, lambda e: F.schema_of_variant(e) != "STRING") | F.exists(named, lambda p: p["value"] == "")
     odd_one = some & ((_kind(F.col("d")) != "STRING") | (text("d") == ""))
-    inner = F.when(F.col("held"), F.col("inner"))
     field = lambda i: _by_profile(lambda p, *paths: F.lit("/row/" + paths[i].replace(".", "/")))
     fields = settled(members.select(
         "place", "source", "trace", "profile", "bytes", "unread", "is_object",
         text("a").alias("record"), text("b").alias("native_trace"), text("c").alias("native_span"), *(F.coalesce(_kind(F.col(x)), F.lit("")).alias(f"{x}_kind") for x in "abc"),
-        F.when(several, named).otherwise(one).alias("parents"), F.when(several, odd_list).otherwise(odd_one).alias("odd_parents"), inner.isNotNull().alias("given"),
-        checks.first_error(closed_rules(inner, F.lit("/row/metadata"))).alias("closed_error"), F.try_variant_get(inner, "$", LINEAGE).alias("lineage"),
+        F.when(several, named).otherwise(one).alias("parents"), F.when(several, odd_list).otherwise(odd_one).alias("odd_parents"), F.col("inner").isNotNull().alias("given"),
+        "inner", F.try_variant_get("inner", "$", LINEAGE).alias("lineage"),
     ))
+    inner = F.col("inner")
+    closed_error = F.when(inner.isNotNull() & ~plainly_closed(inner, F.col("lineage")), checks.first_error(closed_rules(inner, F.lit("/row/metadata"))))
+    fields = settled(fields.withColumn("closed_error", closed_error).drop("inner"))
     m = F.when(F.col("closed_error").isNull(), F.col("lineage"))
     empty = lambda kind: F.array().cast(f"array<{kind}>")
     error = lambda code, at: F.struct(F.lit(code).alias("code"), (F.lit(at) if isinstance(at, str) else at).alias("field"))
@@ -178,11 +199,12 @@ def normalize(rows: DataFrame, sources: DataFrame, metadata_key: str, workspace:
         checks.first_error(checks.lineage_rules(m, "/row/metadata")),
         F.when(m.isNotNull() & ~m["trace_id"].eqNullSafe(F.col("trace")), error("TRACE_MISMATCH", "/row/metadata/trace_id")),
     )
+    offers = F.coalesce(m["offers"], empty(OFFER))
     body = fields.select(
         "place", (~F.col("given")).alias("metadata_absent"), found.alias("error"), m["accept"].alias("accept"), m["agent"].alias("agent"),
         sorted_by_json(F.coalesce(m["attachments"], empty(ATTACHMENT)), lambda r: F.array(r["format"], r["digest"])).alias("attachments"),
         "native_span", "native_trace",
-        F.array_sort(F.transform(F.coalesce(m["offers"], empty(OFFER)), lambda o: F.struct(o["id"].alias("k"), o.alias("o")))).getField("o").alias("offers"),
+        F.when(F.size(offers) <= 1, offers).otherwise(F.array_sort(F.transform(offers, lambda o: F.struct(o["id"].alias("k"), o.alias("o")))).getField("o")).alias("offers"),
         sorted_by_json(F.coalesce("parents", empty(PARENT)), lambda p: F.array(p["kind"], p["value"])).alias("parents"),
         m["policy"].alias("policy"), "profile", "record", "source", "trace", F.lit(1).alias("v"), F.lit(workspace).alias("workspace"),
     )

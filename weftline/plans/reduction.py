@@ -28,9 +28,9 @@ def reduce_steps(steps: DataFrame, origins: DataFrame | None = None) -> Reduced:
     """Edges (trace, parent, child, kind, delegation, scope, v, hash) and gaps of distinct steps.
 
     Independent of the order of rows. ``origins`` may hold streams of all traces, or, with a column ``trace``,
-    those pinned to each; a step's own attestations decide what concerns its trace.
+    those pinned to each; a step's own attestations decide what concerns its trace. Repeated steps change nothing: what
+    is counted are hashes, and edges and gaps are made distinct.
     """
-    steps = steps.dropDuplicates(["trace", "hash"])
     conflicted = resolve.conflicts(steps)
     native, parent_gaps = resolve.native_parents(steps, conflicted)
     delegated, delegation_gaps = resolve.delegations(steps)
